@@ -1,0 +1,33 @@
+"""Where lineage is cut: the shared folder the cluster names."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
+
+    A cluster names it in spark.checkpoint.dir.  Only a local session without
+    the setting (tests) gets a temporary folder; elsewhere its absence is an
+    error, because executors would not see a machine-local path.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        named = tempfile.mkdtemp(prefix="nightledger-")
+    sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
