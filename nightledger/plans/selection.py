@@ -108,7 +108,7 @@ _PREDICATES = {
     "pred_date_month": (lambda v: ~(v.date < "2024-01") & (v.date <= "2024-01"), "substr(date_obs, 1, 7) = '2024-01'"),
     "pred_hour": (
         lambda v: (v.hour >= 22.5) | (v.hour < 1.25),
-        "(epoch_ms(CAST(date_obs AS TIMESTAMP)) % 86400000) / 3600000.0 >= 22.5 OR (epoch_ms(CAST(date_obs AS TIMESTAMP)) % 86400000) / 3600000.0 < 1.25",
+        "((epoch_us(CAST(date_obs AS TIMESTAMP)) // 1000) % 86400000) / 3600000.0 >= 22.5 OR ((epoch_us(CAST(date_obs AS TIMESTAMP)) // 1000) % 86400000) / 3600000.0 < 1.25",
     ),
     "pred_flags": (
         lambda v: v.light & v.osc & v.accepted | v.mono & v.rejected,
