@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
-
 
 def known(x: Column) -> Column:
     """NaN becomes NULL: in this engine NULL alone means "not measured"."""
@@ -18,10 +16,6 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
-def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
-
-
 def nonzero(x: Column) -> Column:
     """NULL for zero, used where a stored 0 means "unknown"."""
     return F.when(x != 0, x)
@@ -34,26 +28,20 @@ def floor_mod(a: Column, b: Column | float) -> Column:
 
 
 def py_round(x: Column, digits: int) -> Column:
-    """Round half to even on the *binary* value, with `digits` decimals.
+    """Round half to even on the *binary* value, with `digits` (0-8) decimals.
 
     Spark's bround looks at the shortest decimal text, so 2.45 (stored as
     2.4500000000000001776) would go to 2.4; the exact value lies above the
-    tie.  The product x * 10**digits is therefore formed with its rounding
-    error (an error-free product), and the error decides apparent ties.
+    tie.  Where the product x * 10**digits looks like a tie, its rounding
+    error decides.  The error is exact: the float half of x and the rest each
+    multiply without rounding.
     """
     if digits == 0:
         return F.rint(x)
     scale = float(10 ** digits)
     s = F.lit(scale)
     p = x * s
-    c = x * F.lit(_SPLIT)
-    high = c - (c - x)
-    err = (high * s - p) + (x - high) * s
-    low = F.floor(p).cast("double")
-    tie = (p - low) == 0.5
-    near = (
-        F.when(tie & (err > 0), low + 1.0)
-        .when(tie & (err < 0), low)
-        .otherwise(F.rint(p))
-    )
-    return F.when(F.abs(x) < 1e12, near / s).otherwise(x)
+    half = x.cast("float").cast("double")
+    err = (half * s - p) + (x - half) * s
+    nudge = F.when(p - F.floor(p) == 0.5, F.signum(err) * 0.25).otherwise(F.lit(0.0))
+    return F.rint(p + nudge) / s

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.config import DEFAULTS, Settings
-from nightledger.functions.numeric import clip, nonzero, py_round
+from nightledger.functions.numeric import nonzero, py_round
 
 
 
@@ -32,15 +32,14 @@ def quality_score(hfr: Column, fwhm: Column, eccentricity: Column, trail: Column
     eccentricity .3 to 0 at .8.  Trailed frames are capped.
     """
     focus = F.coalesce(hfr, fwhm / 2.0)
-    f = clip((6.0 - focus) / (6.0 - 1.5) * 100.0, 0, 100)
-    r = clip((0.8 - eccentricity) / (0.8 - 0.3) * 100.0, 0, 100)
-    mean = (
-        F.when(f.isNotNull() & r.isNotNull(), (f * 0.6 + r * 0.4) / (0.6 + 0.4))
-        .when(f.isNotNull(), f)
-        .when(r.isNotNull(), r)
-    )
-    score = py_round(mean, 1)
-    return F.when(trail > cfg.trail_threshold, F.least(score, F.lit(cfg.trail_quality_cap))).otherwise(score)
+    f = F.least(F.greatest((6.0 - focus) / (6.0 - 1.5) * 100.0, F.lit(0.0)), F.lit(100.0))
+    r = F.least(F.greatest((0.8 - eccentricity) / (0.8 - 0.3) * 100.0, F.lit(0.0)), F.lit(100.0))
+    # An unknown part has weight 0; its clipped value is then irrelevant.
+    wf = F.when(hfr.isNotNull() | fwhm.isNotNull(), 0.6).otherwise(0.0)
+    wr = F.when(eccentricity.isNotNull(), 0.4).otherwise(0.0)
+    score = py_round((f * wf + r * wr) / F.nullif(wf + wr, F.lit(0.0)), 1)
+    cap = F.when(trail > cfg.trail_threshold, F.lit(cfg.trail_quality_cap))
+    return F.when(F.coalesce(hfr, fwhm, eccentricity).isNotNull(), F.least(score, cap))
 
 
 def cfa_pattern(bayer: Column) -> Column:

@@ -19,8 +19,9 @@ def angsep(ra1, dec1, ra2, dec2) -> Column:
     hav = F.pow(F.sin((d2 - d1) / 2), F.lit(2.0)) + F.cos(d1) * F.cos(d2) * F.pow(
         F.sin((F.radians(ra2) - F.radians(ra1)) / 2), F.lit(2.0)
     )
-    bounded = F.when(hav.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), hav)))
-    return F.degrees(2 * F.asin(F.sqrt(bounded)))
+    # least() skips NULL, so unknown inputs are ruled out by name.
+    known = ra1.isNotNull() & dec1.isNotNull() & ra2.isNotNull() & dec2.isNotNull()
+    return F.when(known, F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), hav)))))
 
 
 def coord_sep_arcmin(ra1, dec1, ra2, dec2) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from nightledger.plans import selection, summaries  # noqa: F401
+    from nightledger.plans import catalogue, measures, selection, summaries  # noqa: F401
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightledger.schema import conform
+from nightledger.schema import TARGET_SCHEMA, conform
 
 _MEASURED = "event_id % 29 <> 0"
 
@@ -235,14 +235,14 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_targets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*t, None) for t in USER_TARGETS], "id long, name string, ra double, dec double, radius_deg double, notes string")
+    return spark.createDataFrame([(*t, None) for t in USER_TARGETS], TARGET_SCHEMA)
 
 
 _RUN_METRICS = [
-    ("star_count", "CAST(count(*) AS DOUBLE)"), ("median_hfr", "round(2 + avg(l_discount), 6)"), ("median_fwhm", "round(4 + avg(l_tax), 6)"),
-    ("eccentricity", "round(0.5 + avg(l_tax) / 100, 6)"), ("background_median", "round(avg(l_quantity) * 0 + 1000, 6)"),
+    ("star_count", "CAST(count(*) AS DOUBLE)"), ("median_hfr", "2 + avg(l_discount)"), ("median_fwhm", "4 + avg(l_tax)"),
+    ("eccentricity", "0.5 + avg(l_tax)"), ("background_median", "avg(l_quantity) * 0 + 1000"),
 ]
-_RUN_PHASES = [("read", "round(avg(l_quantity) / 100, 6)"), ("quality", "round(avg(l_extendedprice) / 1000, 6)"), ("total", "round(avg(l_extendedprice) / 900, 6)")]
+_RUN_PHASES = [("read", "avg(l_quantity) / 100"), ("quality", "avg(l_extendedprice) / 1000"), ("total", "avg(l_extendedprice) / 900")]
 _RUN_GROUPS = "l_suppkey, l_linenumber, l_linestatus"
 RUNS_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in [*RUN_EXPRESSIONS, *_RUN_METRICS, *_RUN_PHASES]) + f" FROM lineitem GROUP BY {_RUN_GROUPS}"
 

@@ -81,13 +81,12 @@ FRAME_SCHEMA = T.StructType(
 )
 FRAME_COLUMNS = FRAME_SCHEMA.fieldNames()
 
-TARGET_SCHEMA = T.StructType.fromDDL(
-    "id long, name string, ra double, dec double, radius_deg double, notes string"
-)
-GRADE_SCHEMA = T.StructType.fromDDL("frame_id long, grade int, ts timestamp_ntz")
-SAVED_QUERY_SCHEMA = T.StructType.fromDDL("id long, name string, folder string, query_json string")
-LISTING_SCHEMA = T.StructType.fromDDL("path string, mtime double, length long")
-HEADER_SCHEMA = T.StructType.fromDDL("path string, mtime double, length long, cards map<string,string>")
+# Smaller tables, as DDL text.
+TARGET_SCHEMA = "id long, name string, ra double, dec double, radius_deg double, notes string"
+GRADE_SCHEMA = "frame_id long, grade int, ts timestamp_ntz"
+SAVED_QUERY_SCHEMA = "id long, name string, folder string, query_json string"
+LISTING_SCHEMA = "path string, mtime double, length long"
+HEADER_SCHEMA = "path string, mtime double, length long, cards map<string,string>, error string"
 
 METRIC_COLUMNS = [f.name for f in FRAME_SCHEMA if isinstance(f.dataType, T.DoubleType)]
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightledger.config import DEFAULTS, Settings
+from nightledger.config import DEFAULTS
 from nightledger.functions.scoring import pixel_scale
 from nightledger.functions.spatial import coord_sep_arcmin
 from nightledger.functions.text import file_name
-from nightledger.functions.wcs import plate_solution
+from nightledger.functions.wcs import SOLUTION, with_plate_solution
 
 # For each field, the header keywords tried in order.
 ALIASES = {
@@ -212,16 +212,13 @@ def normalize_headers(headers: DataFrame) -> DataFrame:
     return raw.withColumns(out).drop(*drop)
 
 
-def frames_from_headers(headers: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+def frames_from_headers(headers: DataFrame) -> DataFrame:
     """Catalogue rows from harvested headers: fields, scale, plate solution
     and header JSON; unreadable files become tombstones."""
-    del cfg
-    f = normalize_headers(headers)
-    f = f.withColumn("_w", plate_solution(F.col("cards"), F.col("naxis1"), F.col("naxis2")))
+    f = with_plate_solution(normalize_headers(headers))
     readable = F.col("cards").isNotNull()
-    solution = ["solved", "wcs_ra", "wcs_dec", "wcs_scale", "wcs_rotation", "fov_w", "fov_h"]
-    f = f.withColumns({c: F.when(readable, F.col(f"_w.{c}")) for c in solution})
     error = F.substring(F.col("error"), 1, DEFAULTS.error_text_max) if "error" in headers.columns else F.lit(None).cast("string")
+    f = f.withColumns({c: F.when(readable, F.col(c)) for c in SOLUTION})
     return f.withColumns({
         "filename": file_name(F.col("path")),
         "file_size": F.col("length").cast("long"),
@@ -230,4 +227,4 @@ def frames_from_headers(headers: DataFrame, cfg: Settings = DEFAULTS) -> DataFra
         "pixel_scale": pixel_scale(F.col("pixsz"), F.col("focal_length"), F.col("xbinning")),
         "coord_sep_arcmin": coord_sep_arcmin(F.col("ra"), F.col("dec"), F.col("wcs_ra"), F.col("wcs_dec")),
         "header_json": header_json(F.col("cards")),
-    }).drop("_w", "mtime", "length", "error")
+    }).drop("mtime", "length", "error")
