@@ -56,7 +56,7 @@ class Settings:
     exact_group_rows: int = 1_000_000   # larger groups get the multi-stage median
     screen_group_rows: int = 200_000    # larger sessions are screened in chunks
     hot_salt: int = 16                  # slices of a possibly hot join key
-    sky_band_deg: float = 1.0           # edge of a sky grid cell
+    sky_band_deg: float = 4.0           # edge of a sky grid cell, about a field of view
     direct_page_rows: int = 100_000     # deeper pages use the indexed sort
 
 

@@ -55,17 +55,22 @@ def one_shot_colour(bayer: Column) -> Column:
 # -- verdicts: NULL when the metric is unknown ---------------------------------
 
 
-def verdicts(cfg: Settings = DEFAULTS) -> dict[str, Column]:
+VERDICTS = ["trailed", "good_tracking", "occluded", "shadow", "satellite", "off_setpoint"]
+
+
+def verdict(name: str, cfg: Settings = DEFAULTS) -> Column:
     c = F.col
-    delta = c("ccd_temp") - c("set_temp")
-    return {
-        "trailed": c("trail_score") > cfg.trail_threshold,
-        "good_tracking": c("trail_score") <= cfg.trail_threshold,
-        "occluded": c("empty_cells") > cfg.occluded_threshold,
-        "shadow": c("bg_dip") > cfg.shadow_threshold,
-        "satellite": c("streaks") > 0,
-        "off_setpoint": F.abs(delta) > cfg.setpoint_tolerance_c,
-    }
+    if name == "trailed":
+        return c("trail_score") > cfg.trail_threshold
+    if name == "good_tracking":
+        return c("trail_score") <= cfg.trail_threshold
+    if name == "occluded":
+        return c("empty_cells") > cfg.occluded_threshold
+    if name == "shadow":
+        return c("bg_dip") > cfg.shadow_threshold
+    if name == "satellite":
+        return c("streaks") > 0
+    return F.abs(c("ccd_temp") - c("set_temp")) > cfg.setpoint_tolerance_c
 
 
 def grade_name(rejected: Column) -> Column:

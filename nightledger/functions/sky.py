@@ -94,12 +94,14 @@ def with_sky_geometry(df: DataFrame, site: dict | None = None) -> DataFrame:
     work = work.withColumns({"_alt": alt, "_az": az, "_malt": m_alt - F.col("_par") * _cos(m_alt)})
     airmass = F.when(F.col("_alt") > 3, 1.0 / _sin(F.col("_alt")))
     elongation = angsep(F.col("_sra"), F.col("_sdec"), F.col("_mra"), F.col("_mdec"))
-    out = work.withColumns({
+    # Clamps inside the formulas skip NULL, so the inputs decide explicitly.
+    values = {
         "altitude": py_round(F.col("_alt"), 2),
         "azimuth": py_round(F.col("_az"), 2),
         "airmass": F.when(airmass.between(0, 40), py_round(airmass, 3)),
         "moon_sep": py_round(angsep(F.col("_ra"), F.col("_dec"), F.col("_mra"), F.col("_mdec")), 2),
         "moon_illum": py_round((1.0 - _cos(elongation)) / 2.0, 3),
         "moon_alt": py_round(F.col("_malt"), 2),
-    })
+    }
+    out = work.withColumns({n: F.when(F.col("_d").isNotNull(), v) for n, v in values.items()})
     return out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])

@@ -78,18 +78,20 @@ def file_format(path: Column) -> Column:
 
 # -- capture time ------------------------------------------------------------
 
-_ISO = r"^\d{4}(-\d{2}(-\d{2}([ T]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?)?)?Z?$"
+_ISO = r"^\d{4}(-\d\d(-\d\d([ T]\d\d(:\d\d(:\d\d(\.\d+)?)?)?)?)?)?$"
+_ISO_REST = "0000-01-01T00:00:00.000"
 
 
 def capture_time(date_obs: Column) -> Column:
     """DATE-OBS text as a timestamp without zone, cut to milliseconds.
 
-    Unparseable text is NULL.  A bare hour is completed so that it casts.
+    Text that is not ISO (to the year, month, day, hour, minute or second,
+    with any fraction and an optional Z) is NULL.  Shorter text is completed
+    from a template, longer fractions are cut.
     """
-    iso = F.upper(F.trim(date_obs))
-    full = F.regexp_replace(iso, r"^(\d{4}-\d{2}-\d{2}[ T]\d{2})Z?$", "$1:00")
-    ts = full.try_cast("timestamp_ntz")
-    return F.when(iso.rlike(_ISO), F.date_trunc("millisecond", ts).cast("timestamp_ntz"))
+    iso = F.rtrim(F.upper(F.trim(date_obs)), F.lit("Z"))
+    rest = F.substring(F.lit(_ISO_REST), F.length(iso) + 1, F.lit(23))
+    return F.when(iso.rlike(_ISO), F.substring(F.concat(iso, rest), 1, 23).try_cast("timestamp_ntz"))
 
 
 def hour_of_day(ts: Column) -> Column:
@@ -100,7 +102,7 @@ def hour_of_day(ts: Column) -> Column:
 def night_date(date_obs: Column) -> Column:
     """The night as a calendar date, NULL when the text is not a date."""
     day = night(date_obs)
-    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
+    return F.when(F.translate(day, "123456789", "000000000") == "0000-00-00", day.try_cast("date"))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -19,7 +19,7 @@ SEQUENCE_LEAVES = ["judged", "anomaly", *DEVIATIONS, "transparency"]
 def groups(cfg: Settings = DEFAULTS, map_from: str | None = None, map_to: str | None = None, base_url: str = "") -> dict[str, dict[str, Column]]:
     """group -> leaf -> column."""
     c = F.col
-    judge = scoring.verdicts(cfg)
+    judge = {n: scoring.verdict(n, cfg) for n in ("trailed", "occluded", "shadow", "satellite")}
     scale = scoring.effective_scale()
     solved = c("wcs_ra").isNotNull() & c("wcs_dec").isNotNull()
     pointed = c("ra").isNotNull() & c("dec").isNotNull()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from nightledger.config import DEFAULTS, Settings
 from nightledger.operators.quantiles import grouped_medians
-from nightledger.operators.sessions import SERIES, frame_sessions, session_key
+from nightledger.operators.sessions import SERIES, frame_sessions, largest_session, session_key
 from nightledger.sources.scratch import cut
 
 METRICS = list(SERIES)
@@ -60,13 +60,17 @@ class Replay:
     limits: list
     window: list = field(default_factory=list)
     run: list = field(default_factory=list)
+    _known: list | None = None  # reference of the current seed and window
 
     def reference(self) -> list[float]:
+        if self._known is not None:
+            return self._known
         rolling = medians(self.window) if len(self.window) >= min(3, self.size) else (_NAN,) * len(METRICS)
         out = []
         for m, higher in enumerate(HIGHER_IS_BETTER):
             known = [v for v in (self.seed[m], rolling[m]) if math.isfinite(v)]
             out.append((max if higher else min)(known) if known else _NAN)
+        self._known = out
         return out
 
     def step(self, row: tuple) -> tuple[list[float], bool]:
@@ -88,9 +92,11 @@ class Replay:
                 self.window = self.run[-self.size:]
                 self.seed = medians(self.window)
                 self.run = []
+                self._known = None
         else:
             self.window = (self.window + [row])[-self.size:]
             self.run = []
+            self._known = None
         return dev, flagged
 
     def snapshot(self) -> tuple:
@@ -105,6 +111,7 @@ class Replay:
             return [tuple(_NAN if v is None else v for v in r) for r in rows]
 
         self.seed, self.window, self.run = raw([snap[0]])[0], raw(snap[1]), raw(snap[2])
+        self._known = None
 
 
 def _metric_rows(pdf: pd.DataFrame) -> list[tuple]:
@@ -123,32 +130,38 @@ def _whole_sessions(batches: Iterator[pd.DataFrame], size: int, limits: list) ->
     time, and sessions here are bounded in size."""
     held: list[pd.DataFrame] = []
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, ids = _metric_rows(pdf), pdf["id"].tolist()
+    def replay() -> pd.DataFrame:
+        pdf = pd.concat(held, ignore_index=True)
+        rows = _metric_rows(pdf)
         out = []
-        session = pdf["_session"].to_numpy()
-        cuts = [0, *[i for i in range(1, len(session)) if session[i] != session[i - 1]], len(session)]
+        cuts = [0, *_breaks(pdf), len(rows)]
         for a, b in zip(cuts, cuts[1:]):
             state = Replay(medians(rows[a:b]), size, limits)
             out.extend(state.step(r) for r in rows[a:b])
-        return _emit(ids, out)
+        held.clear()
+        return _emit(pdf["id"].tolist(), out)
 
     for pdf in batches:
         if pdf.empty:
             continue
-        # Everything but the batch's last session is complete.
-        last = pdf["_session"].iloc[-1]
-        head = pdf[pdf["_session"] != last]
-        if len(head):
-            yield replay(pd.concat([*held, head], ignore_index=True))
-            held = [pdf[pdf["_session"] == last]]
-        elif held and held[-1]["_session"].iloc[-1] != last:
-            yield replay(pd.concat(held, ignore_index=True))
-            held = [pdf]
-        else:
-            held.append(pdf)
+        joint = [held[-1].tail(1), pdf] if held else [pdf]
+        breaks = _breaks(pd.concat(joint, ignore_index=True))
+        shift = len(joint) - 1
+        if breaks:
+            # Everything before the last break is complete.
+            done = breaks[-1] - shift
+            held.append(pdf.iloc[:done])
+            yield replay()
+            pdf = pdf.iloc[done:]
+        held.append(pdf)
     if held:
-        yield replay(pd.concat(held, ignore_index=True))
+        yield replay()
+
+
+def _breaks(pdf: pd.DataFrame) -> list[int]:
+    """Row numbers at which another session begins."""
+    name, start = pdf["_session"].to_numpy(), pdf["session_start"].to_numpy()
+    return (((name[1:] != name[:-1]) | (start[1:] != start[:-1])).nonzero()[0] + 1).tolist()
 
 
 def screen_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False) -> DataFrame:
@@ -163,25 +176,22 @@ def screen_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool
         *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(m) for m, (c, _) in SERIES.items()],
     )
     small = _screen_small(rows.filter(F.col("session_counted") <= cfg.screen_group_rows), cfg)
-    large = rows.filter(F.col("session_counted") > cfg.screen_group_rows)
-    # Oversized sessions are rare; the test reads only the session sizes.
-    if large.select("session_counted").limit(1).count() == 0:
+    if largest_session(frames, cfg, with_type) <= cfg.screen_group_rows:
         return small
-    return small.unionByName(_screen_large(large, cfg))
+    return small.unionByName(_screen_large(rows.filter(F.col("session_counted") > cfg.screen_group_rows), cfg))
 
 
 def _screen_small(rows: DataFrame, cfg: Settings) -> DataFrame:
     size, limits = cfg.seq_baseline_frames, limits_of(cfg)
-    # One id per session keeps the key struct out of the Arrow batches; the
-    # hash orders and separates sessions, the full key still shares the task.
+    # Hash and start time name a session in the Arrow batches; the full key
+    # decides the task.  (Equal hashes would also need equal start times.)
     tagged = rows.withColumn("_session", F.xxhash64("session_key", "session_start"))
-    packed = tagged.repartition("session_key", "session_start").sortWithinPartitions("_session", "session_key", "session_start", "t_ms", "id")
-    packed = packed.withColumn("_session", F.concat_ws("|", F.col("_session"), F.col("session_start"), F.to_json("session_key")))
+    packed = tagged.repartition("session_key", "session_start").sortWithinPartitions("_session", "session_start", "t_ms", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _whole_sessions(batches, size, limits)
 
-    return packed.select("id", "_session", *METRICS).mapInPandas(run, OUT_SCHEMA)
+    return packed.select("id", "_session", "session_start", *METRICS).mapInPandas(run, OUT_SCHEMA)
 
 
 def _screen_large(rows: DataFrame, cfg: Settings, chunks: int | None = None) -> DataFrame:

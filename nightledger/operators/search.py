@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.config import DEFAULTS, Settings
-from nightledger.functions.scoring import one_shot_colour, verdicts
+from nightledger.functions.scoring import one_shot_colour, verdict
 from nightledger.functions.text import FILE_FORMATS, date_between, path_like
 
 GRADES = {"accepted", "rejected", "unmarked"}
@@ -138,7 +138,6 @@ def search_frames(
         if indexed_since.tzinfo is not None:
             indexed_since = indexed_since.astimezone(timezone.utc).replace(tzinfo=None)
         conds.append(F.col("indexed_at") >= F.lit(indexed_since.isoformat(sep=" ")).cast("timestamp_ntz"))
-    judge = verdicts(cfg)
     for name, value in filters.items():
         if value is None:
             continue
@@ -150,7 +149,7 @@ def search_frames(
             if vals:
                 conds.append(F.col(_LISTS[name]) == vals[0] if len(vals) == 1 else F.col(_LISTS[name]).isin(vals))
         elif name in _VERDICTS:
-            conds.append(judge[name] if value else ~judge[name])
+            conds.append(verdict(name, cfg) if value else ~verdict(name, cfg))
         else:
             raise ValueError(f"unknown filter: {name}")
     out = frames

@@ -40,42 +40,51 @@ SEQUENCE_NUMBERS = [*DEVIATIONS, "transparency"]
 SEQUENCE_FLAGS = ["seq_anomaly", "seq_ok"]
 
 
-def number_columns() -> dict[str, Column]:
-    out = {name: F.col(c).cast("double") for name, c in NUMBERS.items()}
-    scale = scoring.effective_scale()
-    fov_w = scoring.effective_fov("fov_w", "naxis1", zero_is_missing=False)
-    fov_h = scoring.effective_fov("fov_h", "naxis2", zero_is_missing=False)
-    out.update({
-        "ra": F.coalesce("wcs_ra", "ra"),
-        "dec": F.coalesce("wcs_dec", "dec"),
-        "pixel_scale": scale,
-        "psf_fwhm_arcsec": F.col("psf_fwhm") * scale,
-        "fov_w": fov_w,
-        "fov_h": fov_h,
-        "fov": F.greatest(fov_w, fov_h),
-        "temp_delta": F.col("ccd_temp") - F.col("set_temp"),
-        "hour": hour_of_day(capture_time(F.col("date_obs"))),
-    })
-    return out
-
-
-def text_columns() -> dict[str, Column]:
-    out = {n: F.lower(F.coalesce(F.col(n), F.lit(""))) for n in TEXTS}
-    out["path"] = F.lower(folded_path(F.coalesce(F.col("path"), F.lit(""))))
-    return out
-
-
-def flag_columns(cfg: Settings = DEFAULTS) -> dict[str, Column]:
-    """Conditions; NULL (unknown) counts as false."""
-    kind = F.lower(F.col("imagetyp"))
-    colour = scoring.one_shot_colour(F.col("bayer"))
-    out = {n: kind == f"{n} frame" for n in ("light", "dark", "flat", "bias")}
-    out.update({
-        "osc": colour, "mono": ~colour,
-        "rejected": F.col("rejected") != 0, "accepted": F.col("rejected") == 0,
-    })
-    out.update(scoring.verdicts(cfg))
-    return out
+def number_column(name: str) -> Column | None:
+    """The column of a numeric variable; None for an unknown name."""
+    if name in ("ra", "dec"):
+        return F.coalesce(f"wcs_{name}", name)
+    if name == "pixel_scale":
+        return scoring.effective_scale()
+    if name == "psf_fwhm_arcsec":
+        return F.col("psf_fwhm") * scoring.effective_scale()
+    if name == "fov_w":
+        return scoring.effective_fov("fov_w", "naxis1", zero_is_missing=False)
+    if name == "fov_h":
+        return scoring.effective_fov("fov_h", "naxis2", zero_is_missing=False)
+    if name == "fov":
+        return F.greatest(number_column("fov_w"), number_column("fov_h"))
+    if name == "temp_delta":
+        return F.col("ccd_temp") - F.col("set_temp")
+    if name == "hour":
+        return hour_of_day(capture_time(F.col("date_obs")))
+    return F.col(NUMBERS[name]).cast("double") if name in NUMBERS else None
+
+
+NUMBER_NAMES = [*NUMBERS, "ra", "dec", "pixel_scale", "psf_fwhm_arcsec", "fov_w", "fov_h", "fov", "temp_delta", "hour"]
+
+
+def text_column(name: str) -> Column | None:
+    if name == "path":
+        return F.lower(folded_path(F.coalesce(F.col("path"), F.lit(""))))
+    return F.lower(F.coalesce(F.col(name), F.lit(""))) if name in TEXTS else None
+
+
+TEXT_NAMES = [*TEXTS, "path"]
+KINDS = ["light", "dark", "flat", "bias"]
+FLAG_NAMES = [*KINDS, "osc", "mono", "rejected", "accepted", *scoring.VERDICTS]
+
+
+def flag_column(name: str, cfg: Settings = DEFAULTS) -> Column | None:
+    """A condition; NULL (unknown) counts as false."""
+    if name in KINDS:
+        return F.lower(F.col("imagetyp")) == f"{name} frame"
+    if name in ("osc", "mono"):
+        colour = scoring.one_shot_colour(F.col("bayer"))
+        return colour if name == "osc" else ~colour
+    if name in ("rejected", "accepted"):
+        return F.col("rejected") != 0 if name == "rejected" else F.col("rejected") == 0
+    return scoring.verdict(name, cfg) if name in scoring.VERDICTS else None
 
 
 def selector_view(frames: DataFrame, cfg: Settings = DEFAULTS, sequence: bool = False) -> DataFrame:
@@ -87,8 +96,8 @@ def selector_view(frames: DataFrame, cfg: Settings = DEFAULTS, sequence: bool =
         extra = [F.col(n) for n in SEQUENCE_NUMBERS + SEQUENCE_FLAGS]
     own = [c for c in frames.columns if c not in SEQUENCE_NUMBERS + SEQUENCE_FLAGS]
     date = capture_time(F.col("date_obs"))
-    cols = {**number_columns(), **text_columns(), "date": date, "date_obs": date}
-    flags = {n: F.coalesce(c, F.lit(False)) for n, c in flag_columns(cfg).items()}
+    cols = {**{n: number_column(n) for n in NUMBER_NAMES}, **{n: text_column(n) for n in TEXT_NAMES}, "date": date, "date_obs": date}
+    flags = {n: F.coalesce(flag_column(n, cfg), F.lit(False)) for n in FLAG_NAMES}
     return frames.select(F.struct(*own).alias("frame"), *[c.alias(n) for n, c in {**cols, **flags}.items()], *extra)
 
 
@@ -104,7 +113,7 @@ class Vars:
     """
 
     def __init__(self, cfg: Settings, funcs: dict[str, Callable] | None = None):
-        self._numbers, self._texts, self._flags = number_columns(), text_columns(), flag_columns(cfg)
+        self._cfg = cfg
         self._funcs = funcs or {}
         self._stats: dict[tuple, float | None] = {}
         self._wanted: dict[tuple, tuple[str, Column, float]] = {}
@@ -114,12 +123,9 @@ class Vars:
         key = name.lower()
         if key.startswith("_"):
             raise AttributeError(name)
-        if key in self._numbers:
-            return Num(self._numbers[key])
-        if key in self._texts:
-            return Text(self._texts[key])
-        if key in self._flags:
-            return Flag(self._flags[key])
+        for kind, col in ((Num, number_column(key)), (Text, text_column(key)), (Flag, flag_column(key, self._cfg))):
+            if col is not None:
+                return kind(col)
         if key in ("date", "date_obs"):
             return When(capture_time(F.col("date_obs")))
         if key in SEQUENCE_NUMBERS or key in SEQUENCE_FLAGS:
@@ -166,12 +172,12 @@ class Vars:
 
     def angsep(self, ra: float, dec: float):
         """Degrees from the frame centre."""
-        return Num(spatial.angsep(self._numbers["ra"], self._numbers["dec"], ra, dec))
+        return Num(spatial.angsep(number_column("ra"), number_column("dec"), ra, dec))
 
     def contains(self, ra: float, dec: float):
         """Does the field of view cover the position?"""
-        n = self._numbers
-        return Flag(spatial.contains(n["ra"], n["dec"], n["fov_w"], n["fov_h"], n["wcs_rotation"], ra, dec))
+        frame = [number_column(n) for n in ("ra", "dec", "fov_w", "fov_h", "wcs_rotation")]
+        return Flag(spatial.contains(*frame, ra, dec))
 
     # Statistics.
     def _stat(self, kind: str, x, q: float = 0.0) -> Num:
@@ -248,7 +254,7 @@ def _filter_text(frames: DataFrame, text: str, cfg: Settings) -> DataFrame:
     names = {}
     for m in _STAT_NAME.finditer(text):
         variable = m.group(3).lower()
-        if variable in v._numbers or variable in SEQUENCE_NUMBERS:
+        if variable in NUMBER_NAMES or variable in SEQUENCE_NUMBERS:
             kind = "percentile" if m.group(2) else m.group(1).lower()
             key = (kind, variable, float(m.group(2) or 0))
             v._wanted[key] = (kind, F.col(variable), key[2])

@@ -31,24 +31,23 @@ def epoch_ms(ts: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", epoch, ts)
 
 
-def sessionize(df: DataFrame, keys: Sequence[str | Column], time: Column, gap_hours: float = DEFAULTS.seq_gap_hours, count_if: Column | None = None) -> DataFrame:
-    """Split each key's rows into sessions at gaps longer than `gap_hours`.
+def _timed(df: DataFrame, keys: Sequence[str | Column], time: Column, gap_ms: int) -> DataFrame:
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    key = cols[0] if len(cols) == 1 and not isinstance(keys[0], str) else F.struct(*cols)
+    timed = df.withColumns({"session_key": key, "t_ms": epoch_ms(time)}).filter(F.col("t_ms").isNotNull())
+    return timed.withColumn("_bucket", F.floor(F.col("t_ms") / gap_ms) if gap_ms > 0 else F.col("t_ms"))
 
-    Adds session_key, t_ms (time in ms), session_start (ms of the session's
-    first row), session_frames and session_counted (rows meeting `count_if`).
-    Rows without a time are left out.
 
-    Time is cut into buckets as wide as the gap.  Rows of one bucket can never
-    be a gap apart, so sessions only break between buckets, and (first, last,
+def session_buckets(timed: DataFrame, gap_ms: int, count_if: Column | None = None) -> DataFrame:
+    """Per key and time bucket: the session it belongs to and that session's
+    sizes (all rows, and rows meeting `count_if`).
+
+    A bucket is as wide as the gap.  Rows of one bucket can never be more than
+    a gap apart, so sessions only break between buckets, and (first, last,
     count) per key and bucket decide everything.  Those aggregate map-side:
     a key holding a third of all rows shrinks to one row per bucket before
     any shuffle, and the window runs over buckets, which the calendar bounds.
     """
-    gap_ms = int(gap_hours * 3_600_000)
-    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    key = cols[0] if len(cols) == 1 and not isinstance(keys[0], str) else F.struct(*cols)
-    timed = df.withColumns({"session_key": key, "t_ms": epoch_ms(time)}).filter(F.col("t_ms").isNotNull())
-    timed = timed.withColumn("_bucket", F.floor(F.col("t_ms") / gap_ms) if gap_ms > 0 else F.col("t_ms"))
     counted = F.count(F.lit(1)) if count_if is None else F.count_if(count_if)
     buckets = timed.groupBy("session_key", "_bucket").agg(
         F.min("t_ms").alias("first"), F.max("t_ms").alias("last"), F.count(F.lit(1)).alias("n"), counted.alias("c")
@@ -56,16 +55,27 @@ def sessionize(df: DataFrame, keys: Sequence[str | Column], time: Column, gap_ho
     order = Window.partitionBy("session_key").orderBy("_bucket")
     previous = F.lag("last").over(order)
     starts = F.when(previous.isNull() | (F.col("first") - previous > gap_ms), F.col("first"))
-    buckets = buckets.withColumn("_start", starts)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    buckets = buckets.withColumn("session_start", F.last("_start", ignorenulls=True).over(so_far))
+    buckets = buckets.withColumn("_start", starts).withColumn("session_start", F.last("_start", ignorenulls=True).over(so_far))
     session = Window.partitionBy("session_key", "session_start")
-    buckets = buckets.select(
+    return buckets.select(
         "session_key", "_bucket", "session_start",
         F.sum("n").over(session).alias("session_frames"),
         F.sum("c").over(session).alias("session_counted"),
     )
-    return timed.join(buckets, ["session_key", "_bucket"]).drop("_bucket")
+
+
+def sessionize(df: DataFrame, keys: Sequence[str | Column], time: Column, gap_hours: float = DEFAULTS.seq_gap_hours, count_if: Column | None = None) -> DataFrame:
+    """Split each key's rows into sessions at gaps longer than `gap_hours`.
+
+    Adds session_key, t_ms (time in ms), session_start (ms of the session's
+    first row), session_frames and session_counted (rows meeting `count_if`).
+    Rows without a time are left out.  The rows are only joined to the small
+    bucket table; no key is ever sorted as a whole.
+    """
+    gap_ms = int(gap_hours * 3_600_000)
+    timed = _timed(df, keys, time, gap_ms)
+    return timed.join(session_buckets(timed, gap_ms, count_if), ["session_key", "_bucket"]).drop("_bucket")
 
 
 def frame_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False) -> DataFrame:
@@ -75,6 +85,13 @@ def frame_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool
     )
 
 
+def largest_session(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False) -> int:
+    """Frames with a star count in the largest session; reads no metrics."""
+    gap_ms = int(cfg.seq_gap_hours * 3_600_000)
+    timed = _timed(frames, [session_key(with_type)], capture_time(F.col("date_obs")), gap_ms)
+    return session_buckets(timed, gap_ms, F.col("star_count").isNotNull()).agg(F.max("session_counted")).first()[0] or 0
+
+
 # Series name -> (frame column, higher is better).
 SERIES = {
     "stars": ("star_count", True), "hfr": ("median_hfr", False), "empty": ("empty_cells", False),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightledger.schema import TARGET_SCHEMA, conform
+from nightledger.schema import TARGET_SCHEMA
 
 _MEASURED = "event_id % 29 <> 0"
 
@@ -189,11 +189,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _derive(df: DataFrame, expressions: list[tuple[str, str]]) -> DataFrame:
-    return df.select(*[F.expr(e).alias(n) for n, e in expressions])
+    return df.selectExpr(*[f"{e} AS `{n}`" for n, e in expressions])
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(_derive(table(spark, sf_dir, "events"), FRAME_EXPRESSIONS))
+    """The declared frame columns, all of them and in their types."""
+    return _derive(table(spark, sf_dir, "events"), FRAME_EXPRESSIONS)
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

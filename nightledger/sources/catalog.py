@@ -17,7 +17,7 @@ HEAVY_COLUMNS = ["header_json", "diagnostics_json"]
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Scan the catalogue.  Older files lack newer columns; the declared schema
     fills them with NULL, so added columns need no rewrite."""
-    return spark.read.schema(FRAME_SCHEMA).parquet(path)
+    return spark.read.schema(FRAME_SCHEMA).parquet(path).select(*FRAME_COLUMNS)
 
 
 def list_view(frames: DataFrame) -> DataFrame:
@@ -37,10 +37,9 @@ def write_frames(frames: DataFrame, path: str, mode: str = "overwrite") -> None:
         staged.repartitionByRange(F.col("imagetyp"), F.col("_night"), F.col("object"), F.col("id"))
         .sortWithinPartitions("imagetyp", "object", "filter", "date_obs")
         .drop("_night")
-        .withColumn("frame_type", F.coalesce(F.col("imagetyp"), F.lit("Unknown")))
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("frame_type")
+        .partitionBy("imagetyp")
         .parquet(path)
     )
 

@@ -87,7 +87,7 @@ def normalize_stored(frames: DataFrame) -> DataFrame:
 # -- cards -----------------------------------------------------------------------
 
 _BLOCK = 2880
-_CARD = 80
+_NEAR_BLOCKS = 64
 
 
 def harvest_headers(spark: SparkSession, path: str | list[str], listing: DataFrame | None = None) -> DataFrame:
@@ -108,20 +108,18 @@ def harvest_headers(spark: SparkSession, path: str | list[str], listing: DataFra
 
 def parse_headers(files: DataFrame) -> DataFrame:
     """Cut file contents into cards.  Repeated keywords (COMMENT, HISTORY)
-    keep their last text, like any keyed read of a header."""
+    keep their last text, like any keyed read of a header.
+
+    The END card is looked for in the first blocks; only a longer header makes
+    the whole file be cut, so pixels are normally never decoded.
+    """
+    near = F.substring("content", 1, _NEAR_BLOCKS * _BLOCK)
     head = files.select(
-        "path",
-        (F.unix_micros("modificationTime") / 1e6).alias("mtime"),
-        "length",
-        F.decode(_header_bytes(F.col("content")), F.lit("ISO-8859-1")).alias("_text"),
+        "path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length", "content", _cards(near).alias("_cards")
     )
-    n = F.floor(F.length("_text") / _CARD).cast("int")
-    cards = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("_text"), i * _CARD + 1, _CARD))
-    cards = F.when(n > 0, cards).otherwise(F.array().cast("array<string>"))
-    head = head.withColumn("_cards", cards)
-    end = F.array_position(F.transform("_cards", lambda c: F.rtrim(F.substring(c, 1, 8))), "END")
-    head = head.withColumn("_end", end)
-    body = F.filter(F.slice("_cards", F.lit(1), F.greatest(F.col("_end").cast("int") - 1, F.lit(0))), lambda c: F.trim(F.substring(c, 1, 8)) != "")
+    head = head.withColumn("_cards", F.when(_end_of("_cards") > 0, F.col("_cards")).otherwise(_cards(F.col("content"))))
+    head = head.withColumn("_end", _end_of("_cards").cast("int")).drop("content")
+    body = F.filter(F.slice("_cards", F.lit(1), F.greatest(F.col("_end") - 1, F.lit(0))), lambda c: F.trim(F.substring(c, 1, 8)) != "")
     # Keep the last card of a repeated keyword: reverse, then first per key.
     entries = F.transform(F.reverse(body), lambda c: F.struct(F.trim(F.substring(c, 1, 8)).alias("key"), card_value(c).alias("value")))
     unique = F.aggregate(
@@ -131,21 +129,23 @@ def parse_headers(files: DataFrame) -> DataFrame:
             F.map_concat(acc, F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))
         ),
     )
-    readable = (F.col("_end") > 0) & F.col("_text").startswith("SIMPLE")
+    readable = (F.col("_end") > 0) & F.get("_cards", F.lit(0)).startswith("SIMPLE")
     return head.select(
         "path", "mtime", "length",
         F.when(readable, unique).alias("cards"),
-        F.when(~readable, F.lit("OSError: no FITS header found")).alias("error"),
+        F.when(~F.coalesce(readable, F.lit(False)), F.lit("OSError: no FITS header found")).alias("error"),
     )
 
 
-def _header_bytes(content: Column) -> Column:
-    """The leading bytes that can hold the header, cut at the block after the
-    END card.  Searching the text for END keeps pixels out of the decode."""
-    text = F.decode(content, F.lit("ISO-8859-1"))
-    end = F.locate("END" + " " * 77, text)
-    size = F.when(end > 0, (F.floor((end + _CARD - 2) / _BLOCK) + 1) * _BLOCK).otherwise(F.lit(_BLOCK))
-    return F.substring(content, F.lit(1), size.cast("int"))
+def _cards(content: Column) -> Column:
+    """The 80-character cards of a header, as far as the bytes go.  One split
+    of the text; a lambda over card numbers would decode it once per card."""
+    return F.split(F.decode(content, "ISO-8859-1"), r"(?s)(?<=\G.{80})")
+
+
+def _end_of(cards: str) -> Column:
+    """Position of the END card, 0 without one."""
+    return F.array_position(F.transform(cards, lambda c: F.rtrim(F.substring(c, 1, 8))), "END")
 
 
 def card_value(card: Column) -> Column:
