@@ -34,28 +34,29 @@ def global_quantiles(
     df: DataFrame,
     wanted: dict[str, tuple[Column, float]],
     bound: int = DEFAULTS.exact_group_rows,
+    rows: int | None = None,
 ) -> dict[str, float | None]:
     """Exact quantiles over the whole table: {name: (column, q in 0..1)}.
 
     NULL and NaN are ignored; a name with no values gives None.  All names
-    share each pass over the data.
+    share each pass over the data.  `rows` is the row count when known.
     """
     if not wanted:
         return {}
     names = list(wanted)
     values = {n: F.when(~F.isnan(c.cast("double")), c.cast("double")) for n, (c, _) in wanted.items()}
     narrow = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
+    if (df.count() if rows is None else rows) <= bound:
+        row = narrow.agg(
+            *[F.percentile(f"v{i}", F.lit(float(wanted[n][1]))).alias(f"q{i}") for i, n in enumerate(names)]
+        ).first()
+        return {n: row[f"q{i}"] for i, n in enumerate(names)}
     ends = narrow.agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
         *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(names))],
         *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(names))],
     ).first()
     counts = [ends[f"n{i}"] for i in range(len(names))]
-    if max(counts) <= bound:
-        row = narrow.agg(
-            *[F.percentile(f"v{i}", F.lit(float(wanted[n][1]))).alias(f"q{i}") for i, n in enumerate(names)]
-        ).first()
-        return {n: row[f"q{i}"] for i, n in enumerate(names)}
 
     # Ranks still to find: (column, rank) -> [lo, hi, rank inside the range].
     open_ranges: dict[tuple[int, int], list] = {}
@@ -119,9 +120,10 @@ def _refine(narrow: DataFrame, open_ranges: dict[tuple[int, int], list]) -> dict
 
 def global_median_and_mad(df: DataFrame, cols: dict[str, Column], bound: int = DEFAULTS.exact_group_rows) -> dict[str, tuple[float | None, float | None]]:
     """Median and median absolute deviation of several columns."""
-    med = global_quantiles(df, {n: (c, 0.5) for n, c in cols.items()}, bound)
+    rows = df.count()
+    med = global_quantiles(df, {n: (c, 0.5) for n, c in cols.items()}, bound, rows)
     known = {n: c for n, c in cols.items() if med[n] is not None}
-    mad = global_quantiles(df, {n: (F.abs(c - F.lit(med[n])), 0.5) for n, c in known.items()}, bound)
+    mad = global_quantiles(df, {n: (F.abs(c - F.lit(med[n])), 0.5) for n, c in known.items()}, bound, rows)
     return {n: (med[n], mad.get(n)) for n in cols}
 
 
@@ -140,24 +142,32 @@ def grouped_medians(
     columns: Sequence[str],
     bound: int = DEFAULTS.exact_group_rows,
     group_rows: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact median of each column per group (keys may be NULL).
 
-    `group_rows` names a column already holding the size of the row's group;
-    without it the groups are counted and the big ones marked by a join.
+    Sizes are checked first: with every group within the bound one
+    aggregation does it, otherwise only the groups beyond it go the other
+    way.  `largest` is an upper bound on the group sizes when the caller has
+    one, `group_rows` a column with the size of the row's group.
     """
     keys = list(keys)
+    values = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]
+    if largest is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= bound:
+        return df.select(*keys, *values).groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
     if group_rows is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        big = sizes.filter(F.col("_rows") > bound).select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_big"))
-        same = None
+        big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > bound)
+        big = big.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.lit(True).alias("_big"))
+        same = F.lit(True)
         for k in keys:
-            eq = F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-            same = eq if same is None else same & eq
+            same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
         marked = df.join(big, same, "left").withColumn("_big", F.coalesce(F.col("_big"), F.lit(False)))
     else:
         marked = df.withColumn("_big", F.col(group_rows) > bound)
-    marked = marked.select(*keys, "_big", *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    marked = marked.select(*keys, "_big", *values)
     small = marked.filter(~F.col("_big")).groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
     return small.unionByName(_big_group_medians(marked.filter("_big"), keys, list(columns)))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from nightledger.config import DEFAULTS, Settings
 from nightledger.operators.quantiles import grouped_medians
-from nightledger.operators.sessions import SERIES, frame_sessions, largest_session, session_key
+from nightledger.operators.sessions import SERIES, frame_sessions, session_key, session_size
 from nightledger.sources.scratch import cut
 
 METRICS = list(SERIES)
@@ -176,7 +176,7 @@ def screen_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool
         *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(m) for m, (c, _) in SERIES.items()],
     )
     small = _screen_small(rows.filter(F.col("session_counted") <= cfg.screen_group_rows), cfg)
-    if largest_session(frames, cfg, with_type) <= cfg.screen_group_rows:
+    if session_size(frames, cfg.screen_group_rows, cfg, with_type) <= cfg.screen_group_rows:
         return small
     return small.unionByName(_screen_large(rows.filter(F.col("session_counted") > cfg.screen_group_rows), cfg))
 

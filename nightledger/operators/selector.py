@@ -207,9 +207,12 @@ class Vars:
             row = df.agg(*[c.alias(f"s{i}") for i, c in enumerate(aggs.values())]).first()
             for i, key in enumerate(aggs):
                 self._stats[key] = row[f"s{i}"]
-        first = global_quantiles(df, {n: (c, q) for n, (_, c, q) in ranks.items()}, cfg.exact_group_rows)
+        if not ranks:
+            return
+        rows = df.count()
+        first = global_quantiles(df, {n: (c, q) for n, (_, c, q) in ranks.items()}, cfg.exact_group_rows, rows)
         spread = {n: (F.abs(c - F.lit(first[n])), 0.5) for n, (k, c, _) in ranks.items() if k[0] in ("mad", "madstd") and first[n] is not None}
-        second = global_quantiles(df, spread, cfg.exact_group_rows)
+        second = global_quantiles(df, spread, cfg.exact_group_rows, rows)
         for n, (key, _, _) in ranks.items():
             value = second.get(n) if key[0] in ("mad", "madstd") else first[n]
             self._stats[key] = 1.4826 * value if key[0] == "madstd" and value is not None else value

@@ -85,8 +85,16 @@ def frame_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool
     )
 
 
-def largest_session(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False) -> int:
-    """Frames with a star count in the largest session; reads no metrics."""
+def session_size(frames: DataFrame, enough: int, cfg: Settings = DEFAULTS, with_type: bool = False) -> int:
+    """An upper bound on the frames with a star count in any session.
+
+    The table's own size will do when it is no more than `enough`; otherwise
+    the sessions are measured, reading keys and times only.
+    """
+    counted = frames.filter(F.col("star_count").isNotNull())
+    rows = counted.count()
+    if rows <= enough:
+        return rows
     gap_ms = int(cfg.seq_gap_hours * 3_600_000)
     timed = _timed(frames, [session_key(with_type)], capture_time(F.col("date_obs")), gap_ms)
     return session_buckets(timed, gap_ms, F.col("star_count").isNotNull()).agg(F.max("session_counted")).first()[0] or 0
@@ -104,4 +112,4 @@ def session_medians(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool
     star count; sessions with fewer than three such frames are not judged."""
     rows = frame_sessions(frames, cfg, with_type).filter(F.col("star_count").isNotNull() & (F.col("session_counted") >= 3))
     rows = rows.select("session_key", "session_start", "session_counted", *[F.col(c).cast("double").alias(m) for m, (c, _) in SERIES.items()])
-    return grouped_medians(rows, ["session_key", "session_start"], list(SERIES), cfg.exact_group_rows, "session_counted")
+    return grouped_medians(rows, ["session_key", "session_start"], list(SERIES), cfg.exact_group_rows, "session_counted", session_size(frames, cfg.exact_group_rows, cfg, with_type))

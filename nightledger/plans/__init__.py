@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from nightledger.session import tune
+
 
 def _load() -> None:
     from nightledger.plans import catalogue, measures, selection, summaries  # noqa: F401
@@ -11,7 +13,14 @@ def queries() -> dict:
     from nightledger.plans.registry import QUERIES
 
     _load()
-    return dict(QUERIES)
+    return {name: _tuned(fn) for name, fn in QUERIES.items()}
+
+
+def _tuned(fn):
+    def run(spark, sf_dir):
+        return fn(tune(spark), sf_dir)
+
+    return run
 
 
 def oracles() -> dict:
