@@ -15,12 +15,12 @@ from nightledger.functions.spatial import angsep
 from nightledger.functions.text import capture_time
 
 # Moon series terms (amplitude, phase at J2000, degrees per century).
-_MOON_LON = [
+MOON_LON = [
     (6.29, 135.0, 477198.87), (-1.27, 259.3, -413335.36), (0.66, 235.7, 890534.22),
     (0.21, 269.9, 954397.74), (-0.19, 357.5, 35999.05), (-0.11, 186.5, 966404.03),
 ]
-_MOON_LAT = [(5.13, 93.3, 483202.02), (0.28, 228.2, 960400.89), (-0.28, 318.3, 6003.15), (-0.17, 217.6, -407332.21)]
-_MOON_PARALLAX = [(0.0518, 135.0, 477198.87), (0.0095, 259.3, -413335.36), (0.0078, 235.7, 890534.22), (0.0028, 269.9, 954397.74)]
+MOON_LAT = [(5.13, 93.3, 483202.02), (0.28, 228.2, 960400.89), (-0.28, 318.3, 6003.15), (-0.17, 217.6, -407332.21)]
+MOON_PARALLAX = [(0.0518, 135.0, 477198.87), (0.0095, 259.3, -413335.36), (0.0078, 235.7, 890534.22), (0.0028, 269.9, 954397.74)]
 
 
 def _sin(x: Column) -> Column:
@@ -80,11 +80,11 @@ def with_sky_geometry(df: DataFrame, site: dict | None = None) -> DataFrame:
             total = total + amp * fn(phase + rate * cent)
         return total
 
-    moon_lon = 218.32 + 481267.881 * cent + series(_MOON_LON, _sin)
+    moon_lon = 218.32 + 481267.881 * cent + series(MOON_LON, _sin)
     work = work.withColumns({
         "_lst": lst, "_ra": prec_ra, "_dec": prec_dec, "_eps": 23.439 - 0.0000004 * F.col("_d"),
-        "_sun": sun_lon, "_mlon": moon_lon, "_mlat": series(_MOON_LAT, _sin),
-        "_par": 0.9508 + series(_MOON_PARALLAX, _cos),
+        "_sun": sun_lon, "_mlon": moon_lon, "_mlat": series(MOON_LAT, _sin),
+        "_par": 0.9508 + series(MOON_PARALLAX, _cos),
     })
     sun_ra, sun_dec = _equatorial(F.col("_sun"), F.lit(0.0), F.col("_eps"))
     m_ra, m_dec = _equatorial(F.col("_mlon"), F.col("_mlat"), F.col("_eps"))

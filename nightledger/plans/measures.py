@@ -102,11 +102,24 @@ def _cells(spark, sf_dir):
     return longs(flat.filter("stars > 0"), "cell")
 
 
-@query("empty_patches")
+_SPARSE = "SELECT * FROM d WHERE NOT (x < 1600 AND frame_id % 2 = 0)"
+
+
+@query(
+    "empty_patches",
+    "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in (
+        _D, _I, ("sd", _SPARSE), ("n", f"SELECT frame_id, {_CELL} AS cell, count(*) AS stars FROM sd JOIN i USING (frame_id) GROUP BY ALL"),
+        ("grid", "SELECT frame_id, g.cell, coalesce(stars, 0) AS stars FROM i CROSS JOIN (SELECT range AS cell FROM range(48)) AS g LEFT JOIN n USING (frame_id, cell)"),
+        ("mid", "SELECT frame_id, median(stars) AS m FROM grid GROUP BY frame_id"),
+        ("e", "SELECT frame_id, cell FROM grid JOIN mid USING (frame_id) WHERE m >= 5 AND stars < 0.2 * m"),
+        ("reach", "SELECT frame_id, cell AS root, cell FROM e UNION SELECT r.frame_id, r.root, e.cell FROM reach r JOIN e ON e.frame_id = r.frame_id AND (abs(e.cell - r.cell) = 8 OR (abs(e.cell - r.cell) = 1 AND e.cell // 8 = r.cell // 8))"),
+        ("sizes", "SELECT frame_id, max(s) AS s FROM (SELECT frame_id, root, count(*) AS s FROM reach GROUP BY ALL) GROUP BY frame_id"),
+    )) + " SELECT frame_id, CASE WHEN m >= 5 THEN round(coalesce(s, 0) / 48.0, 6) END AS empty_cells, CAST(coalesce(s, 0) AS BIGINT) AS cluster FROM mid LEFT JOIN sizes USING (frame_id)",
+)
 def _patches(spark, sf_dir):
     sparse = portable.detections(spark, sf_dir).filter("NOT (x < 1600 AND frame_id % 2 = 0)")
     p = background.empty_patches(background.cell_counts(sparse, portable.frame_info(spark, sf_dir)))
-    return p.select("frame_id", r6("empty_cells", "empty_cells"), F.size("empty_cluster").alias("cluster"))
+    return longs(p.select("frame_id", r6("empty_cells", "empty_cells"), F.size("empty_cluster").alias("cluster")), "cluster")
 
 
 @query(

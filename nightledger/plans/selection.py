@@ -215,7 +215,8 @@ _SEARCHES = {
         "index_error IS NULL AND exptime BETWEEN 100 AND 400 AND focal_length BETWEEN 500 AND 700 AND median_hfr <= 2.3 AND median_fwhm <= 3.4 AND eccentricity <= 0.6 AND trail_score <= 0.05 AND star_count >= 405 AND quality_score >= 50",
     ),
     "search_ranges_grid": (dict(psf_fwhm_max=3.2, empty_cells_max=0.1, background_dip_max=0.02), "index_error IS NULL AND psf_fwhm <= 3.2 AND empty_cells <= 0.1 AND bg_dip <= 0.02"),
-    "search_verdicts_true": (dict(good_tracking=True, occluded=True, shadow=True, satellite=False), "index_error IS NULL AND trail_score <= 0.03 AND empty_cells > 0.15 AND bg_dip > 0.025 AND streaks = 0"),
+    "search_verdicts_true": (dict(good_tracking=True, shadow=True, satellite=False), "index_error IS NULL AND trail_score <= 0.03 AND bg_dip > 0.025 AND streaks = 0"),
+    "search_occluded": (dict(occluded=True, fwhm_max=3.3), "index_error IS NULL AND empty_cells > 0.15 AND median_fwhm <= 3.3"),
     "search_verdicts_false": (dict(good_tracking=False, occluded=False, shadow=False, satellite=True), "index_error IS NULL AND trail_score > 0.03 AND empty_cells <= 0.15 AND bg_dip <= 0.025 AND streaks > 0"),
     "search_grades": (dict(grade="accepted,unmarked"), "index_error IS NULL AND (rejected = 0 OR rejected IS NULL)"),
     "search_rejected": (dict(rejected=True), "index_error IS NULL AND rejected = 1"),
