@@ -427,9 +427,9 @@ def _deep_page(frames):
     return paging.page_of(frames.select("id", "date_obs"), paging.sort_spec("-capture.date_obs"), 10, 500, Settings(direct_page_rows=1000)).select("id")
 
 
-@frames_query("page_info", " SELECT count(*) AS total, 3 AS page, 500 AS per_page, CAST(ceil(count(*) / 500.0) AS BIGINT) AS pages, 4 AS next, 2 AS prev FROM frames")
+@frames_query("page_info", " SELECT count(*) AS total, 3 AS page, 200 AS per_page, CAST(ceil(count(*) / 200.0) AS BIGINT) AS pages, CAST(CASE WHEN 3 < ceil(count(*) / 200.0) THEN 4 END AS DOUBLE) AS next, 2.0 AS prev FROM frames")
 def _page_info(frames):
-    return paging.page_info(frames, 3, 500)
+    return paging.page_info(frames, 3, 200).withColumns({c: F.col(c).cast("double") for c in ("next", "prev")})
 
 
 @frames_query("top_per_object", f" SELECT object, id, CAST(row_number() OVER (PARTITION BY object ORDER BY quality_score DESC NULLS LAST, id) AS INT) AS rank FROM frames WHERE {LIGHT} AND object IS NOT NULL QUALIFY rank <= 5")
