@@ -26,22 +26,21 @@ def match_targets(frames: DataFrame, targets: DataFrame, cfg: Settings = DEFAULT
     Both tests run as equi-joins on sky cells.  A frame reaches the cells its
     field can touch and a target sits in one; for the radius it is the other
     way round.  A pair meets at most once per test, and the radius test leaves
-    out pairs the first already has.  With a small target table (measured by
-    Spark at run time) frames are never shuffled; otherwise frames are salted,
-    so that a cell holding much of the catalogue spreads over many tasks.
+    out pairs the first already has.  The target side is counted: up to a
+    bound it is broadcast and frames are not shuffled at all, beyond it frames
+    are salted, so that a cell holding much of the catalogue spreads over many
+    tasks.
     """
     lights = light_frames(frames)
     own = lights.columns
     pos = lights.withColumns({
         "_ra": F.coalesce("wcs_ra", "ra"), "_dec": F.coalesce("wcs_dec", "dec"),
         "_w": effective_fov("fov_w", "naxis1", True), "_h": effective_fov("fov_h", "naxis2", True),
-        "_salt": F.pmod(F.xxhash64("id"), F.lit(cfg.hot_salt)).cast("int"),
     }).filter(F.col("_ra").isNotNull() & F.col("_dec").isNotNull())
     band = cfg.sky_band_deg
     t = targets.select(
         F.col("id").alias("target_id"), F.col("ra").alias("_t_ra"), F.col("dec").alias("_t_dec"),
         F.when(F.col("radius_deg") != 0, F.col("radius_deg")).alias("_t_radius"),
-        F.explode(F.sequence(F.lit(0), F.lit(cfg.hot_salt - 1))).alias("_salt"),
     )
     # A hair more than the exact reach, so rounding never loses a border case.
     slack = 1e-6
@@ -51,7 +50,8 @@ def match_targets(frames: DataFrame, targets: DataFrame, cfg: Settings = DEFAULT
     shrink = F.abs(F.cos(F.radians("_dec")))
     ra_reach = F.when(shrink > 1e-9, reach / shrink).otherwise(F.lit(180.0))
     fov_side = pos.withColumn("_cell", F.explode(sky_cells_around(F.col("_ra"), F.col("_dec"), reach, ra_reach, band)))
-    fov_pairs = fov_side.join(t.withColumn("_cell", sky_cell(F.col("_t_ra"), F.col("_t_dec"), band)), ["_cell", "_salt"]).filter(covered)
+    point_side = t.withColumn("_cell", sky_cell(F.col("_t_ra"), F.col("_t_dec"), band))
+    fov_pairs = _join_cells(fov_side, point_side, cfg).filter(covered)
 
     r = F.col("_t_radius") + slack
     cap = F.sin(F.radians(r)) / F.cos(F.radians("_t_dec"))
@@ -61,12 +61,21 @@ def match_targets(frames: DataFrame, targets: DataFrame, cfg: Settings = DEFAULT
         "_cell", F.explode(sky_cells_around(F.col("_t_ra"), F.col("_t_dec"), r, cap_reach, band))
     )
     inside = _spherical_sep(F.col("_ra"), F.col("_dec"), F.col("_t_ra"), F.col("_t_dec")) <= F.col("_t_radius")
-    disc_pairs = pos.withColumn("_cell", sky_cell(F.col("_ra"), F.col("_dec"), band)).join(disc_side, ["_cell", "_salt"]).filter(inside & ~covered)
+    disc_pairs = _join_cells(pos.withColumn("_cell", sky_cell(F.col("_ra"), F.col("_dec"), band)), disc_side, cfg).filter(inside & ~covered)
 
     cols = ["target_id", *own]
     return fov_pairs.select(*cols).unionByName(disc_pairs.select(*cols))
 
 
+def _join_cells(frame_side: DataFrame, target_side: DataFrame, cfg: Settings) -> DataFrame:
+    """Equi-join on the sky cell; the target side is sized first."""
+    if target_side.limit(cfg.broadcast_rows + 1).count() <= cfg.broadcast_rows:
+        return frame_side.join(F.broadcast(target_side), "_cell")
+    salted = frame_side.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(cfg.hot_salt)).cast("int"))
+    copies = target_side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.hot_salt - 1))))
+    return salted.join(copies, ["_cell", "_salt"])
+
+
 def user_targets_rollup(frames: DataFrame, targets: DataFrame, rounded: bool = True, cfg: Settings = DEFAULTS) -> DataFrame:
     """Every user target with the totals of its frames, longest first;
     unmatched targets show zeros."""

@@ -61,8 +61,8 @@ def test_deep_pages(spark):
         paging.page_of(df, order, 0)
 
 
-@pytest.mark.parametrize("band", [0.5, 4.0, 45.0])
-def test_target_cells_lose_nothing(spark, make_frames, band):
+@pytest.mark.parametrize("band, broadcast", [(0.5, 0), (4.0, 0), (4.0, 10**6), (45.0, 100)])
+def test_target_cells_lose_nothing(spark, make_frames, band, broadcast):
     rng = random.Random(7)
     rows, sky = [], []
     for i in range(300):
@@ -75,7 +75,7 @@ def test_target_cells_lose_nothing(spark, make_frames, band):
         sky.append((j, f"t{j}", (base["ra"] + rng.uniform(-2, 2)) % 360, max(-90.0, min(90.0, base["dec"] + rng.uniform(-2, 2))), rng.choice([None, 0.0, 1.5, 20.0, 95.0]), None))
     frames = make_frames(*rows)
     t = spark.createDataFrame(sky, "id long, name string, ra double, dec double, radius_deg double, notes string")
-    got = [(r["target_id"], r["id"]) for r in targets.match_targets(frames, t, Settings(sky_band_deg=band, hot_salt=3)).select("target_id", "id").collect()]
+    got = [(r["target_id"], r["id"]) for r in targets.match_targets(frames, t, Settings(sky_band_deg=band, hot_salt=3, broadcast_rows=broadcast)).select("target_id", "id").collect()]
     assert len(got) == len(set(got))
 
     from nightledger.functions.spatial import contains
