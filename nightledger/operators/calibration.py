@@ -37,14 +37,6 @@ def _keyed(frames: DataFrame) -> DataFrame:
     )
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """NULL-safe equality on all keys; Spark still joins it by hash or sort."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def _attach(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *values)
     cond = F.lit(True)
