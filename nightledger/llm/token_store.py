@@ -179,7 +179,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-SEGMENTS = "part int, segment int, n_tokens bigint, " + DOC_NUMBERS + ", codes binary"
+SEGMENTS = "part int, segment int, before bigint, n_tokens bigint, " + DOC_NUMBERS + ", codes binary"
 
 
 def token_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -193,14 +193,14 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def parts(batches):
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         held, names, lengths, total = [], [], [], 0
 
         def close():
             codes = encode(np.frombuffer(b"".join(held), "<u4"))
-            columns = [[part], [number], [total], [names], [lengths], [codes]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "segment", "n_tokens", "doc_ids", "lengths", "codes"])
+            columns = [[part], [number], [before], [total], [names], [lengths], [codes]]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "segment", "before", "n_tokens", "doc_ids", "lengths", "codes"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, AT_A_TIME):
@@ -214,7 +214,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     total += n + 1
                     if total >= SEGMENT_TOKENS:
                         yield close()
-                        held, names, lengths, total, number = [], [], [], 0, number + 1
+                        held, names, lengths, total, number, before = [], [], [], 0, number + 1, before + total
         if held:
             yield close()
 
@@ -240,13 +240,11 @@ def documents_of(segments: DataFrame) -> DataFrame:
                 flat = memoryview(ids.tobytes())
                 crcs = [zlib.crc32(flat[4 * (s - n) : 4 * s]) for s, n in zip(stops.tolist(), lengths.tolist())]
                 n = len(lengths)
-                columns = [pa.array(batch["doc_ids"][i].as_py(), pa.int64()), pa.array(batch["before"][i].as_py() + stops - lengths), pa.array(lengths), pa.array(crcs, pa.int64())]
+                columns = [pa.array(batch["doc_ids"][i].as_py(), pa.int64()), pa.array(batch["_base"][i].as_py() + batch["before"][i].as_py() + stops - lengths), pa.array(lengths), pa.array(crcs, pa.int64())]
                 columns += [pa.array(np.full(n, batch[c][i].as_py(), np.int32)) for c in ("part", "segment")] + [pa.array((stops - lengths).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "part", "segment", "place"])
 
-    # One row per part (a task of the writer): a bounded list to sum along.
+    # One row per part (a task of the writer): a list bounded by the number of tasks.
     whole = segments.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     whole = whole.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_base"))
-    inside = segments.select("part", "segment", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")).alias("_inside"))
-    before = inside.join(whole, "part").select("part", "segment", (F.col("_base") + F.col("_inside")).alias("before"))
-    return segments.join(before, ["part", "segment"]).mapInArrow(decoded, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, part int, segment int, place bigint")
+    return segments.join(F.broadcast(whole), "part").mapInArrow(decoded, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, part int, segment int, place bigint")
