@@ -23,6 +23,7 @@ MOST = 3
 #: Documents of a source that one task settles at a time.
 BLOCK = 4000
 SEED = 20
+BROADCAST_SOURCES = 500_000
 _OPEN = 1e-9
 
 
@@ -102,15 +103,17 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"), F.sum("count").alias("docs"))
     sources = written(targets(sources), "sources")
     factor = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    units = rows.withColumnRenamed("source", "_source").join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    # One row a source: broadcast up to a checked number of them, so that no source's documents meet in one task.
+    few = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda table: table)
+    units = rows.withColumnRenamed("source", "_source").join(few(sources), F.col("source").eqNullSafe(F.col("_source")))
     units = units.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).withColumn("_f", factor)
     units = units.withColumns({"sure": F.floor("_f").cast("long"), "share": F.col("_f") - F.floor("_f"), "turn": F.xxhash64("doc_id", "size", "copy", F.lit(SEED))})
     facts = ["doc_id", "copy", "rank", "size", "source_size", "target", "sure", "turn", "share"]
     open_, done, turn = units.select(*facts), None, 0
     while True:
         counts = open_.groupBy("rank").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-        dealt = open_.join(counts, "rank").withColumns({"round": F.lit(turn), "block": F.pmod(F.xxhash64("turn", F.lit(turn)), F.col("blocks"))})
-        settled = written(dealt.groupBy("rank", "block").applyInPandas(_settle, dealt.schema), "settled")
+        dealt = open_.join(few(counts), "rank").withColumns({"round": F.lit(turn), "block": F.pmod(F.xxhash64("turn", F.lit(turn)), F.col("blocks"))})
+        settled = written(dealt.repartition("rank", "block").groupBy("rank", "block").applyInPandas(_settle, dealt.schema), "settled")
         ends = settled.where("share = 0 or share = 1").select(*facts)
         done = ends if done is None else done.unionByName(ends)
         open_, turn = settled.where("share > 0 and share < 1").select(*facts), turn + 1
