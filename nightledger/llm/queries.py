@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc_oracle
 from .common import read
 
 TOKENIZER_FILE, END_ID = "word_bpe_49k.json", 2
 
 ORACLES = {
+    "op2_warc": warc_oracle.SQL,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -36,6 +38,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, digests, responses
+
+    return digests(derivatives(responses(read(spark, sf_dir, "pages"))))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
