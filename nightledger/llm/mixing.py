@@ -31,6 +31,10 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def unit_key() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """Adds rank, weight, target to `sources` (source, source_size): shares of all sizes, none above MOST times its size.
 
@@ -92,14 +96,15 @@ def _settle(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, copies, source, key, copy for every row of docs (doc_id, text, source).
 
+    key names rows with the same doc_id, text and source, and copy numbers them from 1.
     Sizes count words; NULL texts and wordless ones have size 0 and take nothing.  A NULL source is a source, the last.
     Repeated rows are documents of their own.  The same rows give the same mix on every run, however they are partitioned.
     Other columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    rows = written(rows.groupBy("doc_id", "source", "size").count(), "sizes")
+    rows = docs.select(unit_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+    rows = written(rows.groupBy("key", "doc_id", "source", "size").count(), "sizes")
     sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"), F.sum("count").alias("docs"))
     sources = written(targets(sources), "sources")
     factor = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(0.0)
@@ -107,8 +112,8 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     few = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda table: table)
     units = rows.withColumnRenamed("source", "_source").join(few(sources), F.col("source").eqNullSafe(F.col("_source")))
     units = units.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).withColumn("_f", factor)
-    units = units.withColumns({"sure": F.floor("_f").cast("long"), "share": F.col("_f") - F.floor("_f"), "turn": F.xxhash64("doc_id", "size", "copy", F.lit(SEED))})
-    facts = ["doc_id", "copy", "rank", "size", "source_size", "target", "sure", "turn", "share"]
+    units = units.withColumns({"sure": F.floor("_f").cast("long"), "share": F.col("_f") - F.floor("_f"), "turn": F.xxhash64("key", "copy", F.lit(SEED))})
+    facts = ["key", "doc_id", "source", "copy", "rank", "size", "source_size", "target", "sure", "turn", "share"]
     open_, done, turn = units.select(*facts), None, 0
     while True:
         counts = open_.groupBy("rank").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
@@ -120,4 +125,4 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         if open_.isEmpty():
             break
     copies = F.col("sure") + F.col("share").cast("long")
-    return done.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "key", "copy")
