@@ -81,10 +81,11 @@ class Network:
 
     def probability(self, best: np.ndarray, full: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """From the pooled filters of all chunks; document i has the chunks from starts[i]."""
-        h = np.maximum(np.hstack([np.maximum(best, 0), full]) @ self.hidden + self.hidden_offset, 0)
+        # In double precision, so that a score does not depend on what else is in the batch.
+        h = np.maximum(np.hstack([np.maximum(best, 0), full]).astype(np.float64) @ self.hidden + self.hidden_offset, 0)
         counts = np.diff(np.append(starts, len(best)))[:, None]
         doc = np.concatenate([np.add.reduceat(h, starts) / counts, np.maximum.reduceat(h, starts)], 1)
-        return 1 / (1 + np.exp(-np.clip(doc @ self.out[:-1] + self.out[-1], -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(doc @ self.out[:-1] + self.out[-1], -30, 30))), 9)
 
     def gradients(self, docs: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
         rows = np.concatenate(docs)
