@@ -24,16 +24,20 @@ def _cells(digest: Column, cells: int) -> list[Column]:
     return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(cells)) for i in range(CELLS_OF_ROW)]
 
 
-def repeated_cells(rows: DataFrame, digest: str, cells: int) -> DataFrame:
-    """(word, bits): the cells that at least two rows set, 64 to a word."""
-    hit = rows.select(F.explode(F.array(*_cells(F.col(digest), cells))).alias("cell")).groupBy("cell").count().where("count > 1")
+def bit_count(rows: int) -> int:
+    """Cells for so many rows: a power of two."""
+    return 1 << max(10, math.ceil(math.log2(CELLS_PER_ROW * max(1, rows))))
+
+
+def set_cells(rows: DataFrame, digest: str, cells: int, times: int) -> DataFrame:
+    """(word, bits): the cells that at least so many rows set, 64 to a word."""
+    hit = rows.select(F.explode(F.array(*_cells(F.col(digest), cells))).alias("cell")).groupBy("cell").count().where(F.col("count") >= times)
     bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
-    return hit.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return written(hit.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits")), "cells")
 
 
-def possibly_repeated(rows: DataFrame, digest: str, cells: int) -> DataFrame:
-    """`rows` with a boolean `maybe`: false only if no other row has the same digest."""
-    words = written(repeated_cells(rows, digest, cells), "cells")
+def tested(rows: DataFrame, digest: str, cells: int, words: DataFrame) -> DataFrame:
+    """`rows` with a boolean `maybe`: whether all cells of the digest are among the words' bits."""
     small = words.count() <= BROADCAST_WORDS
     maybe = F.lit(True)
     for i, cell in enumerate(_cells(F.col(digest), cells)):
@@ -44,6 +48,11 @@ def possibly_repeated(rows: DataFrame, digest: str, cells: int) -> DataFrame:
     return rows.withColumn("maybe", maybe).drop(*(f"_{x}{i}" for i in range(CELLS_OF_ROW) for x in ("cell", "word", "bits")))
 
 
+def possibly_repeated(rows: DataFrame, digest: str, cells: int) -> DataFrame:
+    """`rows` with a boolean `maybe`: false only if no other row has the same digest."""
+    return tested(rows, digest, cells, set_cells(rows, digest, cells, 2))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -52,10 +61,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     total = docs.count()
-    cells = 1 << max(10, math.ceil(math.log2(CELLS_PER_ROW * max(1, total))))
-    tested = possibly_repeated(rows.withColumn("_digest", F.xxhash64("text_sha256")), "_digest", cells).drop("_digest")
-    alone = tested.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = tested.where("maybe").drop("maybe")
+    found = possibly_repeated(rows.withColumn("_digest", F.xxhash64("text_sha256")), "_digest", bit_count(total)).drop("_digest")
+    alone = found.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    again = found.where("maybe").drop("maybe")
     groups = written(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     copies = attach(again, groups, "text_sha256", "group_size", total)
     return alone.unionByName(copies.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))

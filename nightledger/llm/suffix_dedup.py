@@ -19,10 +19,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, written
+from .exact_dedup import bit_count, set_cells, tested
 
 LENGTH = 400
 GRAM, SPAN = 16, 256
@@ -84,7 +85,7 @@ def suffixes(rows: DataFrame) -> DataFrame:
 
 
 def _level(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("core", "full").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    return entries.groupBy("core", "full").agg(F.sum("n").alias("n"))
 
 
 class IndexFamily:
@@ -95,8 +96,8 @@ class IndexFamily:
         self.shared: DataFrame | None = None
 
     def add(self, batch: DataFrame) -> None:
-        """Take in the suffixes of a batch (row, core, full)."""
-        array = written(_level(batch.select("core", "full", F.lit(1).cast("long").alias("n"), "row")).sortWithinPartitions("core", "full"), "array")
+        """Take in the suffixes of a batch (core, full)."""
+        array = written(_level(batch.select("core", "full", F.lit(1).cast("long").alias("n"))).sortWithinPartitions("core", "full"), "array")
         self._share(array.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1"))
         for level in self.levels.values():
             self._share(array.join(level, "core", "left_semi"))
@@ -116,7 +117,7 @@ class IndexFamily:
         self.shared = cores if self.shared is None else self.shared.unionByName(cores)
 
     def repeated(self) -> DataFrame:
-        """(core, full, n, row, kinds) of every suffix whose core occurs twice; kinds counts the core's unions."""
+        """(core, full, n, kinds) of every suffix whose core occurs twice; kinds counts the core's unions."""
         everything = None
         for level in self.levels.values():
             everything = level if everything is None else everything.unionByName(level)
@@ -146,7 +147,7 @@ def _outcome(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int,
 
 
 _SPAN = "array<struct<lo: int, hi: int>>"
-_CHECK = "array<struct<lo: int, hi: int, core: bigint, kinds: bigint, twice: boolean, full: bigint>>"
+_CHECK = "array<struct<lo: int, hi: int, core: bigint, kinds: bigint, twice: boolean>>"
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -158,14 +159,14 @@ def _visit(batches):
         for row, doc_id, text, marks in zip(*columns):
             data = _bytes(text)
             spans = _merged([(m["lo"], m["hi"] + LENGTH) for m in marks or () if m["twice"]])
-            checks = [m for m in marks or () if m["check"]]
+            checks = [{k: v for k, v in m.items() if k != "check"} for m in marks or () if m["check"]]
             open_ = [m for m in checks if not m["twice"]]
             done = (len(data), 0, 0, None) if open_ else _outcome(data, spans)
             values = (row, doc_id, *done, data if checks else None, [{"lo": a, "hi": b} for a, b in spans] if checks else None, checks or None)
             for column, value in zip(out, values):
                 column.append(value)
         span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-        check = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("core", pa.int64()), ("kinds", pa.int64()), ("twice", pa.bool_()), ("full", pa.int64())]))
+        check = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("core", pa.int64()), ("kinds", pa.int64()), ("twice", pa.bool_())]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), span, check]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "data", "spans", "checks"])
 
@@ -177,10 +178,12 @@ def _snippets(batches):
         for row, data, checks in zip(*(batch[c].to_pylist() for c in ("row", "data", "checks"))):
             seen = set()
             for m in checks:
-                if m["twice"] and (m["core"], m["full"]) in seen:
+                snippet = data[m["lo"] : m["hi"] + LENGTH]
+                if m["twice"] and (m["core"], snippet) in seen:
                     continue
-                seen.add((m["core"], m["full"]))
-                for column, value in zip(out, (m["core"], m["kinds"], row, m["lo"], m["twice"], data[m["lo"] : m["hi"] + LENGTH])):
+                if m["twice"]:
+                    seen.add((m["core"], snippet))
+                for column, value in zip(out, (m["core"], m["kinds"], row, m["lo"], m["twice"], snippet)):
                     column.append(value)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["core", "kinds", "row", "lo", "twice", "snippet"])
@@ -265,6 +268,10 @@ def _finish(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _untouched(text: Column) -> list[Column]:
+    return [F.octet_length(text).cast("long").alias("n_bytes"), *(F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans")), F.sha2(text, 256).alias("kept_sha256")]
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
 
@@ -280,19 +287,26 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for i in range(batches):
         family.add(index.where(F.col("batch") == i))
     repeated = family.repeated()
-    facts = repeated.select(F.col("core").alias("_core"), F.col("full").alias("_full"), "n", "kinds", F.col("row").alias("_row"))
+    facts = repeated.select(F.col("core").alias("_core"), F.col("full").alias("_full"), "n", "kinds")
     hot = facts.where(F.col("n") > F.lit(max(1000, index.count() // 500)))
     same = lambda side: (index["core"] == side["_core"]) & (index["full"] == side["_full"])
     rest = index.join(F.broadcast(hot.select("_core", "_full")), same(hot), "left_anti")
     known = index.join(F.broadcast(hot), same(hot)).unionByName(rest.join(facts, (rest["core"] == facts["_core"]) & (rest["full"] == facts["_full"])))
-    twice = F.col("n") > 1
-    # A suffix that occurs twice is compared with the others of its core once, where its row is the smallest.
-    check = (F.col("kinds") > 1) & (~twice | (F.col("row") == F.col("_row")))
-    marks = known.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "core", "kinds", twice.alias("twice"), check.alias("check"), "full")).alias("marks"))
-    visited = written(rows.join(marks, "row", "left").select("row", "doc_id", "text", "marks").mapInArrow(_visit, f"row bigint, {_RESULT}, data binary, spans {_SPAN}, checks {_CHECK}"), "visited")
+    known = written(known.select("row", "lo", "hi", (F.col("n") > 1).alias("twice"), *(F.when(F.col("kinds") > 1, F.col(c)).alias(c) for c in ("core", "kinds", "full"))), "known")
+    # A suffix that occurs twice is compared with the others of its core once, in the row with the smallest name.
+    both = F.coalesce(F.col("twice") & (F.col("kinds") > 1), F.lit(False))
+    first = known.where(both).groupBy("core", "full").agg(F.min("row").alias("row")).select("core", "full", "row", F.lit(True).alias("first"))
+    known = known.where(~both).withColumn("first", F.lit(None).cast("boolean")).unionByName(known.where(both).join(first, ["core", "full", "row"], "left"))
+    check = F.col("kinds").isNotNull() & (~F.col("twice") | F.col("first").isNotNull())
+    marks = known.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "twice", check.alias("check"), F.when(check, F.col("core")).alias("core"), F.when(check, F.col("kinds")).alias("kinds"))).alias("marks"))
+    # Rows that a Bloom filter of the marked ones leaves out pass straight through; only the others shuffle.
+    cells = bit_count(rows.count())
+    split = tested(rows, "row", cells, set_cells(known.select("row").distinct(), "row", cells, 1))
+    alone = split.where(~F.col("maybe")).select("doc_id", *_untouched(F.col("text")))
+    visited = written(split.where("maybe").join(marks, "row", "left").select("row", "doc_id", "text", "marks").mapInArrow(_visit, f"row bigint, {_RESULT}, data binary, spans {_SPAN}, checks {_CHECK}"), "visited")
     snippets = visited.where("checks is not null").dropDuplicates(["row"]).select("row", "data", "checks").mapInArrow(_snippets, "core bigint, kinds bigint, row bigint, lo int, twice boolean, snippet binary")
     few = snippets.where(F.col("kinds") <= IN_ONE_TASK).repartition("core").sortWithinPartitions("core", "row", "lo").mapInArrow(_compare, "row bigint, lo int, hi int")
     many = _compared_by_shuffle(snippets.where(F.col("kinds") > IN_ONE_TASK))
     found = few.unionByName(many).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     open_ = visited.where("kept_sha256 is null").join(found, "row", "left").select("doc_id", "data", "spans", "found").mapInArrow(_finish, _RESULT)
-    return visited.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(open_)
+    return alone.unionByName(visited.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")).unionByName(open_)
