@@ -69,13 +69,36 @@ def _flux(spark, sf_dir):
     return rounded(stars.star_flux(portable.detections(spark, sf_dir)), "star_flux")
 
 
-@query("streak_fragments")
+_RADIANS_15 = "0.2617993877991494"
+_STREAKS = (
+    f"t AS (SELECT *, CAST(row_number() OVER ({_ORDER}) AS INT) AS rank FROM d WHERE {_VALID} QUALIFY rank <= 200), "
+    "e AS (SELECT frame_id, rank, x, y, theta, a * sqrt(12) AS len, b FROM t WHERE a / b > 2), "
+    "g AS (SELECT p.frame_id, p.rank AS i, q.rank AS j, p.len + q.len AS len, p.b + q.b AS wid, q.x - p.x AS gx, q.y - p.y AS gy, p.theta - q.theta AS turn, "
+    "atan2(sin(2 * p.theta) + sin(2 * q.theta), cos(2 * p.theta) + cos(2 * q.theta)) / 2 AS dir FROM e p JOIN e q ON p.frame_id = q.frame_id AND p.rank <> q.rank), "
+    f"l AS (SELECT frame_id, i, j FROM g WHERE abs(turn + pi() / 2 - pi() * floor((turn + pi() / 2) / pi()) - pi() / 2) < {_RADIANS_15} "
+    f"AND abs(gy * cos(dir) - gx * sin(dir)) < least(15, wid / 2 + abs(gx * cos(dir) + gy * sin(dir)) * tan({_RADIANS_15})) AND abs(gx * cos(dir) + gy * sin(dir)) <= 3 * len / 2), "
+    "r AS (SELECT frame_id, rank AS i, rank AS j FROM e UNION SELECT r.frame_id, r.i, l.j FROM r JOIN l ON l.frame_id = r.frame_id AND l.i = r.j), "
+    "m AS (SELECT frame_id, i AS rank, true AS hit FROM r GROUP BY frame_id, i HAVING count(*) >= 3), "
+    "f AS (SELECT t.*, coalesce(hit, false) AS fragment FROM t LEFT JOIN m USING (frame_id, rank))"
+)
+
+
+def _with_streaks(select: str) -> str:
+    return f"WITH RECURSIVE d AS ({portable.DETECTIONS_SQL}), {_STREAKS} {select}"
+
+
+@query("streak_fragments", _with_streaks("SELECT frame_id, rank, fragment FROM f"))
 def _fragments(spark, sf_dir):
     f = stars.streak_fragments(portable.detections(spark, sf_dir))
     return f.select("frame_id", "rank", "fragment")
 
 
-@query("trail_scores")
+@query("trail_scores", _with_streaks(
+    "SELECT frame_id, CASE WHEN count(*) FILTER (WHERE NOT fragment) >= 5 THEN round(greatest(0, (avg(CASE WHEN a / b > 2 AND off < 15 THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT fragment) "
+    "- avg(CASE WHEN a / b > 2 THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT fragment) / 6) / (5.0 / 6)), 6) END AS trail_score FROM ("
+    "SELECT f.*, abs(degrees(theta - axis) + 90 - 180 * floor((degrees(theta - axis) + 90) / 180) - 90) AS off FROM f JOIN ("
+    "SELECT frame_id, atan2(avg((1 - b / a) * sin(2 * theta)) FILTER (WHERE NOT fragment), avg((1 - b / a) * cos(2 * theta)) FILTER (WHERE NOT fragment)) / 2 AS axis FROM f GROUP BY frame_id) USING (frame_id)) GROUP BY frame_id"
+))
 def _trails(spark, sf_dir):
     return rounded(stars.trail_scores(portable.detections(spark, sf_dir)), "trail_score")
 
