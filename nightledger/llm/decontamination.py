@@ -171,23 +171,34 @@ class Index:
         goes_on = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
         window = window + np.where(goes_on[:, None], sums[1:], 0)
         norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)
-        alike = window @ self.vectors.T
-        near = (alike >= MIN_COSINE * norm[:, None]) & (alike >= MIN_PART * self.lengths)
+        # A window shorter than the least part of the shortest passage is close to none.
+        long_enough = np.flatnonzero(norm >= MIN_PART * self.lengths.min())
         best: dict[tuple[int, int], tuple] = {}
-        for w, p in zip(*np.nonzero(near)):
+        for w, p, alike in self._near(window, norm, long_enough):
             i = int(owner[w])
             wanted, at = self.words[p], (int(w) - int(first[i])) * BLOCK
             part = all_[i][max(0, at - len(wanted)) : at + 2 * BLOCK + len(wanted)]
+            # No subsequence is longer than the words that are there at all.
+            if sum(map(set(part).__contains__, wanted)) < MIN_LCS_WITH_ANSWER * len(wanted):
+                continue
             lcs = common(wanted, part) / len(wanted)
             if lcs < MIN_LCS_WITH_ANSWER:
                 continue
             there = common(self.answers[p], part) >= MIN_ANSWER * len(self.answers[p])
             if lcs >= MIN_LCS or there:
-                found = (lcs, float(alike[w, p] / norm[w]), bool(there))
+                found = (lcs, float(alike / norm[w]), bool(there))
                 key = (i, self.items[p])
                 best[key] = max(best.get(key, found), found)
         return [(i, item, cosine, lcs, there) for (i, item), (lcs, cosine, there) in best.items()]
 
+    def _near(self, window: np.ndarray, norm: np.ndarray, candidates: np.ndarray):
+        """(window, passage, product) of those close enough to be compared."""
+        for at in range(0, len(candidates), 4096):
+            some = candidates[at : at + 4096]
+            alike = window[some] @ self.vectors.T
+            rows, columns = np.nonzero(alike >= np.maximum(MIN_COSINE * norm[some][:, None], MIN_PART * self.lengths))
+            yield from zip(some[rows].tolist(), columns.tolist(), alike[rows, columns].tolist())
+
     @property
     def known(self) -> np.ndarray:
         if not hasattr(self, "_known"):
