@@ -54,11 +54,9 @@ class Settings:
 
     # Physical knobs: they change how work is spread, never a result.
     exact_group_rows: int = 1_000_000   # larger groups get the multi-stage median
-    screen_group_rows: int = 200_000    # larger sessions are screened in chunks
     hot_salt: int = 16                  # slices of a possibly hot join key
     sky_band_deg: float = 4.0           # edge of a sky grid cell, about a field of view
     broadcast_rows: int = 100_000       # a counted side up to this size is broadcast
-    direct_page_rows: int = 100_000     # deeper pages use the indexed sort
 
 
 DEFAULTS = Settings()

@@ -13,6 +13,13 @@ _SQL_FUNCTIONS = {
         "cos(radians(dec1)) * cos(radians(dec2)) * power(sin((radians(ra2) - radians(ra1)) / 2), 2))))))",
         "DOUBLE",
     ),
+    "mad": (
+        "v ARRAY<DOUBLE>",
+        # Median of the distances from the median; NULL elements do not count.
+        "CASE WHEN size(filter(v, x -> x IS NOT NULL)) > 0 THEN element_at(transform(array(sort_array(filter(v, x -> x IS NOT NULL))), s -> "
+        "element_at(transform(array(sort_array(transform(s, x -> abs(x - (s[(size(s) - 1) div 2] + s[size(s) div 2]) / 2)))), d -> (d[(size(d) - 1) div 2] + d[size(d) div 2]) / 2), 1)), 1) END",
+        "DOUBLE",
+    ),
     "wrap_ra": ("delta DOUBLE", "delta + 180 - 360 * floor((delta + 180) / 360) - 180", "DOUBLE"),
     "fov_contains": (
         "ra DOUBLE, dec DOUBLE, fov_w DOUBLE, fov_h DOUBLE, rotation DOUBLE, ra0 DOUBLE, dec0 DOUBLE",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,8 +185,8 @@ def run_saved_query(
 ) -> DataFrame:
     """Frames approved by a saved query, sorted.
 
-    The stored state is JSON with the base filters and `expression`, a Spark
-    SQL condition or the name of an entry in `predicates`.  Tombstones are
+    The stored state is JSON with the base filters and `expression`, a condition
+    as data or the name of an entry in `predicates`.  Tombstones are
     left out, rejected frames too unless asked for.
     """
     from nightledger.operators.paging import sort_spec
@@ -199,7 +201,14 @@ def run_saved_query(
     base = {k: s.get(k) or None for k in keys}
     base["imagetyp"] = s.get("imagetyp", "Light Frame") or None
     text = s.get("expression") or ""
-    predicate = (predicates or {}).get(text, text)
+    predicate = (predicates or {}).get(text)
+    if text and predicate is None:
+        try:
+            predicate = json.loads(text)
+        except ValueError:
+            predicate = None
+        if not isinstance(predicate, dict):
+            raise ValueError(f"saved query {query_id}: neither a condition nor a known predicate: {text!r}")
     out = select_frames(frames.filter(F.col("index_error").isNull()), predicate, cfg, **base)
     if not include_rejected:
         out = out.filter(F.coalesce("rejected", F.lit(0)) == 0)

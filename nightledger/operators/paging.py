@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from nightledger.config import DEFAULTS, Settings
 from nightledger.functions.numeric import nonzero
 from nightledger.operators.quantiles import global_quantiles
-from nightledger.sources.scratch import cut
 
 # Columns the list view sorts by; anything else sorts by date.
 LIST_SORTS = [
@@ -70,28 +69,17 @@ def sort_frames(df: DataFrame, spec: str | None = None) -> DataFrame:
     return df.orderBy(*sort_spec(spec))
 
 
-def page_of(df: DataFrame, order: list[Column], page: int = 1, per_page: int = 50, cfg: Settings = DEFAULTS) -> DataFrame:
+def page_of(df: DataFrame, order: list[Column], page: int = 1, per_page: int = 50) -> DataFrame:
     """One page in the given total order.
 
-    Near the front this is a bounded top-k.  Deep pages would drag everything
-    before them through one task, so there the sorted rows are numbered where
-    they lie: row counts per sorted partition give each partition its offset.
+    Only order keys and ids are sorted up to the page, as far as Spark's own
+    limit and offset need; the page's full rows are then fetched by their ids,
+    of which there are `per_page` at most.
     """
     if page < 1 or per_page < 1:
         raise ValueError("page and per_page start at 1")
-    start = (page - 1) * per_page
-    if start + per_page <= cfg.direct_page_rows:
-        return df.orderBy(*order).offset(start).limit(per_page)
-    placed = cut(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}))
-    local = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}  # one row per partition
-    picks, seen = F.lit(False), 0
-    for part in sorted(sizes):
-        lo, hi = max(0, start - seen), start + per_page - seen
-        if lo < sizes[part] and hi > 0:
-            picks = picks | ((F.col("_part") == part) & (local >= lo) & (local < hi))
-        seen += sizes[part]
-    return placed.filter(picks).orderBy("_part", "_pos").drop("_part", "_pos")
+    wanted = df.orderBy(*order).select("id").offset((page - 1) * per_page).limit(per_page)
+    return df.join(F.broadcast(wanted), "id", "left_semi").orderBy(*order)
 
 
 def page_info(df: DataFrame, page: int = 1, per_page: int = 50) -> DataFrame:
@@ -113,6 +101,17 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) ->
 REFERENCE_MODES = {"max_fov": ("fov", True), "min_fov": ("fov", False), "max_scale": ("scale", True), "min_scale": ("scale", False)}
 
 
+def _element(df: DataFrame, value: Column, rank: int, n: int, cfg: Settings) -> float:
+    """The element at `rank` (from 0) of the n sorted values."""
+    near = global_quantiles(df, {"q": (value, rank / (n - 1) if n > 1 else 0.0)}, cfg.exact_group_rows)["q"]
+    # The position may be a rounding error off; the element is one of the values around it.
+    ends = df.agg(F.max(F.when(value <= near, value)).alias("below"), F.min(F.when(value >= near, value)).alias("above")).first()
+    if ends["above"] is None or ends["below"] is None:
+        return ends["below"] if ends["above"] is None else ends["above"]
+    smaller = df.filter(value < ends["above"]).count()
+    return ends["above"] if smaller <= rank else ends["below"]
+
+
 def pick_reference(approved: DataFrame, mode: str = "max_fov", cfg: Settings = DEFAULTS) -> DataFrame:
     """The reference frame: at or above the upper median quality, then the
     largest / smallest field or scale; the best quality if no geometry is
@@ -122,12 +121,7 @@ def pick_reference(approved: DataFrame, mode: str = "max_fov", cfg: Settings = D
     n = approved.filter(measured).count()
     pool = approved
     if n:
-        # The element at n // 2 of the sorted scores, as a quantile position.
-        q = (n // 2) / (n - 1) if n > 1 else 0.0
-        threshold = global_quantiles(approved, {"q": (F.col("quality_score"), q)}, cfg.exact_group_rows)["q"]
-        # Interpolation may land a rounding error off the element itself.
-        at_least = approved.filter(F.col("quality_score") >= threshold - 1e-9).agg(F.min("quality_score")).first()[0]
-        pool = approved.filter(F.col("quality_score") >= at_least)
+        pool = approved.filter(F.col("quality_score") >= _element(approved, F.col("quality_score"), n // 2, n, cfg))
     what, largest = REFERENCE_MODES.get(mode, REFERENCE_MODES["max_fov"])
     scale = F.coalesce(nonzero(F.col("wcs_scale")), F.col("pixel_scale"))
     geometry = F.coalesce(nonzero(F.col("fov_w")), nonzero(F.col("naxis1")) * nonzero(scale) / 3600.0) if what == "fov" else scale

@@ -241,7 +241,9 @@ def catalog_counts(frames: DataFrame, top_objects: int = 20) -> DataFrame:
     typ = F.coalesce(F.nullif(F.col("imagetyp"), F.lit("")), F.lit("Unknown"))
     counted = _value_counts(frames, {"imagetyp": typ, "object": F.col("object"), "filter": F.col("filter")})
     rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("count").desc(), F.col("value")))
-    return counted.withColumn("_r", rank).filter((F.col("facet") != "object") | (F.col("_r") <= top_objects)).drop("_r")
+    # The limit is a plain bound on the rank, so Spark drops the rest before the shuffle.
+    objects = counted.filter("facet = 'object'").withColumn("_r", rank).filter(F.col("_r") <= top_objects).drop("_r")
+    return counted.filter("facet <> 'object'").unionByName(objects)
 
 
 def distinct_values(frames: DataFrame) -> DataFrame:
@@ -267,8 +269,9 @@ def facets(approved: DataFrame, n: int = 40, n_dates: int = 90) -> DataFrame:
         "date": F.nullif(night(F.col("date_obs")), F.lit("")),
     })
     rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("count").desc(), F.col("value")))
-    top = F.when(F.col("facet") == "date", n_dates).otherwise(n)
-    return counted.withColumn("rank", rank).filter(F.col("rank") <= top)
+    # The larger limit for all facets first: a plain bound that Spark applies before the shuffle.
+    most = counted.withColumn("rank", rank).filter(F.col("rank") <= max(n, n_dates))
+    return most.filter(F.col("rank") <= F.when(F.col("facet") == "date", n_dates).otherwise(n))
 
 
 def facet_totals(approved: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from nightledger.config import DEFAULTS, Settings
 from nightledger.operators.quantiles import grouped_medians
 from nightledger.operators.sessions import SERIES, frame_sessions, session_key, session_size
-from nightledger.sources.scratch import cut
 
 METRICS = list(SERIES)
 HIGHER_IS_BETTER = [better for _, better in SERIES.values()]
@@ -126,8 +125,11 @@ def _emit(ids: list, out: list) -> pd.DataFrame:
 
 
 def _whole_sessions(batches: Iterator[pd.DataFrame], size: int, limits: list) -> Iterator[pd.DataFrame]:
-    """Sorted rows of many sessions -> verdicts.  Buffers one session at a
-    time, and sessions here are bounded in size."""
+    """Sorted rows of many sessions -> verdicts.
+
+    A session is replayed in order, so it is one task's work; it is one
+    camera's run without a pause of hours, and six numbers a frame are held.
+    """
     held: list[pd.DataFrame] = []
 
     def replay() -> pd.DataFrame:
@@ -175,13 +177,10 @@ def screen_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool
         "id", "t_ms", "session_key", "session_start", "session_counted",
         *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(m) for m, (c, _) in SERIES.items()],
     )
-    small = _screen_small(rows.filter(F.col("session_counted") <= cfg.screen_group_rows), cfg)
-    if session_size(frames, cfg.screen_group_rows, cfg, with_type) <= cfg.screen_group_rows:
-        return small
-    return small.unionByName(_screen_large(rows.filter(F.col("session_counted") > cfg.screen_group_rows), cfg))
+    return _replayed(rows, cfg)
 
 
-def _screen_small(rows: DataFrame, cfg: Settings) -> DataFrame:
+def _replayed(rows: DataFrame, cfg: Settings) -> DataFrame:
     size, limits = cfg.seq_baseline_frames, limits_of(cfg)
     # Hash and start time name a session in the Arrow batches; the full key
     # decides the task.  (Equal hashes would also need equal start times.)
@@ -194,72 +193,6 @@ def _screen_small(rows: DataFrame, cfg: Settings) -> DataFrame:
     return packed.select("id", "_session", "session_start", *METRICS).mapInPandas(run, OUT_SCHEMA)
 
 
-def _screen_large(rows: DataFrame, cfg: Settings, chunks: int | None = None) -> DataFrame:
-    """Replay oversized sessions chunk by chunk, exactly.
-
-    A chunk is one partition of the range-sorted rows, streamed batch by
-    batch.  The driver keeps one small state per chunk (the windows, not the
-    frames).  Chunk 0 starts right; each round makes at least one more chunk
-    start right, and in practice nearly all do after two rounds, because a
-    state is forgotten within a few unflagged frames.
-    """
-    size, limits = cfg.seq_baseline_frames, limits_of(cfg)
-    session = F.concat_ws("|", F.col("session_start"), F.to_json("session_key"))
-    rows = rows.withColumn("_session", session)
-    seeds = grouped_medians(rows.select("_session", "session_counted", *METRICS), ["_session"], METRICS, cfg.exact_group_rows, "session_counted")
-    seeds = seeds.select("_session", *[F.col(m).alias(f"seed_{m}") for m in METRICS])
-    rows = rows.select("id", "_session", "t_ms", *METRICS).join(seeds, "_session")
-    by = ["_session", "t_ms", "id"]
-    spread = rows.repartitionByRange(chunks, *by) if chunks else rows.repartitionByRange(*by)
-    parts = cut(spread.sortWithinPartitions(*by).withColumn("chunk", F.spark_partition_id()))
-
-    def replay(batches: Iterator[pd.DataFrame], starts: dict, emit_rows: bool) -> Iterator[pd.DataFrame]:
-        state = None
-        chunk = first = current = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            out = []
-            names = pdf["_session"].tolist()
-            seeds_here = list(zip(*[pdf[f"seed_{m}"].astype(float).tolist() for m in METRICS]))
-            for i, row in enumerate(_metric_rows(pdf)):
-                if names[i] != current:
-                    state = Replay(seeds_here[i], size, limits)
-                    if current is None:
-                        chunk, first = int(pdf["chunk"].iloc[0]), names[i]
-                        if starts.get(chunk) is not None:
-                            state.restore(starts[chunk])
-                    current = names[i]
-                out.append(state.step(row))
-            if emit_rows:
-                yield _emit(pdf["id"].tolist(), out)
-        if not emit_rows and state is not None:
-            yield pd.DataFrame({"chunk": [chunk], "first": [first], "last": [current], "state": [repr(state.snapshot())]})
-
-    def ends(starts: dict, only: list[int] | None) -> dict:
-        src = parts if only is None else parts.filter(F.col("chunk").isin(only))
-        got = src.mapInPandas(lambda b: replay(b, starts, False), "chunk int, first string, last string, state string").collect()
-        return {r["chunk"]: r for r in got}
-
-    import ast
-
-    starts: dict[int, tuple | None] = {}
-    known = ends(starts, None)
-    while True:
-        order = sorted(known)
-        again = []
-        for before, here in zip(order, order[1:]):
-            joined = known[before]["last"] == known[here]["first"]
-            start = ast.literal_eval(known[before]["state"]) if joined else None
-            if start != starts.get(here):
-                starts[here] = start
-                again.append(here)
-        if not again:
-            break
-        known.update(ends(starts, again))
-    return parts.mapInPandas(lambda b: replay(b, starts, True), OUT_SCHEMA)
-
-
 def with_screening(frames: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Attach verdicts by id.  Frames that could not be judged are neither
     anomalous nor ok, and their deviations are unknown."""

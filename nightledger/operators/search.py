@@ -102,7 +102,7 @@ def search_frames(
     numeric bounds (hfr_max, stars_min, ...) and the verdicts good_tracking,
     occluded, satellite, shadow (True or False; unanalyzed frames match
     neither).  `near` is (ra, dec, radius), `covers` is (ra, dec), `where` is
-    a selection predicate: these three see only the rows passing the rest.
+    a selection predicate or a condition as data: these three see only the rows passing the rest.
     """
     conds = [indexing_state(indexing)] if indexing != "all" else []
     wanted_ids = id_list(ids) if ids is not None else []
@@ -158,12 +158,14 @@ def search_frames(
     if near is None and covers is None and where is None:
         return out
 
+    from nightledger.operators.conditions import predicate_of
+    from nightledger.operators.predicates import as_flag
     from nightledger.operators.selector import Vars, filter_view
 
     def spatial(v: Vars):
         cond = None
         for part in (
-            where(v) if callable(where) else None,
+            as_flag(where(v)) if where is not None else None,
             v.angsep(near[0], near[1]) <= near[2] if near is not None else None,
             v.contains(*covers) if covers is not None else None,
         ):
@@ -171,9 +173,8 @@ def search_frames(
                 cond = part if cond is None else cond & part
         return cond
 
-    if isinstance(where, str):
-        out_view = filter_view(out, where, cfg)
-        return search_frames(out_view, indexing="all", near=near, covers=covers, cfg=cfg) if near or covers else out_view
+    if isinstance(where, dict):
+        where = predicate_of(where)
     if near is not None and len(near) != 3:
         raise ValueError("a cone search needs ra, dec and radius together")
     if covers is not None and len(covers) != 2:

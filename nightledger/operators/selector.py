@@ -3,7 +3,6 @@ predicates, and the query result built from them."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from nightledger.config import DEFAULTS, Settings
 from nightledger.functions import scoring, spatial
 from nightledger.functions.text import capture_time, date_between, folded_path, hour_of_day
+from nightledger.operators.conditions import predicate_of
 from nightledger.operators.predicates import Flag, Num, Text, When, as_flag
 from nightledger.operators.paging import page_of
 from nightledger.operators.quantiles import global_quantiles
@@ -223,17 +223,15 @@ _PENDING = "statistic not computed yet"
 Predicate = Callable[[Vars], object]
 
 
-def filter_view(frames: DataFrame, predicate: Predicate | str | None, cfg: Settings = DEFAULTS, funcs: dict[str, Callable] | None = None) -> DataFrame:
+def filter_view(frames: DataFrame, predicate: Predicate | dict | None, cfg: Settings = DEFAULTS, funcs: dict[str, Callable] | None = None) -> DataFrame:
     """Frames meeting the predicate (all of them without one).
 
-    A callable gets the variables; text is a Spark SQL condition over
-    `selector_view`, where a statistic is a column named like `median_hfr`,
-    `mad_hfr` or `percentile25_quality`.
+    A callable gets the variables; a dict is a condition as data (see `conditions`) with the same meaning.
     """
-    if predicate is None or predicate == "":
+    if predicate is None or predicate == {}:
         return frames
-    if isinstance(predicate, str):
-        return _filter_text(frames, predicate, cfg)
+    if isinstance(predicate, dict):
+        predicate = predicate_of(predicate)
     v = Vars(cfg, funcs)
     base = frames
     joined = False
@@ -247,27 +245,6 @@ def filter_view(frames: DataFrame, predicate: Predicate | str | None, cfg: Setti
     return base.filter(cond.col).select(*[F.col(c) for c in frames.columns])
 
 
-_STAT_NAME = re.compile(r"\b(median|mean|std|min|max|sum|count|mad|madstd|percentile(\d+))_([a-z]\w*)\b", re.IGNORECASE)
-_SEQ_NAME = re.compile(r"\b(" + "|".join(SEQUENCE_NUMBERS + SEQUENCE_FLAGS) + r")\b", re.IGNORECASE)
-
-
-def _filter_text(frames: DataFrame, text: str, cfg: Settings) -> DataFrame:
-    view = selector_view(frames, cfg, sequence=bool(_SEQ_NAME.search(text)))
-    v = Vars(cfg)
-    names = {}
-    for m in _STAT_NAME.finditer(text):
-        variable = m.group(3).lower()
-        if variable in NUMBER_NAMES or variable in SEQUENCE_NUMBERS:
-            kind = "percentile" if m.group(2) else m.group(1).lower()
-            key = (kind, variable, float(m.group(2) or 0))
-            v._wanted[key] = (kind, F.col(variable), key[2])
-            names[m.group(0).lower()] = key
-    if v._wanted:
-        v._compute(view, cfg)
-    constants = {n: F.lit(v._stats[k]).cast("double") for n, k in names.items()}
-    return view.withColumns(constants).filter(F.expr(text)).select("frame.*") if constants else view.filter(F.expr(text)).select("frame.*")
-
-
 def candidates(
     frames: DataFrame,
     imagetyp: str | None = "Light Frame",
@@ -290,7 +267,7 @@ def candidates(
     return out
 
 
-def select_frames(frames: DataFrame, predicate: Predicate | str | None = None, cfg: Settings = DEFAULTS, funcs: dict[str, Callable] | None = None, **base) -> DataFrame:
+def select_frames(frames: DataFrame, predicate: Predicate | dict | None = None, cfg: Settings = DEFAULTS, funcs: dict[str, Callable] | None = None, **base) -> DataFrame:
     """Approved frames: base filters, then the predicate over what is left."""
     return filter_view(candidates(frames, **base), predicate, cfg, funcs)
 
@@ -332,10 +309,10 @@ class QueryResult:
     @cached_property
     def items(self) -> DataFrame:
         """One page of approved frames by id."""
-        return page_of(self.approved, [F.col("id").asc()], self.page, self.per_page, self.cfg)
+        return page_of(self.approved, [F.col("id").asc()], self.page, self.per_page)
 
 
-def run_query(frames: DataFrame, predicate: Predicate | str | None = None, page: int = 1, per_page: int = 50, cfg: Settings = DEFAULTS, **base) -> QueryResult:
+def run_query(frames: DataFrame, predicate: Predicate | dict | None = None, page: int = 1, per_page: int = 50, cfg: Settings = DEFAULTS, **base) -> QueryResult:
     """Counts, metric summary over the candidates, facets over the approved
     set and one page of approved frames.
 

@@ -110,7 +110,9 @@ def _update(frames):
     return rounded(catalog.update_metrics(frames, new).select("id", "median_hfr", F.col("star_count")), "median_hfr").withColumn("star_count", F.col("star_count").cast("double"))
 
 
-@query("random_lights")
+@query("random_lights", with_frames(
+    f"SELECT path FROM frames WHERE {LIGHT} AND path IN (SELECT path FROM listing) ORDER BY md5(concat('0', path)), path LIMIT 10", ("listing", _LISTING_SQL)
+))
 def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.random_lights(portable.frames(spark, sf_dir), _listing(spark, sf_dir), 10)
 
@@ -148,10 +150,54 @@ def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- headers ------------------------------------------------------------------------------------
 
+# Fixed values, written out here so that the check does not lean on the code's own tables.
+_TYPE_NAMES = [
+    ("light", "Light Frame"),
+    ("light frame", "Light Frame"),
+    ("lframe", "Light Frame"),
+    ("science", "Light Frame"),
+    ("dark", "Dark Frame"),
+    ("dark frame", "Dark Frame"),
+    ("dframe", "Dark Frame"),
+    ("flat", "Flat Frame"),
+    ("flat frame", "Flat Frame"),
+    ("flat field", "Flat Frame"),
+    ("sky flat", "Flat Frame"),
+    ("bias", "Bias Frame"),
+    ("bias frame", "Bias Frame"),
+    ("offset", "Bias Frame"),
+    ("zero", "Bias Frame"),
+]
+_FILTER_NAMES = [
+    ("l", "L"),
+    ("lum", "L"),
+    ("luminance", "L"),
+    ("r", "R"),
+    ("red", "R"),
+    ("g", "G"),
+    ("green", "G"),
+    ("b", "B"),
+    ("blue", "B"),
+    ("h", "Ha"),
+    ("ha", "Ha"),
+    ("halpha", "Ha"),
+    ("h-alpha", "Ha"),
+    ("h_alpha", "Ha"),
+    ("h-a", "Ha"),
+    ("o", "OIII"),
+    ("o3", "OIII"),
+    ("oiii", "OIII"),
+    ("o-iii", "OIII"),
+    ("s", "SII"),
+    ("s2", "SII"),
+    ("sii", "SII"),
+    ("s-ii", "SII"),
+    ("clear", "Clear"),
+]
 _TYPE = (
-    "CASE lower(trim(t)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in headers.IMAGE_TYPES.items()) + " ELSE trim(t) END"
+    "CASE lower(trim(t)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPE_NAMES) + " ELSE trim(t) END"
 )
-_FILTER = "CASE lower(trim(f)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in headers.FILTERS.items()) + " ELSE nullif(trim(f), '') END"
+_FILTER = "CASE lower(trim(f)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FILTER_NAMES) + " ELSE nullif(trim(f), '') END"
 
 
 @query(
@@ -403,7 +449,17 @@ def _work(frames):
     f"SELECT id FROM frames, (SELECT quantile_cont(quality_score, 0.25) AS q25 FROM frames WHERE {LIGHT} AND filter = 'R' AND index_error IS NULL) WHERE {LIGHT} AND filter = 'R' AND index_error IS NULL AND quality_score > q25 AND coalesce(rejected, 0) = 0"
 ))
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saved = spark.createDataFrame([(1, "sharp", "", '{"filter": "R", "expression": "quality > percentile25_quality"}')], SAVED_QUERY_SCHEMA)
+    above = '{"op": ">", "args": [{"var": "quality"}, {"op": "percentile", "args": [{"var": "quality"}, 25]}]}'
+    saved = spark.createDataFrame([(1, "sharp", "", f'{{"filter": "R", "expression": {above}}}')], SAVED_QUERY_SCHEMA)
+    return fields.run_saved_query(portable.frames(spark, sf_dir), saved, 1).select("id")
+
+
+@query("saved_query_capitals", with_frames(
+    f"SELECT id FROM frames WHERE {LIGHT} AND index_error IS NULL AND filter = 'Ha' AND path NOT LIKE '%/Reject/%' AND coalesce(rejected, 0) = 0"
+))
+def _saved_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = '{"expression": {"op": "and", "args": [{"op": "==", "args": [{"var": "filter"}, "HA"]}, {"op": "not like", "args": [{"var": "path"}, "%/REJECT/%"]}]}}'
+    saved = spark.createDataFrame([(1, "h-alpha", "", state)], SAVED_QUERY_SCHEMA)
     return fields.run_saved_query(portable.frames(spark, sf_dir), saved, 1).select("id")
 
 
@@ -422,9 +478,7 @@ def _sorted_page(frames):
 
 @frames_query("deep_page", " SELECT id FROM frames ORDER BY date_obs DESC NULLS LAST, id LIMIT 500 OFFSET 4500")
 def _deep_page(frames):
-    from nightledger.config import Settings
-
-    return paging.page_of(frames.select("id", "date_obs"), paging.sort_spec("-capture.date_obs"), 10, 500, Settings(direct_page_rows=1000)).select("id")
+    return paging.page_of(frames.select("id", "date_obs"), paging.sort_spec("-capture.date_obs"), 10, 500).select("id")
 
 
 @frames_query("page_info", " SELECT count(*) AS total, 3 AS page, 200 AS per_page, CAST(ceil(count(*) / 200.0) AS BIGINT) AS pages, CAST(CASE WHEN 3 < ceil(count(*) / 200.0) THEN 4 END AS DOUBLE) AS next, 2.0 AS prev FROM frames")

@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightledger.functions.registry import register_sql_functions
 from nightledger.functions.text import date_between, path_like
 from nightledger.operators import search, selector
-from nightledger.operators.selector import PRESETS, THRESHOLDS, all_of, select_frames
+from nightledger.operators.selector import PRESETS, THRESHOLDS, all_of, candidates, select_frames
 from nightledger.plans.registry import frames_query, r6, rounded
 
 LIGHT = "imagetyp = 'Light Frame'"
@@ -46,8 +47,43 @@ def _flagship(frames):
     f", {_HFR_STATS} SELECT id FROM frames, m, d WHERE {LIGHT} AND median_hfr < med + 2 * mad AND NOT (coalesce(trail_score, 0) > 0.03) "
     "AND lower(coalesce(path, '')) NOT LIKE '%reject%'",
 )
-def _sql_text(frames):
-    return _ids(select_frames(frames, "hfr < median_hfr + 2 * mad_hfr AND NOT trailed AND path NOT LIKE '%reject%'"))
+def _as_data(frames):
+    hfr = {"var": "hfr"}
+    limit = {"op": "+", "args": [{"op": "median", "args": [hfr]}, {"op": "*", "args": [2, {"op": "mad", "args": [hfr]}]}]}
+    return _ids(select_frames(frames, {"op": "and", "args": [
+        {"op": "<", "args": [hfr, limit]}, {"op": "not", "args": [{"var": "trailed"}]}, {"op": "not like", "args": [{"var": "path"}, "%reject%"]},
+    ]}))
+
+
+@frames_query("text_filter_capitals", f" SELECT id FROM frames WHERE {LIGHT} AND filter = 'Ha'")
+def _capitals(frames):
+    return _ids(select_frames(frames, {"op": "==", "args": [{"var": "filter"}, "Ha"]}))
+
+
+@frames_query("text_path_capitals", f" SELECT id FROM frames WHERE {LIGHT} AND path NOT LIKE '%/Reject/%'")
+def _path_capitals(frames):
+    return _ids(select_frames(frames, {"op": "not like", "args": [{"var": "path"}, "%/Reject/%"]}))
+
+
+@frames_query("text_unknown_not_equal", f" SELECT id FROM frames WHERE {LIGHT} AND star_flux IS DISTINCT FROM 0")
+def _unknown_not_equal(frames):
+    return _ids(select_frames(frames, {"op": "!=", "args": [{"var": "star_flux"}, 0]}))
+
+
+@frames_query(
+    "sql_functions",
+    f", s AS (SELECT object, filter, median(median_hfr) AS m, avg(ra) AS ra, avg(dec) AS dec FROM frames WHERE {LIGHT} GROUP BY ALL), "
+    f"d AS (SELECT s.object, s.filter, median(abs(median_hfr - m)) AS mad FROM frames f, s WHERE {LIGHT} AND f.object IS NOT DISTINCT FROM s.object AND f.filter IS NOT DISTINCT FROM s.filter GROUP BY ALL) "
+    "SELECT coalesce(s.object, '') AS object, coalesce(s.filter, '') AS filter, round(mad, 6) AS mad, round(s.ra - 40 + 180 - 360 * floor((s.ra - 40 + 180) / 360) - 180, 6) AS turn, "
+    "round(degrees(2 * asin(sqrt(least(1, power(sin(radians(10 - s.dec) / 2), 2) + cos(radians(s.dec)) * cos(radians(10)) * power(sin(radians(40 - s.ra) / 2), 2))))), 6) AS away "
+    "FROM s JOIN d ON s.object IS NOT DISTINCT FROM d.object AND s.filter IS NOT DISTINCT FROM d.filter",
+)
+def _sql_functions(frames):
+    register_sql_functions(frames.sparkSession)
+    groups = candidates(frames).groupBy("object", "filter").agg(F.collect_list("median_hfr").alias("hfr"), F.avg("ra").alias("ra"), F.avg("dec").alias("dec"))
+    return groups.selectExpr(
+        "coalesce(object, '') AS object", "coalesce(filter, '') AS filter", "round(mad(hfr), 6) AS mad", "round(wrap_ra(ra - 40), 6) AS turn", "round(angsep(ra, dec, 40D, 10D), 6) AS away",
+    )
 
 
 # -- every statistic as a one-row query -----------------------------------------------

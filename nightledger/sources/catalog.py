@@ -123,15 +123,21 @@ def random_lights(frames: DataFrame, listing: DataFrame, n: int, seed: int = 0)
     """n random light-frame paths that still exist.  The order key hashes the
     path, so a retried task draws the same sample."""
     alive = frames.filter(F.col("imagetyp") == "Light Frame").select("path").join(listing.select("path"), "path", "left_semi")
-    return alive.orderBy(F.xxhash64(F.lit(seed), F.col("path")), F.col("path")).limit(n)
+    return alive.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col("path")).cast("binary")), F.col("path")).limit(n)
 
 
 def drop_roots(frames: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows left after deleting library roots (column `id`), which cascades."""
     gone = roots.select(F.col("id").alias("watched_path_id"))
+    # A root holds a large part of the frames: a list of roots of checked size leaves the frames where they are.
+    if gone.limit(_FEW_ROOTS + 1).count() <= _FEW_ROOTS:
+        gone = F.broadcast(gone)
     return frames.join(gone, "watched_path_id", "left_anti").select(*frames.columns)
 
 
+_FEW_ROOTS = 100_000
+
+
 # -- grades ---------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ def test_statistics(make_frames):
     df = make_frames(*[{"median_hfr": h} for h in (2.0, 2.5, 8.0, 2.2, 3.0)])
     assert approved(df, lambda v: v.hfr < 3) == [1, 2, 4]
     assert approved(df, lambda v: v.hfr < v.median(v.hfr) + 2 * v.mad(v.hfr)) == [1, 2, 4, 5]
-    assert approved(df, "hfr < median_hfr + 2 * mad_hfr") == [1, 2, 4, 5]
+    assert approved(df, {"op": "<", "args": [{"var": "hfr"}, {"op": "+", "args": [{"op": "median", "args": [{"var": "hfr"}]}, {"op": "*", "args": [2, {"op": "mad", "args": [{"var": "hfr"}]}]}]}]}) == [1, 2, 4, 5]
     assert approved(df, lambda v: v.hfr <= v.percentile(v.hfr, 25)) == [1, 4]
     # A statistic of an expression that itself uses one.
     assert approved(df, lambda v: abs(v.hfr - v.median(v.hfr)) <= v.median(abs(v.hfr - v.median(v.hfr)))) == [1, 2, 4, 5]
@@ -154,13 +154,28 @@ def test_field_selection(make_frames):
 
 def test_saved_query(spark, make_frames):
     df = make_frames({"filter": "R", "median_hfr": 2.0}, {"filter": "R", "median_hfr": 2.0, "rejected": 1}, {"filter": "R", "median_hfr": 2.0, "index_error": "x"}, {"filter": "G", "median_hfr": 2.0})
-    saved = spark.createDataFrame([(7, "q", None, '{"filter": "R", "expression": "hfr < 3"}')], "id long, name string, folder string, query_json string")
+    saved = spark.createDataFrame([(7, "q", None, '{"filter": "R", "expression": {"op": "<", "args": [{"var": "hfr"}, 3]}}')], "id long, name string, folder string, query_json string")
     assert ids(run_saved_query(df, saved, 7)) == [1]
     assert ids(run_saved_query(df, saved, 7, include_rejected=True)) == [1, 2]
     with pytest.raises(ValueError):
         run_saved_query(df, saved, 8)
 
 
+def test_conditions_as_data(make_frames):
+    df = make_frames({"filter": "Ha", "path": "/a/Reject/x.fits", "star_flux": 0.0}, {"filter": "HA", "path": "/a/b.fits"}, {"filter": "R", "path": "/a/c.fits", "star_flux": 4.0})
+    op = lambda name, *args: {"op": name, "args": list(args)}
+    var = lambda name: {"var": name}
+    assert ids(filter_view(df, op("==", var("filter"), "ha"))) == [1, 2]
+    assert ids(filter_view(df, op("not like", var("path"), "%/reject/%"))) == [2, 3]
+    assert ids(filter_view(df, op("!=", var("star_flux"), 0))) == [2, 3]
+    assert ids(filter_view(df, op("or", op("missing", var("star_flux")), op(">", var("star_flux"), op("mean", var("star_flux")))))) == [2, 3]
+    assert ids(filter_view(df, op("not", op("<", var("star_flux"), op("-", op("**", 2, 3), 7))))) == [2, 3]
+    assert ids(filter_view(df, op("in", var("filter"), "R", "G"))) == [3] and ids(filter_view(df, {})) == [1, 2, 3]
+    for bad in (op("drop", var("hfr")), {"var": "nope"}, op("<", var("hfr"), [1]), op("+", var("hfr"), "x"), {"op": "and"}):
+        with pytest.raises((ValueError, TypeError)):
+            filter_view(df, bad)
+
+
 def test_base_filters_limit_statistics(make_frames):
     df = make_frames({"filter": "R", "median_hfr": 2.0}, {"filter": "R", "median_hfr": 4.0}, {"filter": "G", "median_hfr": 100.0})
     assert ids(select_frames(df, lambda v: v.hfr >= v.mean(v.hfr), filter="R")) == [2]
