@@ -56,6 +56,13 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lo, np.append(lo[1:], n) - 1, at[lo]
 
 
+def _portions(batches, rows: int = 200):
+    """Arrow batches in small portions: what Python holds of them at a time stays small, however long the texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -65,7 +72,7 @@ def suffixes(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in _portions(batches):
             row, los, his, cores, fulls = [], [], [], [], []
             for name, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
                 data = _bytes(text)
@@ -153,7 +160,7 @@ _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 
 def _visit(batches):
     """Documents with their marks: those that need no comparison are finished, the others keep text, spans and checks."""
-    for batch in batches:
+    for batch in _portions(batches):
         out: list[list] = [[] for _ in range(9)]
         columns = [batch[c].to_pylist() for c in ("row", "doc_id", "text", "marks")]
         for row, doc_id, text, marks in zip(*columns):
@@ -173,7 +180,7 @@ def _visit(batches):
 
 def _snippets(batches):
     """(core, kinds, row, lo, twice, snippet) of every suffix to compare; of equal suffixes of a row, one."""
-    for batch in batches:
+    for batch in _portions(batches):
         out: list[list] = [[] for _ in range(6)]
         for row, data, checks in zip(*(batch[c].to_pylist() for c in ("row", "data", "checks"))):
             seen = set()
@@ -228,26 +235,22 @@ def _compare(batches):
         return _spans_of(some, owner, start, np.bincount(which, weight, minlength=1)[which] > 1)
 
     held = None
-    for batch in batches:
-        for at in range(0, batch.num_rows, IN_ONE_TASK):
-            part = batch.slice(at, IN_ONE_TASK)
-            held = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
-            cores = np.asarray(held["core"])
-            cut = int(np.flatnonzero(cores != cores[-1])[-1]) + 1 if cores[0] != cores[-1] else 0
-            if cut:
-                yield compared(held.slice(0, cut))
-                held = held.slice(cut)
+    for part in _portions(batches, 500):
+        held = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+        cores = np.asarray(held["core"])
+        cut = int(np.flatnonzero(cores != cores[-1])[-1]) + 1 if cores[0] != cores[-1] else 0
+        if cut:
+            yield compared(held.slice(0, cut))
+            held = held.slice(cut)
     if held is not None and held.num_rows:
         yield compared(held)
 
 
 def _count_rows(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            some = batch.slice(at, 2000)
-            found, owner, start, weight = _strings(some)
-            columns = [np.asarray(some["core"])[owner], found.view(np.int64), np.asarray(some["row"])[owner], start.astype(np.int32), weight]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "string", "row", "lo", "weight"])
+    for some in _portions(batches):
+        found, owner, start, weight = _strings(some)
+        columns = [np.asarray(some["core"])[owner], found.view(np.int64), np.asarray(some["row"])[owner], start.astype(np.int32), weight]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "string", "row", "lo", "weight"])
 
 
 def _compared_by_shuffle(snippets: DataFrame) -> DataFrame:
@@ -258,7 +261,7 @@ def _compared_by_shuffle(snippets: DataFrame) -> DataFrame:
 
 
 def _finish(batches):
-    for batch in batches:
+    for batch in _portions(batches):
         out: list[list] = [[] for _ in range(5)]
         for doc_id, data, spans, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "data", "spans", "found"))):
             both = _merged([(s["lo"], s["hi"]) for s in [*spans, *(found or ())]])
