@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from nightledger import plans
 
 HEADLINE = [
-    "select_hfr_outliers", "select_by_sql_text", "presets_combined", "search_ranges", "search_cone", "metric_summary", "query_facets",
+    "select_hfr_outliers", "select_by_sql_text", "frame_metrics", "diagnostics_documents", "overlay_stars", "streak_fragments", "background_dips", "sequence_group", "deep_page", "presets_combined", "search_ranges", "search_cone", "metric_summary", "query_facets",
     "targets_rollup", "targets_by_filter", "sessions_rollup", "target_night_filters", "object_position", "catalog_counts",
     "user_target_matches", "user_targets_rollup", "calibration_setups", "frame_sessions", "session_medians", "screen_sessions",
     "listing_changes", "header_fields", "header_plate_solution", "sorted_page", "reference_max_fov", "shape_metrics", "trail_scores",

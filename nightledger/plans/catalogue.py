@@ -259,6 +259,34 @@ def _from_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "filename", "imagetyp", "filter", "solved", "file_size", *doc)
 
 
+_HEAD_CARDS = [
+    "'SIMPLE  =                    T'", "concat('OBJECT  = ''', CAST(user_id AS STRING), '''')", "concat('GAIN    =                ', CAST(event_id % 9 AS STRING), '.5D2')",
+    "'SET-TEMP= ''-10'''", "concat('XBINNING=                  ', CASE WHEN event_id % 2 = 0 THEN '2' ELSE '2.5' END)", "concat('HIERARCH ESO DET ID = ', CAST(event_id % 7 AS STRING), ' / chip')", "'END'",
+]
+
+
+def _head_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header blocks as a file would hold them, a file for each event."""
+    text = "rpad(concat(" + ", ".join(f"rpad({c}, 80, ' ')" for c in _HEAD_CARDS) + "), 2880, ' ')"
+    return portable.table(spark, sf_dir, "events").selectExpr(
+        "CAST(event_id AS STRING) AS path", "timestamp_seconds(event_id) AS modificationTime", "5760L AS length", f"encode({text}, 'ISO-8859-1') AS head"
+    )
+
+
+@query(
+    "header_cards_parsed",
+    "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS object, true AS object_is_text, true AS temp_is_text, ((event_id % 9) + 0.5) * 100 AS gain, "
+    "CASE WHEN event_id % 2 = 0 THEN 2.0 END AS xbinning, CAST(event_id % 7 AS VARCHAR) AS chip FROM events",
+)
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = headers.frames_from_headers(headers.parse_headers(_head_bytes(spark, sf_dir)))
+    return rows.select(
+        F.col("path").cast("long").alias("id"), "object", F.col("header_json").rlike('"OBJECT": "[0-9]+"').alias("object_is_text"),
+        F.col("header_json").contains('"SET-TEMP": "-10"').alias("temp_is_text"),
+        "gain", F.col("xbinning").cast("double").alias("xbinning"), F.get_json_object("header_json", "$['ESO DET ID']").alias("chip"),
+    )
+
+
 @query("normalize_stored", with_ctes(f"SELECT id, {_TYPE} AS imagetyp, {_FILTER} AS filter FROM (SELECT id, \"IMAGETYP\" AS t, \"FILTER\" AS f FROM c)", ("c", portable.CARDS_SQL)))
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = portable.headers(spark, sf_dir).select("id", F.col("cards")["IMAGETYP"].alias("imagetyp"), F.col("cards")["FILTER"].alias("filter"))

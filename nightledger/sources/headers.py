@@ -87,60 +87,94 @@ def normalize_stored(frames: DataFrame) -> DataFrame:
 # -- cards -----------------------------------------------------------------------
 
 _BLOCK = 2880
-_NEAR_BLOCKS = 64
+_CARD = 80
 
 
-def harvest_headers(spark: SparkSession, path: str | list[str], listing: DataFrame | None = None) -> DataFrame:
-    """Header cards of FITS files: (path, mtime, length, cards, error).
-
-    `cards` maps keyword to the value's text, with string quotes removed;
-    a file without an END card is reported in `error`.  Only the first block
-    run up to END is looked at, not the pixels behind it.
-    """
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, modificationTime, length) of the FITS files below a folder; no content is read."""
     roots = [path] if isinstance(path, str) else list(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "modificationTime", "length")
+    return _image_paths(files)
+
+
+def _image_paths(files: DataFrame) -> DataFrame:
     files = files.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    files = files.filter(F.lower("path").rlike(r"\.(fit|fits|fts)$"))
+    return files.filter(F.lower("path").rlike(r"\.(fit|fits|fts)$"))
+
+
+def harvest_headers(spark: SparkSession, path: str | list[str], listing: DataFrame | None = None) -> DataFrame:
+    """Header cards of FITS files: (path, mtime, length, cards, texts, error); see `parse_headers`."""
+    files = list_files(spark, path)
     if listing is not None:
         files = files.join(listing.select("path"), "path", "left_semi")
-    return parse_headers(files)
+    return parse_headers(read_heads(files))
+
+
+def read_heads(files: DataFrame) -> DataFrame:
+    """Adds `head`: each file's header blocks up to its END card, however many there are, and nothing behind them.
+
+    NULL for a file that cannot be opened.  The paths are read through pyarrow's file systems, by the tasks that need them.
+    """
+
+    def blocks(stream) -> bytes:
+        head = b""
+        while True:
+            block = stream.read(_BLOCK)
+            head += block
+            if len(block) < _BLOCK or any(block[i : i + 8].rstrip() == b"END" for i in range(0, _BLOCK, _CARD)):
+                return head
+            if not head.startswith(b"SIMPLE"):
+                return head  # no header: the pixels of another format are left alone
+
+    def read(path: str) -> bytes | None:
+        from pyarrow import fs
+
+        try:
+            system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            with system.open_input_stream(inner) as stream:
+                return blocks(stream)
+        except OSError:
+            return None
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(head=[read(p) for p in pdf["path"]])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInPandas(run, f"{fields}, head binary")
 
 
 def parse_headers(files: DataFrame) -> DataFrame:
-    """Cut file contents into cards.  Repeated keywords (COMMENT, HISTORY)
-    keep their last text, like any keyed read of a header.
+    """Cards of header bytes: (path, mtime, length, cards, texts, error) from (path, modificationTime, length, head).
 
-    The END card is looked for in the first blocks; only a longer header makes
-    the whole file be cut, so pixels are normally never decoded.
+    `cards` maps a keyword to its value's text, `texts` lists the keywords whose value is a quoted text.  Long texts are
+    put together from their CONTINUE cards; a HIERARCH card's keyword is what stands before its equals sign.
+    Repeated keywords (COMMENT, HISTORY) keep their last value.  Without an END card there is an `error`.
     """
-    near = F.substring("content", 1, _NEAR_BLOCKS * _BLOCK)
-    head = files.select(
-        "path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length", "content", _cards(near).alias("_cards")
-    )
-    head = head.withColumn("_cards", F.when(_end_of("_cards") > 0, F.col("_cards")).otherwise(_cards(F.col("content"))))
-    head = head.withColumn("_end", _end_of("_cards").cast("int")).drop("content")
-    body = F.filter(F.slice("_cards", F.lit(1), F.greatest(F.col("_end") - 1, F.lit(0))), lambda c: F.trim(F.substring(c, 1, 8)) != "")
-    # Keep the last card of a repeated keyword: reverse, then first per key.
-    entries = F.transform(F.reverse(body), lambda c: F.struct(F.trim(F.substring(c, 1, 8)).alias("key"), card_value(c).alias("value")))
+    head = files.select("path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length", _cards(F.col("head")).alias("_cards"))
+    head = head.withColumn("_end", _end_of("_cards").cast("int"))
+    head = head.withColumn("_body", F.filter(F.slice("_cards", F.lit(1), F.greatest(F.col("_end") - 1, F.lit(0))), lambda c: F.trim(F.substring(c, 1, 8)) != ""))
+    head = head.withColumn("_body", _continued(F.col("_body")))
+    # The last card of a repeated keyword: reversed, then the first of each keyword.
+    head = head.withColumn("_entries", F.transform(F.reverse("_body"), lambda c: F.struct(card_key(c).alias("key"), card_value(c).alias("value"), is_text(c).alias("text"))))
     unique = F.aggregate(
-        entries,
-        F.create_map().cast("map<string,string>"),
-        lambda acc, e: F.when(F.map_contains_key(acc, e["key"]), acc).otherwise(
-            F.map_concat(acc, F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))
-        ),
+        "_entries",
+        F.array().cast("array<struct<key: string, value: string, text: boolean>>"),
+        lambda kept, e: F.when(F.exists(kept, lambda k: k["key"] == e["key"]), kept).otherwise(F.array_append(kept, e)),
     )
+    head = head.withColumn("_entries", unique)
     readable = (F.col("_end") > 0) & F.get("_cards", F.lit(0)).startswith("SIMPLE")
     return head.select(
         "path", "mtime", "length",
-        F.when(readable, unique).alias("cards"),
+        F.when(readable, F.map_from_entries(F.transform("_entries", lambda e: F.struct(e["key"], e["value"])))).alias("cards"),
+        F.when(readable, F.transform(F.filter("_entries", lambda e: e["text"]), lambda e: e["key"])).alias("texts"),
         F.when(~F.coalesce(readable, F.lit(False)), F.lit("OSError: no FITS header found")).alias("error"),
     )
 
 
-def _cards(content: Column) -> Column:
-    """The 80-character cards of a header, as far as the bytes go.  One split
-    of the text; a lambda over card numbers would decode it once per card."""
-    return F.split(F.decode(content, "ISO-8859-1"), r"(?s)(?<=\G.{80})")
+def _cards(head: Column) -> Column:
+    """The 80-character cards of a header, in one split of the text."""
+    return F.split(F.decode(head, "ISO-8859-1"), r"(?s)(?<=\G.{80})")
 
 
 def _end_of(cards: str) -> Column:
@@ -148,29 +182,64 @@ def _end_of(cards: str) -> Column:
     return F.array_position(F.transform(cards, lambda c: F.rtrim(F.substring(c, 1, 8))), "END")
 
 
+_QUOTED = r"^\s*'((?:[^']|'')*)'"
+
+
+def _continued(cards: Column) -> Column:
+    """CONTINUE cards appended to the text before them, which ends in an ampersand."""
+    open_text = r"&\s*'[^']*$"
+
+    def join(done: Column, card: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        rest = F.regexp_extract(F.substring(card, 9, 72), r"^\s*'(.*)$", 1)
+        goes_on = card.startswith("CONTINUE") & (F.size(done) > 0) & F.coalesce(last.rlike(open_text), F.lit(False)) & (rest != "")
+        joined = F.concat(F.regexp_replace(last, open_text, ""), rest)
+        return F.when(goes_on, F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.array_append(done, card))
+
+    return F.aggregate(cards, F.array().cast("array<string>"), join)
+
+
+_HIERARCH = r"^HIERARCH\s+([^=']+?)\s*=(.*)$"
+
+
+def card_key(card: Column) -> Column:
+    return F.when(card.rlike(_HIERARCH), F.regexp_extract(card, _HIERARCH, 1)).otherwise(F.trim(F.substring(card, 1, 8)))
+
+
+def _raw_value(card: Column) -> Column:
+    """What stands behind the equals sign; NULL for a commentary card."""
+    plain = F.when(F.substring(card, 9, 2) == "= ", F.substring(card, 11, 1_000_000))
+    return F.when(card.rlike(_HIERARCH), F.regexp_extract(card, _HIERARCH, 2)).otherwise(plain)
+
+
+def is_text(card: Column) -> Column:
+    """Is the value a quoted text?  Commentary is text too."""
+    return F.coalesce(_raw_value(card).rlike(r"^\s*'"), F.lit(True))
+
+
 def card_value(card: Column) -> Column:
     """Value text of one card: quotes removed, doubled quotes undone, comment
     dropped; T and F stay as written.  Commentary cards keep their text."""
-    has_value = F.substring(card, 9, 2) == "= "
-    raw = F.substring(card, 11, 70)
-    quoted = F.regexp_extract(raw, r"^\s*'((?:[^']|'')*)'", 1)
-    text = F.rtrim(F.replace(quoted, F.lit("''"), F.lit("'")))
+    raw = _raw_value(card)
+    text = F.rtrim(F.replace(F.regexp_extract(raw, _QUOTED, 1), F.lit("''"), F.lit("'")))
     plain = F.trim(F.regexp_extract(raw, r"^([^/]*)", 1))
     value = F.when(raw.rlike(r"^\s*'"), text).otherwise(F.nullif(plain, F.lit("")))
-    return F.when(has_value, value).otherwise(F.trim(F.substring(card, 9, 72)))
+    return F.when(raw.isNotNull(), value).otherwise(F.trim(F.substring(card, 9, 72)))
 
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eEdD][+-]?\d+)?$"
 
 
-def header_json(cards: Column) -> Column:
-    """The cards as a JSON object with numbers and booleans typed."""
+def header_json(cards: Column, texts: Column | None = None) -> Column:
+    """The cards as a JSON object with numbers and booleans typed; the values of `texts` stay text, whatever they look like."""
+    texts = F.coalesce(texts, F.array().cast("array<string>")) if texts is not None else F.array().cast("array<string>")
     items = F.transform(
         F.map_entries(cards),
         lambda e: F.concat(
             F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2),
             F.lit(": "),
             F.when(e["value"].isNull(), F.lit("null"))
+            .when(F.array_contains(texts, e["key"]), F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2))
             .when(e["value"] == "T", F.lit("true"))
             .when(e["value"] == "F", F.lit("false"))
             .when(e["value"].rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"), e["value"])
@@ -181,12 +250,16 @@ def header_json(cards: Column) -> Column:
     return F.when(cards.isNotNull(), F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}")))
 
 
+def _number(value: Column) -> Column:
+    return F.regexp_replace(F.trim(value), r"(?<=[0-9.])[dD](?=[+-]?[0-9]+$)", "e").try_cast("double")
+
+
 def normalize_headers(headers: DataFrame) -> DataFrame:
     """Frame fields from the keyword map.
 
     The first alias present, not NULL and not empty wins.  Text that is not a
-    number becomes NULL in a number field; a fraction in an integer field is
-    cut off.
+    number becomes NULL in a number field, and so does a fraction in an integer
+    field.  Exponents may be written with a D.
     """
     cards = F.col("cards")
 
@@ -198,10 +271,11 @@ def normalize_headers(headers: DataFrame) -> DataFrame:
     for field in ALIASES:
         v = F.col(f"_{field}")
         if field in FLOAT_FIELDS:
-            d = F.trim(v).try_cast("double")
+            d = _number(v)
             out[field] = F.when(~F.isnan(d), d)
         elif field in INT_FIELDS:
-            out[field] = F.trim(v).try_cast("double").try_cast("int")
+            d = _number(v)
+            out[field] = F.when(d == F.floor(d), d.try_cast("int"))
         elif field == "imagetyp":
             out[field] = normalize_imagetyp(v)
         elif field == "filter":
@@ -226,5 +300,5 @@ def frames_from_headers(headers: DataFrame) -> DataFrame:
         "index_error": error,
         "pixel_scale": pixel_scale(F.col("pixsz"), F.col("focal_length"), F.col("xbinning")),
         "coord_sep_arcmin": coord_sep_arcmin(F.col("ra"), F.col("dec"), F.col("wcs_ra"), F.col("wcs_dec")),
-        "header_json": header_json(F.col("cards")),
-    }).drop("mtime", "length", "error")
+        "header_json": header_json(F.col("cards"), F.col("texts") if "texts" in headers.columns else None),
+    }).drop("mtime", "length", "error", "texts")

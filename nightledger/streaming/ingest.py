@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nightledger.schema import FRAME_COLUMNS, conform
-from nightledger.sources.headers import frames_from_headers, parse_headers
+from nightledger.sources.headers import frames_from_headers, parse_headers, read_heads
 from nightledger.sources.library import unique_paths
 
 _BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def header_stream(spark: SparkSession, root: str, files_per_trigger: int = 10_000) -> DataFrame:
-    """New image files below the root, as (path, modificationTime, length, content)."""
+    """New image files below the root, as (path, modificationTime, length); their content is not read."""
     files = (
         spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
-        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(root)
+        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(root).select("path", "modificationTime", "length")
     )
     files = files.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     return files.filter(F.lower("path").rlike(r"\.(fit|fits|fts)$") & ~F.col("path").rlike(r"/\.[^/]*/"))
@@ -32,7 +32,7 @@ def ingest(spark: SparkSession, root: str, catalog: str, checkpoint: str, files_
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = conform(frames_from_headers(parse_headers(batch)).withColumn("id", F.xxhash64("path")))
+        rows = conform(frames_from_headers(parse_headers(read_heads(batch))).withColumn("id", F.xxhash64("path")))
         rows.write.mode("overwrite").parquet(f"{catalog}/batch={number}")
 
     return (

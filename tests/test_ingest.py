@@ -49,6 +49,22 @@ def library_dir(tmp_path):
     return str(root)
 
 
+def test_typed_cards(spark, tmp_path):
+    root = str(tmp_path / "typed")
+    long = [value("OBJECT", "'M 31 and its compan&'"), "CONTINUE  'ions, seen &'", "CONTINUE  'late' / at last"]
+    many = [f"HISTORY step {i}" for i in range(6000)]  # 167 blocks
+    cards = [value("FILTER", "'T'"), value("NOTE", "'42'"), value("SET-TEMP", "'-10'"), value("GAIN", "              1.5D2"), value("XBINNING", "'2.5'"), value("YBINNING", "                   2"),
+             "HIERARCH ESO DET NAME = 'cam / 1' / chip", "HIERARCH ESO DET ID   = 7", *long, *many, value("OFFSET", "                  10")]
+    fits(f"{root}/a.fits", cards)
+    row = headers.frames_from_headers(headers.harvest_headers(spark, root)).first()
+    import json
+
+    doc = json.loads(row["header_json"])
+    assert (doc["FILTER"], doc["NOTE"], doc["SET-TEMP"], doc["GAIN"]) == ("T", "42", "-10", 150.0)
+    assert (doc["ESO DET NAME"], doc["ESO DET ID"], doc["OBJECT"], doc["OFFSET"]) == ("cam / 1", 7, "M 31 and its companions, seen late", 10)
+    assert (row["gain"], row["xbinning"], row["ybinning"], row["object"]) == (150.0, None, 2, "M 31 and its companions, seen late")
+
+
 def names(df):
     return sorted(os.path.basename(r["path"]) for r in df.collect())
 
