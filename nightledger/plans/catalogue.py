@@ -20,10 +20,10 @@ LIGHT = "imagetyp = 'Light Frame'"
 # -- scans and listing --------------------------------------------------------------------
 
 
-@frames_query("catalogue_list_view", " SELECT id, path, object, star_count, round(quality_score, 6) AS quality_score FROM frames WHERE index_error IS NULL AND star_count IS NOT NULL")
+@frames_query("catalogue_list_view", " SELECT id, path, object, CAST(star_count AS DOUBLE) AS star_count, round(quality_score, 6) AS quality_score FROM frames WHERE index_error IS NULL")
 def _list_view(frames):
-    rows = catalog.list_view(catalog.ok_frames(frames)).filter(F.col("star_count").isNotNull())
-    return rows.select("id", "path", "object", "star_count", r6("quality_score", "quality_score"))
+    rows = catalog.list_view(catalog.ok_frames(frames))
+    return rows.select("id", "path", "object", F.col("star_count").cast("double").alias("star_count"), r6("quality_score", "quality_score"))
 
 
 # The listing sees most known files, some touched since, and some new ones.
@@ -134,7 +134,7 @@ _GRADES = (
 @query(
     "graded_frames",
     with_frames(
-        "SELECT f.id, CASE WHEN g.frame_id IS NOT NULL THEN g.grade ELSE f.rejected END AS rejected FROM frames f LEFT JOIN last g ON g.frame_id = f.id WHERE CASE WHEN g.frame_id IS NOT NULL THEN g.grade ELSE f.rejected END IS NOT NULL",
+        "SELECT f.id, CAST(CASE WHEN g.frame_id IS NOT NULL THEN g.grade ELSE f.rejected END AS DOUBLE) AS rejected FROM frames f LEFT JOIN last g ON g.frame_id = f.id",
         ("grades", _GRADES), ("last", "SELECT * FROM grades QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY ts DESC) = 1"),
     ),
 )
@@ -145,7 +145,7 @@ def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = log.unionByName(catalog.grade_event(e.filter("id % 6 = 0"), "accepted", F.col("ts") + day))
     log = log.unionByName(catalog.grade_event(e.filter("id % 24 = 0"), None, F.col("ts") + day + day))
     out = catalog.apply_grades(portable.frames(spark, sf_dir), log)
-    return out.filter(F.col("rejected").isNotNull()).select("id", "rejected")
+    return out.select("id", F.col("rejected").cast("double").alias("rejected"))
 
 
 # -- headers ------------------------------------------------------------------------------------
@@ -318,11 +318,11 @@ def _rescore(frames):
 
 @frames_query(
     "pointing_separation",
-    " SELECT id, round(degrees(2 * asin(sqrt(least(1, power(sin((radians(wcs_dec) - radians(dec)) / 2), 2) + cos(radians(dec)) * cos(radians(wcs_dec)) * power(sin((radians(wcs_ra) - radians(ra)) / 2), 2))))) * 60, 3) AS sep FROM frames WHERE wcs_ra IS NOT NULL",
+    " SELECT id, CASE WHEN wcs_ra IS NOT NULL THEN round(degrees(2 * asin(sqrt(least(1, power(sin((radians(wcs_dec) - radians(dec)) / 2), 2) + cos(radians(dec)) * cos(radians(wcs_dec)) * power(sin((radians(wcs_ra) - radians(ra)) / 2), 2))))) * 60, 3) END AS sep FROM frames",
 )
 def _separation(frames):
     sep = coord_sep_arcmin(F.col("ra"), F.col("dec"), F.col("wcs_ra"), F.col("wcs_dec"))
-    return frames.select("id", sep.alias("sep")).filter("sep IS NOT NULL")
+    return frames.select("id", sep.alias("sep"))
 
 
 @frames_query("sensor_pixels", " SELECT id, round(2.3548 * sqrt(greatest(v - 1.0 / 3, 0.25 * v)), 6) AS median_fwhm, round(star_flux * 4, 6) AS star_flux FROM (SELECT *, power(median_fwhm * 2 / 2.3548, 2) AS v FROM frames WHERE bayer = 'RGGB')")
@@ -382,15 +382,15 @@ _SKY = (
     f"b AS (SELECT *, ra + cent * (1.2812323 + 0.5567530 * sin(radians(ra)) * tan(radians(dec))) AS pra, dec + cent * 0.5567530 * cos(radians(ra)) AS pdec, 280.460 + 0.9856474 * dd + 1.915 * sin(radians(g)) + 0.020 * sin(radians(2 * g)) AS slon, "
     f"218.32 + 481267.881 * cent + {_series(sky.MOON_LON, 'sin')} AS mlon, {_series(sky.MOON_LAT, 'sin')} AS mlat, 0.9508 + {_series(sky.MOON_PARALLAX, 'cos')} AS par FROM a), "
     f"c AS (SELECT *, {_ecl_ra('slon', '0')} AS sra, {_ecl_dec('slon', '0')} AS sdec, {_ecl_ra('mlon', 'mlat')} AS mra, {_ecl_dec('mlon', 'mlat')} AS mdec FROM b), "
-    f"e AS (SELECT *, {_alt('pra', 'pdec')} AS alt, {_alt('mra', 'mdec')} AS malt FROM c) "
+    f"e AS (SELECT *, CASE WHEN dd IS NOT NULL THEN {_alt('pra', 'pdec')} END AS alt, {_alt('mra', 'mdec')} AS malt FROM c) "
     "SELECT id, round(alt, 2) AS altitude, CASE WHEN alt > 3 AND 1 / sin(radians(alt)) <= 40 THEN round(1 / sin(radians(alt)), 3) END AS airmass, "
-    f"round({_sep('pra', 'pdec', 'mra', 'mdec')}, 2) AS moon_sep, round((1 - cos(radians({_sep('sra', 'sdec', 'mra', 'mdec')}))) / 2, 3) AS moon_illum, round(malt - par * cos(radians(malt)), 2) AS moon_alt FROM e WHERE dd IS NOT NULL"
+    f"CASE WHEN dd IS NOT NULL THEN round({_sep('pra', 'pdec', 'mra', 'mdec')}, 2) END AS moon_sep, CASE WHEN dd IS NOT NULL THEN round((1 - cos(radians({_sep('sra', 'sdec', 'mra', 'mdec')}))) / 2, 3) END AS moon_illum, round(malt - par * cos(radians(malt)), 2) AS moon_alt FROM e"
 )
 
 
 @frames_query("sky_geometry", _SKY)
 def _sky(frames):
-    out = sky.with_sky_geometry(frames.filter(F.col("date_obs").isNotNull()), {"lat": 52.0, "lon": 5.0, "elev": 10.0})
+    out = sky.with_sky_geometry(frames, {"lat": 52.0, "lon": 5.0, "elev": 10.0})
     return out.select("id", "altitude", "airmass", "moon_sep", "moon_illum", "moon_alt")
 
 
@@ -416,24 +416,24 @@ def _documents(frames):
 
 @frames_query(
     "frame_verdicts",
-    " SELECT id, trail_score > 0.03 AS trailed, empty_cells > 0.15 AS occluded, bg_dip > 0.025 AS shadow, streaks > 0 AS satellite, solved <> 0 AS solved FROM frames WHERE trail_score IS NOT NULL AND solved IS NOT NULL",
+    " SELECT id, CAST(trail_score > 0.03 AS VARCHAR) AS trailed, CAST(empty_cells > 0.15 AS VARCHAR) AS occluded, CAST(bg_dip > 0.025 AS VARCHAR) AS shadow, CAST(streaks > 0 AS VARCHAR) AS satellite, CAST(solved <> 0 AS VARCHAR) AS solved FROM frames",
 )
 def _verdicts(frames):
-    some = frames.filter(F.col("trail_score").isNotNull() & F.col("solved").isNotNull())
-    d = fields.project_fields(some, "quality.trailed,quality.occluded,quality.shadow,quality.satellite,plate_solve.solved")
-    return d.select("id", "quality.trailed", "quality.occluded", "quality.shadow", "quality.satellite", "plate_solve.solved")
+    d = fields.project_fields(frames, "quality.trailed,quality.occluded,quality.shadow,quality.satellite,plate_solve.solved")
+    leaves = {"quality": ("trailed", "occluded", "shadow", "satellite"), "plate_solve": ("solved",)}
+    return d.select("id", *[F.col(f"{group}.{name}").cast("string").alias(name) for group, names in leaves.items() for name in names])
 
 
 @frames_query(
     "header_keywords",
-    " SELECT id, json_extract_string(header_json, '$.OBJECT') AS object, CAST(json_extract_string(header_json, '$.EXPTIME') AS DOUBLE) AS exptime, 2 AS cards FROM frames WHERE header_json IS NOT NULL",
+    " SELECT id, json_extract_string(header_json, '$.OBJECT') AS object, CAST(json_extract_string(header_json, '$.EXPTIME') AS DOUBLE) AS exptime, CASE WHEN header_json IS NOT NULL THEN 2.0 END AS cards FROM frames",
 )
 def _header_keywords(frames):
-    d = fields.project_fields(frames.filter(F.col("header_json").isNotNull()), "header.object,header.exptime")
+    d = fields.project_fields(frames, "header.object,header.exptime")
     card = F.col("header")
-    return longs(d.select(
-        "id", F.try_variant_get(card["OBJECT"], "$", "string").alias("object"), F.try_variant_get(card["EXPTIME"], "$", "double").alias("exptime"), F.size("header").alias("cards")
-    ), "cards")
+    return d.select(
+        "id", F.try_variant_get(card["OBJECT"], "$", "string").alias("object"), F.try_variant_get(card["EXPTIME"], "$", "double").alias("exptime"), F.size("header").cast("double").alias("cards")
+    )
 
 
 @frames_query("frame_diagnostics", " SELECT id, coalesce(diagnostics_json, '') = '' AS missing, CAST(json_extract_string(diagnostics_json, '$.v') AS DOUBLE) AS v, CAST(json_extract_string(diagnostics_json, '$.sample') AS DOUBLE) AS sample FROM frames")
@@ -514,10 +514,9 @@ def _page_info(frames):
     return paging.page_info(frames, 3, 200).withColumns({c: F.col(c).cast("double") for c in ("next", "prev")})
 
 
-@frames_query("top_per_object", f" SELECT object, id, CAST(row_number() OVER (PARTITION BY object ORDER BY quality_score DESC NULLS LAST, id) AS INT) AS rank FROM frames WHERE {LIGHT} AND object IS NOT NULL QUALIFY rank <= 5")
+@frames_query("top_per_object", f" SELECT object, id, CAST(row_number() OVER (PARTITION BY object ORDER BY quality_score DESC NULLS LAST, id) AS INT) AS rank FROM frames WHERE {LIGHT} QUALIFY rank <= 5")
 def _top(frames):
-    rows = candidates(frames).filter(F.col("object").isNotNull())
-    return paging.top_per_group(rows, ["object"], [F.col("quality_score").desc_nulls_last(), F.col("id")], 5).select("object", "id", "rank")
+    return paging.top_per_group(candidates(frames), ["object"], [F.col("quality_score").desc_nulls_last(), F.col("id")], 5).select("object", "id", "rank")
 
 
 for _mode, _order in {"max_fov": "g DESC", "min_fov": "g ASC", "max_scale": "s DESC", "min_scale": "s ASC"}.items():
