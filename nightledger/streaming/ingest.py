@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nightledger.schema import FRAME_COLUMNS, conform
-from nightledger.sources.headers import frames_from_headers, parse_headers, read_heads
-from nightledger.sources.library import unique_paths
+from nightledger.sources.headers import frames_from_headers, list_files, parse_headers, read_heads
+from nightledger.sources.library import diff_listing, unique_paths
 
 _BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -41,6 +43,25 @@ def ingest(spark: SparkSession, root: str, catalog: str, checkpoint: str, files_
     )
 
 
+def ingest_changed(spark: SparkSession, root: str, catalog: str) -> DataFrame:
+    """Read again the files that changed since they were ingested, and append their rows; returns their paths.
+
+    A file stream sees a path once, so changed files are found by comparing the listing with the catalogue's times.
+    Each run owns a folder after all batches; `read_ingested` takes the newest row of a path.
+    """
+    known = read_ingested(spark, catalog)
+    listing = list_files(spark, root).withColumn("mtime", F.unix_micros("modificationTime") / 1e6)
+    changed = diff_listing(listing, known).filter("change = 'changed'").drop("change", "mtime")
+    rows = conform(frames_from_headers(parse_headers(read_heads(changed))).withColumn("id", F.xxhash64("path")))
+    target = f"{catalog}/batch={_AFTER_BATCHES + time.time_ns() // 1_000_000}"
+    rows.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target).select("path")
+
+
+#: Folders of changed files are numbered from here on, by the time of the run in milliseconds.
+_AFTER_BATCHES = 10**15
+
+
 def read_ingested(spark: SparkSession, catalog: str) -> DataFrame:
     """The catalogue the stream wrote: the newest row of each path."""
     rows = spark.read.parquet(catalog).drop("batch")

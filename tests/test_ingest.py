@@ -65,6 +65,19 @@ def test_typed_cards(spark, tmp_path):
     assert (row["gain"], row["xbinning"], row["ybinning"], row["object"]) == (150.0, None, 2, "M 31 and its companions, seen late")
 
 
+def test_changed_files_are_read_again(spark, tmp_path):
+    root, table = str(tmp_path / "lib"), str(tmp_path / "table")
+    fits(f"{root}/a.fits", [value("OBJECT", "'old'")])
+    fits(f"{root}/b.fits", [value("OBJECT", "'same'")])
+    ingest.ingest(spark, root, table, str(tmp_path / "ck")).awaitTermination()
+    assert ingest.ingest_changed(spark, root, table).count() == 0
+    fits(f"{root}/a.fits", [value("OBJECT", "'new'")])
+    later = os.path.getmtime(f"{root}/a.fits") + 60
+    os.utime(f"{root}/a.fits", (later, later))
+    assert names(ingest.ingest_changed(spark, root, table)) == ["a.fits"]
+    assert {os.path.basename(r["path"]): r["object"] for r in ingest.read_ingested(spark, table).collect()} == {"a.fits": "new", "b.fits": "same"}
+
+
 def names(df):
     return sorted(os.path.basename(r["path"]) for r in df.collect())
 
