@@ -123,14 +123,3 @@ def to_sensor_pixels(df: DataFrame, k: int, is_binned: Column | None = None) ->
     if "star_flux" in df.columns:
         df = df.withColumn("star_flux", F.when(binned, F.col("star_flux") * (k * k)).otherwise(F.col("star_flux")))
     return df
-
-
-def sources_to_sensor_pixels(df: DataFrame, k: int) -> DataFrame:
-    """Source positions and axes of a binned image, in sensor pixels."""
-    off = (k - 1) / 2.0
-    return (
-        df.withColumn("x", F.col("x") * k + off)
-        .withColumn("y", F.col("y") * k + off)
-        .withColumn("a", F.col("a") * k)
-        .withColumn("b", F.col("b") * k)
-    )

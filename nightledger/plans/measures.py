@@ -184,7 +184,8 @@ def _metrics(spark, sf_dir):
 def _documents(spark, sf_dir):
     info = portable.frame_info(spark, sf_dir)
     grid = background.grid_metrics(portable.detections(spark, sf_dir), portable.bg_cells(spark, sf_dir), info)
-    return stars.diagnostics_rows(_classified(spark, sf_dir), grid, info)
+    dips = background.background_dips(portable.bg_blocks(spark, sf_dir), portable.block_info(spark, sf_dir))
+    return stars.diagnostics_rows(_classified(spark, sf_dir), grid, info, dips=dips)
 
 
 # -- paired runs ------------------------------------------------------------------------------------------
