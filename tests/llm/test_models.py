@@ -274,3 +274,41 @@ def test_pipeline(spark):
     assert sorted(Counter(r["doc_id"] for r in got).items()) == want
     leaks = {r["doc_id"] for r in queries.op3_decontamination(spark, SF).collect()}
     assert leaks and not leaks & {i for i, _ in want}
+
+
+def near_components(rows):
+    """doc_id to the smallest doc_id of its near copies, by the similarity of all pairs."""
+    sets = {i: set(near_copies.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def edited(words, places, mark):
+    out = list(words)
+    for n, at in enumerate(places):
+        out[at] = f"{mark}x{n}"
+    return " ".join(out)
+
+
+def test_near_copies_are_checked_by_exact_similarity(make_docs):
+    rows = []
+    for family in range(40):
+        base = prose(900 + family, 400).split()
+        # One block of edits each: similarity 0.75, 0.79 and 0.8 to the base, of the whole shingle sets.
+        r = np.random.default_rng(family)
+        at = int(r.integers(0, 250))
+        rows += [(10 * family + i, edited(base, range(at, at + n), f"{family}-{i}")) for i, n in enumerate((0, 52, 43, 38))]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()}
+    want = near_components(rows)
+    assert len(set(want.values())) > 40 and got == want
