@@ -312,3 +312,19 @@ def test_near_copies_are_checked_by_exact_similarity(make_docs):
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()}
     want = near_components(rows)
     assert len(set(want.values())) > 40 and got == want
+
+
+def test_near_copies_of_one_base_are_one_group(make_docs):
+    """Copies of a base are like it, not like each other; chains hold families together that no single text does."""
+    r = np.random.default_rng(5)
+    base, other = prose(800, 400).split(), prose(801, 400).split()
+    rows = [(1000 + i, edited(base, r.choice(400, 8, replace=False) if i else (), f"b{i}")) for i in range(250)]
+    chain = other
+    for i in range(30):
+        rows.append((2000 + i, " ".join(chain)))
+        chain = edited(chain, range(13 * i, 13 * i + 12), f"c{i}").split()
+        chain = edited(chain, (13 * i + 3,), f"d{i}").split()
+    # Much like the base, but not enough.
+    rows += [(3000 + i, edited(base, r.choice(400, 12, replace=False), f"e{i}")) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()}
+    assert got == near_components(rows)
