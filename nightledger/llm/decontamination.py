@@ -4,6 +4,9 @@ Passages of the benchmark are TF-IDF vectors over hashed words, with document fr
 randomised SVD, whose products with the passage matrix run on Spark, gives the latent space.  Documents are read in
 overlapping windows; a window whose latent vector is close to that of a passage is compared with it word by word: by
 longest common subsequence, and for a looser likeness by whether the passage's answer is there too.
+
+The leading vectors leave out passages of a large benchmark and short ones, so an inverted index of the passages' rarest
+words finds windows too: a common subsequence misses so few words that it must have some of those, so none is left out.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,10 @@ BLOCK = 16
 MIN_COSINE, MIN_PART = 0.5, 0.2
 #: Part of a passage's words in a common subsequence: alone, or with that part of its answer.
 MIN_LCS, MIN_LCS_WITH_ANSWER, MIN_ANSWER = 0.8, 0.6, 0.8
+#: Rare words that a window must have of a passage to be compared; more cost more look-ups and give fewer windows.
+RARE_WORDS = 4
+#: Places of the table that tells which words are looked up.
+RARE_BITS = 22
 #: Passages that are searched for in one pass over the documents; more take several passes.
 PASSAGES_AT_A_TIME = 50_000
 #: Words of documents that are searched at a time.
@@ -40,8 +48,12 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
 
 
+def checksums(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
+
+
 def terms(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, found), np.uint32, len(found)) & np.uint32(TERMS - 1)
+    return checksums(found) & np.uint32(TERMS - 1)
 
 
 def answer(text: str) -> list[bytes]:
@@ -140,6 +152,53 @@ def latent_space(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     return (basis @ turn[:, ::-1][:, :RANK]).astype(np.float32)
 
 
+@dataclass
+class RareWords:
+    """Passages by their rarest words: as many as a common subsequence can miss, and RARE_WORDS more of them."""
+
+    keys: np.ndarray  # checksums of words, sorted
+    starts: np.ndarray  # where each one's passages start in owners
+    owners: np.ndarray
+    enough: np.ndarray  # of each passage: how many of its rare words a match has
+    sizes: np.ndarray  # and its words
+
+    @classmethod
+    def of(cls, passages: list[list[bytes]], idf: np.ndarray) -> RareWords:
+        pairs, enough = [np.zeros((2, 0), np.int64)], []
+        for p, some in enumerate(passages):
+            least = int(np.ceil(MIN_LCS_WITH_ANSWER * len(some) - 1e-9))
+            enough.append(min(RARE_WORDS, least))
+            sums = checksums(some)
+            rarest = np.argsort(-idf[sums & np.uint32(TERMS - 1)], kind="stable")[: len(some) - least + enough[-1]]
+            keys = np.unique(sums[rarest]).astype(np.int64)
+            pairs.append(np.stack([keys, np.full(len(keys), p)]))
+        key, owner = np.concatenate(pairs, axis=1)
+        order = np.argsort(key, kind="stable")
+        keys, starts = np.unique(key[order], return_index=True)
+        return cls(keys.astype(np.uint32), np.append(starts, len(key)), owner[order], np.array(enough, np.int64), np.array(list(map(len, passages)), np.int64))
+
+    def find(self, sums: np.ndarray, text: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, ...]:
+        """text, passage, first and last place of each run of enough rare words of a passage in a stretch of text."""
+        if not hasattr(self, "_table"):
+            self._table = np.zeros(1 << RARE_BITS, bool)
+            self._table[self.keys & np.uint32((1 << RARE_BITS) - 1)] = True
+        maybe = np.flatnonzero(self._table[sums & np.uint32((1 << RARE_BITS) - 1)])
+        key = np.searchsorted(self.keys, sums[maybe])
+        key[key == len(self.keys)] = 0
+        hit = self.keys[key] == sums[maybe] if len(maybe) else np.zeros(0, bool)
+        word, key = maybe[hit], key[hit]
+        n = self.starts[key + 1] - self.starts[key]
+        word, owner = np.repeat(word, n), self.owners[np.repeat(self.starts[key] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.lexsort((word, owner))
+        word, owner = word[order], owner[order]
+        last = np.arange(len(word)) + self.enough[owner] - 1
+        first = np.flatnonzero(last < len(word))
+        last = last[first]
+        good = (owner[first] == owner[last]) & (text[word[first]] == text[word[last]]) & (word[last] - word[first] < 2 * BLOCK + 2 * self.sizes[owner[first]])
+        first, last = first[good], last[good]
+        return text[word[first]], owner[first], inside[word[first]], inside[word[last]]
+
+
 @dataclass
 class Index:
     """What a search needs of the passages: for each its item, words, answer and latent vector."""
@@ -150,15 +209,18 @@ class Index:
     vectors: np.ndarray  # n, RANK: of length 1
     lengths: np.ndarray  # their lengths before
     table: np.ndarray  # TERMS, RANK: what a word adds to a latent vector
+    rare: RareWords
 
     def search(self, texts: list[str | None]):
         """(text number, item, cosine, common part, whether the answer is there) of each item found, the best of each pair."""
         all_ = [words(t) for t in texts]
         blocks = [-(-len(w) // BLOCK) for w in all_]
         first = np.cumsum([0, *blocks])
-        term = terms([w for found in all_ for w in found])
+        checksum = checksums([w for found in all_ for w in found])
+        term = checksum & np.uint32(TERMS - 1)
         sizes = np.fromiter(map(len, all_), np.int64, len(all_))
         inside = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        runs = self.rare.find(checksum, np.repeat(np.arange(len(texts)), sizes), inside)
         block = np.repeat(first[:-1], sizes) + inside // BLOCK
         known = self.known[term]
         term, block = term[known], block[known]
@@ -174,7 +236,13 @@ class Index:
         # A window shorter than the least part of the shortest passage is close to none.
         long_enough = np.flatnonzero(norm >= MIN_PART * self.lengths.min())
         best: dict[tuple[int, int], tuple] = {}
-        for w, p, alike in self._near(window, norm, long_enough):
+        rare = set()
+        for i, p, start, end in zip(*(x.tolist() for x in runs)):
+            # The blocks whose windows, with the words around them, hold the run.
+            size = len(self.words[p])
+            windows = range(max(0, (end - 2 * BLOCK - size) // BLOCK + 1), min(blocks[i] - 1, (start + size) // BLOCK) + 1)
+            rare.update((int(first[i]) + b, p) for b in windows)
+        for w, p, alike in chain(self._near(window, norm, long_enough), ((w, p, float(window[w] @ self.vectors[p])) for w, p in rare)):
             i = int(owner[w])
             wanted, at = self.words[p], (int(w) - int(first[i])) * BLOCK
             part = all_[i][max(0, at - len(wanted)) : at + 2 * BLOCK + len(wanted)]
@@ -229,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         # Lengths as windows have them: not divided by the passage's own norm.
         scale = np.array([np.linalg.norm((lambda t, c: c * idf[t])(*np.unique(terms(r["words"]), return_counts=True))) for r in some])
         length = np.linalg.norm(vectors, axis=1)
-        index = Index([r["item_id"] for r in some], [list(map(bytes, r["words"])) for r in some], [list(map(bytes, r["answer"])) for r in some], vectors / np.maximum(length, 1e-9)[:, None], (length * scale).astype(np.float32), table)
+        index = Index([r["item_id"] for r in some], [list(map(bytes, r["words"])) for r in some], [list(map(bytes, r["answer"])) for r in some], vectors / np.maximum(length, 1e-9)[:, None], (length * scale).astype(np.float32), table, RareWords.of([list(map(bytes, r["words"])) for r in some], idf))
         part = _searched(docs, spark.sparkContext.broadcast(index))
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))

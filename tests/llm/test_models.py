@@ -328,3 +328,15 @@ def test_near_copies_of_one_base_are_one_group(make_docs):
     rows += [(3000 + i, edited(base, r.choice(400, 12, replace=False), f"e{i}")) for i in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()}
     assert got == near_components(rows)
+
+
+def test_decontamination_finds_short_items_of_a_large_benchmark(spark, make_docs):
+    items = [(i, prose(5000 + i, 5 + i % 16)) for i in range(800)]
+    rows = []
+    for i, text in items:
+        around = prose(9000 + i, 120).split()
+        at = 17 * i % 100
+        rows.append((i, " ".join([*around[:at], text, *around[at:]])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(make_docs(rows), benchmark).collect()}
+    assert {(i, i) for i, t in items if len(decontamination.words(t)) >= decontamination.MIN_WORDS} <= got
