@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Hashed vocabulary and rank: the broadcast table has TERMS * RANK floats at most.
 TERM_BITS, RANK, EXTRA, ROUNDS, SEED = 16, 64, 10, 2, 3
 TERMS = 1 << TERM_BITS
-#: An item is cut into passages of this many words; shorter last pieces and items count from MIN_WORDS on.
+#: An item is cut into passages of this many words, of which the last may overlap the one before; shorter items count from MIN_WORDS on.
 PASSAGE, MIN_WORDS = 64, 5
 #: Windows are two blocks of words long and a block apart.
 BLOCK = 16
@@ -32,6 +32,8 @@ BLOCK = 16
 MIN_COSINE, MIN_PART = 0.5, 0.2
 #: Part of a passage's words in a common subsequence: alone, or with that part of its answer.
 MIN_LCS, MIN_LCS_WITH_ANSWER, MIN_ANSWER = 0.8, 0.6, 0.8
+#: A passage of fewer words is looked for in stretches of its own length and a quarter more, not in the whole window.
+SHORT = 2 * BLOCK
 #: Rare words that a window must have of a passage to be compared; more cost more look-ups and give fewer windows.
 RARE_WORDS = 4
 #: Places of the table that tells which words are looked up.
@@ -75,6 +77,24 @@ def common(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+def likeness(wanted: list[bytes], answer: list[bytes], part: list[bytes]):
+    """(common part, whether the answer is there) of each stretch of part that has the passage: all of part, if that is not short."""
+    if common(wanted, part) < MIN_LCS_WITH_ANSWER * len(wanted):
+        return
+    size = len(wanted) + len(wanted) // 4 if len(wanted) < SHORT else len(part)
+    known = set(wanted)
+    for at in range(max(1, len(part) - size + 1)):
+        some = part[at : at + size]
+        if len(some) < len(part) and (sum(map(known.__contains__, some)) < MIN_LCS_WITH_ANSWER * len(wanted) or at + size < len(part) and some[0] not in known):
+            continue
+        lcs = common(wanted, some) / len(wanted)
+        if lcs < MIN_LCS_WITH_ANSWER:
+            continue
+        there = common(answer, some) >= MIN_ANSWER * len(answer)
+        if lcs >= MIN_LCS or there:
+            yield lcs, there
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that have each term, and documents, over all of docs."""
 
@@ -102,7 +122,7 @@ def passages(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist()):
                 all_ = words(text)
                 for part, at in enumerate(range(0, len(all_), PASSAGE)):
-                    some = all_[at : at + PASSAGE]
+                    some = all_[min(at, max(0, len(all_) - PASSAGE)) :][:PASSAGE]
                     if len(some) < MIN_WORDS:
                         continue
                     for column, value in zip(out, (item, part, some, answer(text) if len(all_) <= PASSAGE else some[-5:])):
@@ -249,12 +269,8 @@ class Index:
             # No subsequence is longer than the words that are there at all.
             if sum(map(set(part).__contains__, wanted)) < MIN_LCS_WITH_ANSWER * len(wanted):
                 continue
-            lcs = common(wanted, part) / len(wanted)
-            if lcs < MIN_LCS_WITH_ANSWER:
-                continue
-            there = common(self.answers[p], part) >= MIN_ANSWER * len(self.answers[p])
-            if lcs >= MIN_LCS or there:
-                found = (lcs, float(alike / norm[w]), bool(there))
+            for lcs, there in likeness(wanted, self.answers[p], part):
+                found = (lcs, float(alike / norm[w]), there)
                 key = (i, self.items[p])
                 best[key] = max(best.get(key, found), found)
         return [(i, item, cosine, lcs, there) for (i, item), (lcs, cosine, there) in best.items()]

@@ -340,3 +340,18 @@ def test_decontamination_finds_short_items_of_a_large_benchmark(spark, make_docs
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(make_docs(rows), benchmark).collect()}
     assert {(i, i) for i, t in items if len(decontamination.words(t)) >= decontamination.MIN_WORDS} <= got
+
+
+def test_decontamination_takes_no_scattered_words_for_a_short_passage(spark, make_docs):
+    short, long = prose(70, 5), " ".join(f"long{i}" for i in range(69))
+    tail, filler = long.split()[-5:], [f"filler{i}" for i in range(60)]
+
+    def scattered(words, gap):
+        return " ".join(w for i, word in enumerate(words) for w in (word, *filler[gap * i : gap * (i + 1)]))
+
+    rows = [(1, scattered(short.split(), 6)), (2, scattered(tail, 6)), (3, " ".join(filler[:20] + [*short.split()[:2], "extra", *short.split()[2:]] + filler[20:])), (4, prose(71, 30) + " " + long), (5, " ".join(filler + tail))]
+    rows += [(6, " ".join(filler[:40] + long.split()[3:])), (7, " ".join(filler[:40] + long.split()[:64]))]
+    benchmark = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(make_docs(rows), benchmark).collect()}
+    assert got == {(3, 1), (4, 2), (6, 2), (7, 2)}
+    assert [len(r["words"]) for r in decontamination.passages(benchmark).orderBy("item_id", "part").collect()] == [5, 64, 64]
