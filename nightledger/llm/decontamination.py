@@ -157,6 +157,7 @@ def _power(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["term", "v"])
 
     sums = rows.select("words").mapInArrow(run, "term bigint, v array<double>").groupBy("term").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width))).toPandas()
+    shared.destroy()
     out = np.zeros(basis.shape)
     if len(sums):
         out[sums["term"].to_numpy(np.int64)] = sums.drop(columns="term").to_numpy(float)
