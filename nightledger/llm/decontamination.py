@@ -140,17 +140,18 @@ def _vector(found: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return term, value / max(1e-9, float(np.linalg.norm(value)))
 
 
-def _power(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A basis, where A has a row for each passage: partial sums by term, added up by Spark."""
-    shared = rows.sparkSession.sparkContext.broadcast((idf, basis))
+def _power(rows: DataFrame, idf: np.ndarray, present: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis, where A has a row for each passage and a column for each term present: partial sums by term, added up by Spark."""
+    shared = rows.sparkSession.sparkContext.broadcast((idf, present, basis))
     width = basis.shape[1]
 
     def run(batches):
-        idf, basis = shared.value
+        idf, present, basis = shared.value
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for found in batch["words"].to_pylist():
                 term, value = _vector(found, idf)
+                term = np.searchsorted(present, term)
                 row = value @ basis[term]
                 for t, v in zip(term.tolist(), value.tolist()):
                     total[t] = total[t] + v * row if t in total else v * row
@@ -164,13 +165,28 @@ def _power(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out
 
 
+def _terms_of(rows: DataFrame) -> np.ndarray:
+    """The terms that passages have, in order."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms([w for found in batch["words"].to_pylist() for w in found])).astype(np.int64))], ["term"])
+
+    return np.sort(rows.select("words").mapInArrow(run, "term bigint").distinct().toPandas()["term"].to_numpy(np.int64))
+
+
 def latent_space(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     """TERMS x RANK: the leading right singular vectors of the passages' TF-IDF matrix, by randomised SVD."""
-    basis = np.random.default_rng(SEED).normal(size=(TERMS, RANK + EXTRA))
-    for _ in range(ROUNDS):
-        basis = np.linalg.qr(_power(rows, idf, basis))[0]
-    _, turn = np.linalg.eigh(basis.T @ _power(rows, idf, basis))
-    return (basis @ turn[:, ::-1][:, :RANK]).astype(np.float32)
+    present = _terms_of(rows)
+    out = np.zeros((TERMS, RANK), np.float32)
+    if len(present):
+        basis = np.random.default_rng(SEED).normal(size=(len(present), RANK + EXTRA))
+        for _ in range(ROUNDS):
+            basis = np.linalg.qr(_power(rows, idf, present, basis))[0]
+        _, turn = np.linalg.eigh(basis.T @ _power(rows, idf, present, basis))
+        space = basis @ turn[:, ::-1][:, :RANK]
+        out[present, : space.shape[1]] = space
+    return out
 
 
 @dataclass
