@@ -19,6 +19,8 @@ from .common import written
 LETTERS = r"a-zA-ZÀ-ÿ"
 #: Words whose neighbourhoods are built at a time.
 AT_A_TIME = 4096
+#: Words a task builds the neighbourhoods of, at most: some tens of rows each.
+WORDS_A_TASK = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -111,7 +113,7 @@ def _keyed(words: DataFrame, make, symbols: int, names: list[str], schema: str)
 
 def symbols_for(words: int) -> int:
     """Symbols of the reduced alphabet: more for larger vocabularies, so that the pairs to verify stay few a word."""
-    return max(3, round(3 * (words / 400_000) ** (2 / 7)))
+    return max(3, round(3 * (words / 2_000_000) ** (2 / 7)))
 
 
 def words_of(docs: DataFrame, min_length: int, one_in: int | None) -> DataFrame:
@@ -129,13 +131,17 @@ def words_of(docs: DataFrame, min_length: int, one_in: int | None) -> DataFrame:
     return runs.where(F.length("word") >= min_length)
 
 
-def near_words(words: DataFrame, symbols: int) -> DataFrame:
-    """word, near, near_n: every ordered pair of different words one inserted, deleted or replaced code point apart."""
-    sent = _keyed(words.select("word"), neighbourhoods, symbols, ["word"], "key bigint, word string")
+def near_words(words: DataFrame, total: int) -> DataFrame:
+    """word, near, near_n, dealt by word: for `total` words, every ordered pair of different words one inserted, deleted or replaced code point apart."""
+    spread = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // WORDS_A_TASK))
+    # Words in order stand next to those they share letters with, which keeps the shuffled rows small.
+    ordered = words.select("word").repartitionByRange(spread, "word").sortWithinPartitions("word")
+    symbols = symbols_for(total)
+    sent = _keyed(ordered, neighbourhoods, symbols, ["word"], "key bigint, word string")
     there = _keyed(words.select("word", "n"), answers, symbols, ["near", "near_n"], "key bigint, near string, near_n bigint")
     met = sent.join(there, "key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
-    # An edit inside a run of equal letters has several places, so that a pair may meet twice.
-    return met.select("word", "near", "near_n").dropDuplicates(["word", "near"])
+    # An edit inside a run of equal letters has several places, so that a pair may meet twice.  A word has few near ones.
+    return met.select("word", "near", "near_n").repartition("word").dropDuplicates(["word", "near"])
 
 
 def roots_of(forms: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def spelling_variants(docs: DataFrame, min_length: int = 7, min_count: int = 2,
     """
     counted = words_of(docs, min_length, one_in).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     words = written(counted, "words")
-    near = near_words(words, symbols_for(words.count()))
+    near = near_words(words, words.count())
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     much: Column = -F.col("best.less") >= F.col("n") * ratio
     found = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(much, F.col("best.near")).alias("form"), F.when(much, -F.col("best.less")).alias("form_n"))
