@@ -346,28 +346,30 @@ def _below_outliers(name: str) -> Predicate:
     return lambda v: v[name] < v.median(v[name]) + 2 * v.mad(v[name])
 
 
+#: Ready-made conditions, by what they test; the names are this library's own.
 PRESETS: dict[str, Predicate] = {
-    "HFR outliers": _below_outliers("hfr"),
-    "FWHM outliers": _below_outliers("fwhm"),
-    "Eccentricity outliers": _below_outliers("eccentricity"),
-    "PSF FWHM outliers": _below_outliers("psf_fwhm"),
-    "Top 75% by quality": lambda v: v.quality > v.percentile(v.quality, 25),
-    "Good tracking only": lambda v: v.good_tracking,
-    "No occlusion": lambda v: ~v.occluded,
-    "No satellite streaks": lambda v: ~v.satellite,
-    "No frost / dew shadow": lambda v: ~v.shadow,
-    "Transparency >= 0.8": lambda v: v.transparency >= 0.8,
-    "Steady session (no clouds)": lambda v: ~v.seq_anomaly,
-    "Plate-solved only": lambda v: v.solved == 1,
-    "Needs solving": lambda v: v.missing(v.astap_ra),
-    "No coordinates": lambda v: v.isnan(v.ra),
-    "Coord mismatch (>10')": lambda v: v.coord_sep > 10,
-    "Exclude rejected": lambda v: ~v.rejected,
-    "Accepted only": lambda v: v.accepted,
-    "Exclude reject folders": lambda v: v.path.not_like("%reject%"),
-    "OSC only": lambda v: v.osc,
-    "Mono only": lambda v: v.mono,
-    "Sensor at setpoint": lambda v: ~v.off_setpoint,
+    # The row's state in the catalogue.
+    "not_rejected": lambda v: ~v.rejected,
+    "accepted": lambda v: v.accepted,
+    "path_without_reject": lambda v: v.path.not_like("%reject%"),
+    "mono_camera": lambda v: v.mono,
+    "colour_camera": lambda v: v.osc,
+    "cooled_to_setpoint": lambda v: ~v.off_setpoint,
+    # Where the frame points.
+    "has_plate_solution": lambda v: v.solved == 1,
+    "external_solution_missing": lambda v: v.missing(v.astap_ra),
+    "header_ra_missing": lambda v: v.isnan(v.ra),
+    "header_off_solution": lambda v: v.coord_sep > 10,
+    # What the pixels say.
+    "tracked_well": lambda v: v.good_tracking,
+    "unobstructed": lambda v: ~v.occluded,
+    "without_streaks": lambda v: ~v.satellite,
+    "without_shadow": lambda v: ~v.shadow,
+    "quality_above_lower_quartile": lambda v: v.quality > v.percentile(v.quality, 25),
+    **{f"{name}_within_2_mad": _below_outliers(name) for name in ("eccentricity", "fwhm", "hfr", "psf_fwhm")},
+    # How the frame compares with its session.
+    "clear_sky": lambda v: v.transparency >= 0.8,
+    "like_its_session": lambda v: ~v.seq_anomaly,
 }
 
 

@@ -219,7 +219,7 @@ def _everything(frames):
     "AND lower(path) NOT LIKE '%reject%'",
 )
 def _presets(frames):
-    wanted = ["Top 75% by quality", "Good tracking only", "Plate-solved only", "Exclude rejected", "Mono only", "Sensor at setpoint", "Exclude reject folders"]
+    wanted = ["quality_above_lower_quartile", "tracked_well", "has_plate_solution", "not_rejected", "mono_camera", "cooled_to_setpoint", "path_without_reject"]
     return _ids(select_frames(frames, all_of(*[PRESETS[n] for n in wanted])))
 
 
