@@ -79,6 +79,17 @@ def _refused(frames):
     return library.unique_paths(frames.unionByName(frames.filter(F.col("id") % 7 == 0)))[1]
 
 
+@frames_query(
+    "refused_known_paths",
+    " SELECT path, n - CASE WHEN known THEN 0 ELSE 1 END AS refused FROM (SELECT n.path, count(*) AS n, bool_or(n.path IN (SELECT path FROM frames WHERE id % 5 = 0)) AS known "
+    "FROM (SELECT path FROM frames WHERE id % 2 = 0 UNION ALL SELECT path FROM frames WHERE id % 6 = 0) n GROUP BY n.path) WHERE n > 1 OR known",
+)
+def _refused_known(frames):
+    """A batch with repeated paths, appended to a catalogue that has some of them."""
+    batch = frames.filter(F.col("id") % 2 == 0).unionByName(frames.filter(F.col("id") % 6 == 0))
+    return library.refused_rows(batch, frames.filter(F.col("id") % 5 == 0))
+
+
 @frames_query(
     "set_temp_backfill",
     " SELECT id, CASE WHEN id % 3 = 0 THEN -10.0 WHEN json_type(header_json, '$.\"SET-TEMP\"') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(header_json, '$.\"SET-TEMP\"') AS DOUBLE) END AS set_temp FROM frames",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,8 @@ def normalize_stored(frames: DataFrame) -> DataFrame:
 
 _BLOCK = 2880
 _CARD = 80
+#: Names of files with a header of cards.
+IMAGE_FILE = re.compile(r"\.(fit|fits|fts)$", re.IGNORECASE)
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -110,35 +114,31 @@ def harvest_headers(spark: SparkSession, path: str | list[str], listing: DataFra
     return parse_headers(read_heads(files))
 
 
-def read_heads(files: DataFrame) -> DataFrame:
-    """Adds `head`: each file's header blocks up to its END card, however many there are, and nothing behind them.
+def head_of(path: str) -> bytes | None:
+    """Header blocks of a file up to its END card, however many there are, and nothing behind them; None if it cannot be opened."""
+    from pyarrow import fs
 
-    NULL for a file that cannot be opened.  The paths are read through pyarrow's file systems, by the tasks that need them.
-    """
+    head = b""
+    try:
+        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        with system.open_input_stream(inner) as stream:
+            while True:
+                block = stream.read(_BLOCK)
+                head += block
+                ended = any(block[i : i + 8].rstrip() == b"END" for i in range(0, _BLOCK, _CARD))
+                # Without a header at its start, the pixels of another format are left alone.
+                if len(block) < _BLOCK or ended or not head.startswith(b"SIMPLE"):
+                    return head
+    except OSError:
+        return None
 
-    def blocks(stream) -> bytes:
-        head = b""
-        while True:
-            block = stream.read(_BLOCK)
-            head += block
-            if len(block) < _BLOCK or any(block[i : i + 8].rstrip() == b"END" for i in range(0, _BLOCK, _CARD)):
-                return head
-            if not head.startswith(b"SIMPLE"):
-                return head  # no header: the pixels of another format are left alone
-
-    def read(path: str) -> bytes | None:
-        from pyarrow import fs
-
-        try:
-            system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-            with system.open_input_stream(inner) as stream:
-                return blocks(stream)
-        except OSError:
-            return None
+
+def read_heads(files: DataFrame) -> DataFrame:
+    """Adds `head`, the header blocks of each file, read through pyarrow's file systems by the tasks that need them."""
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(head=[read(p) for p in pdf["path"]])
+            yield pdf.assign(head=[head_of(p) for p in pdf["path"]])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
     return files.mapInPandas(run, f"{fields}, head binary")
@@ -154,15 +154,12 @@ def parse_headers(files: DataFrame) -> DataFrame:
     head = files.select("path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length", _cards(F.col("head")).alias("_cards"))
     head = head.withColumn("_end", _end_of("_cards").cast("int"))
     head = head.withColumn("_body", F.filter(F.slice("_cards", F.lit(1), F.greatest(F.col("_end") - 1, F.lit(0))), lambda c: F.trim(F.substring(c, 1, 8)) != ""))
-    head = head.withColumn("_body", _continued(F.col("_body")))
-    # The last card of a repeated keyword: reversed, then the first of each keyword.
-    head = head.withColumn("_entries", F.transform(F.reverse("_body"), lambda c: F.struct(card_key(c).alias("key"), card_value(c).alias("value"), is_text(c).alias("text"))))
-    unique = F.aggregate(
-        "_entries",
-        F.array().cast("array<struct<key: string, value: string, text: boolean>>"),
-        lambda kept, e: F.when(F.exists(kept, lambda k: k["key"] == e["key"]), kept).otherwise(F.array_append(kept, e)),
-    )
-    head = head.withColumn("_entries", unique)
+    head = _continued(head, "_body")
+    # The last card of a repeated keyword: sorted by keyword and place, the one before another keyword.
+    entry = lambda c, i: F.struct(card_key(c).alias("key"), i.alias("place"), card_value(c).alias("value"), is_text(c).alias("text"))
+    head = head.withColumn("_entries", F.sort_array(F.transform("_body", entry)))
+    last = lambda e, i: ~e["key"].eqNullSafe(F.get("_entries", i + 1)["key"])
+    head = head.withColumn("_entries", F.sort_array(F.transform(F.filter("_entries", last), lambda e: F.struct(e["place"], e["key"], e["value"], e["text"]))))
     readable = (F.col("_end") > 0) & F.get("_cards", F.lit(0)).startswith("SIMPLE")
     return head.select(
         "path", "mtime", "length",
@@ -182,21 +179,33 @@ def _end_of(cards: str) -> Column:
     return F.array_position(F.transform(cards, lambda c: F.rtrim(F.substring(c, 1, 8))), "END")
 
 
-_QUOTED = r"^\s*'((?:[^']|'')*)'"
+_QUOTED = r"^\s*'([^']*+(?:''[^']*+)*+)'"
 
 
-def _continued(cards: Column) -> Column:
-    """CONTINUE cards appended to the text before them, which ends in an ampersand."""
+def _continued(head: DataFrame, cards: str) -> DataFrame:
+    """CONTINUE cards of a column of cards appended to the text before them, which ends in an ampersand.
+
+    Whether a card goes on with the one before can be seen from the two; the others begin a group, and each group is
+    put together on its own.
+    """
     open_text = r"&\s*'[^']*$"
 
-    def join(done: Column, card: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        rest = F.regexp_extract(F.substring(card, 9, 72), r"^\s*'(.*)$", 1)
-        goes_on = card.startswith("CONTINUE") & (F.size(done) > 0) & F.coalesce(last.rlike(open_text), F.lit(False)) & (rest != "")
-        joined = F.concat(F.regexp_replace(last, open_text, ""), rest)
-        return F.when(goes_on, F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.array_append(done, card))
+    def rest(card: Column) -> Column:
+        return F.regexp_extract(F.substring(card, 9, 72), r"^\s*'(.*)$", 1)
+
+    def begins(card: Column, i: Column) -> Column:
+        before = F.get(cards, i - 1)
+        return ~(card.startswith("CONTINUE") & F.coalesce(before.rlike(open_text), F.lit(False)) & (rest(card) != ""))
 
-    return F.aggregate(cards, F.array().cast("array<string>"), join)
+    def group(start: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("_starts", i + 1), F.size(cards))
+        more = F.slice(cards, start + 2, stop - start - 1)
+        return F.aggregate(more, F.get(cards, start), lambda text, card: F.concat(F.regexp_replace(text, open_text, ""), rest(card)))
+
+    flagged = head.withColumn("_begins", F.transform(cards, begins))
+    flagged = flagged.withColumn("_starts", F.filter(F.transform("_begins", lambda b, i: F.when(b, i)), lambda i: i.isNotNull()))
+    whole = F.when(F.size("_starts") == F.size(cards), F.col(cards)).otherwise(F.transform("_starts", group))
+    return flagged.withColumn(cards, whole).drop("_begins", "_starts")
 
 
 _HIERARCH = r"^HIERARCH\s+([^=']+?)\s*=(.*)$"
@@ -258,10 +267,19 @@ def normalize_headers(headers: DataFrame) -> DataFrame:
     """Frame fields from the keyword map.
 
     The first alias present, not NULL and not empty wins.  Text that is not a
-    number becomes NULL in a number field, and so does a fraction in an integer
-    field.  Exponents may be written with a D.
+    number becomes NULL in a number field.  In an integer field a number loses
+    its fraction and a quoted text must be an integer; without `texts`, which
+    names the quoted ones, a fraction gives NULL.  Exponents may be written with a D.
     """
     cards = F.col("cards")
+    quoted = F.coalesce(F.col("texts"), F.array().cast("array<string>")) if "texts" in headers.columns else None
+
+    def whole(field: str) -> Column:
+        value, number = F.col(f"_{field}"), _number(F.col(f"_{field}"))
+        if quoted is None:
+            return F.when(number == F.floor(number), number.try_cast("int"))
+        is_quoted = F.coalesce(*[F.when(F.nullif(cards[k], F.lit("")).isNotNull(), F.array_contains(quoted, k)) for k in ALIASES[field]])
+        return F.when(is_quoted, F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(value).try_cast("int"))).otherwise(number.try_cast("int"))
 
     def first(field: str) -> Column:
         return F.coalesce(*[F.nullif(cards[k], F.lit("")) for k in ALIASES[field]])
@@ -274,8 +292,7 @@ def normalize_headers(headers: DataFrame) -> DataFrame:
             d = _number(v)
             out[field] = F.when(~F.isnan(d), d)
         elif field in INT_FIELDS:
-            d = _number(v)
-            out[field] = F.when(d == F.floor(d), d.try_cast("int"))
+            out[field] = whole(field)
         elif field == "imagetyp":
             out[field] = normalize_imagetyp(v)
         elif field == "filter":

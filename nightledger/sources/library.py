@@ -62,6 +62,14 @@ def unique_paths(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, surplus
 
 
+def refused_rows(new: DataFrame, frames: DataFrame) -> DataFrame:
+    """(path, refused): rows of a plain append that unique paths refuse, because the catalogue has the path or another row of `new` does."""
+    counted = new.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    known = frames.select("path").distinct().withColumn("_known", F.lit(1))
+    refused = F.col("n") - F.when(F.col("_known").isNull(), 1).otherwise(0)
+    return counted.join(known, "path", "left").select("path", refused.alias("refused")).filter("refused > 0")
+
+
 def merge_frames(old: DataFrame, new: DataFrame) -> DataFrame:
     """Catalogue after a rescan: rows of re-read paths replaced, others kept."""
     kept, _ = unique_paths(new)

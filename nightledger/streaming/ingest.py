@@ -1,68 +1,47 @@
-"""Incremental header ingest: new files of a library as a stream."""
+"""Incremental header ingest: new and changed files of a library as one stream into the catalogue's generations."""
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nightledger.schema import FRAME_COLUMNS, conform
-from nightledger.sources.headers import frames_from_headers, list_files, parse_headers, read_heads
-from nightledger.sources.library import diff_listing, unique_paths
-
-_BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
-
-def header_stream(spark: SparkSession, root: str, files_per_trigger: int = 10_000) -> DataFrame:
-    """New image files below the root, as (path, modificationTime, length); their content is not read."""
-    files = (
-        spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
-        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(root).select("path", "modificationTime", "length")
-    )
-    files = files.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    return files.filter(F.lower("path").rlike(r"\.(fit|fits|fts)$") & ~F.col("path").rlike(r"/\.[^/]*/"))
+from nightledger.schema import conform
+from nightledger.sources.generations import BUCKETS, commit, read_current
+from nightledger.sources.header_source import FrameHeaders
+from nightledger.sources.headers import frames_from_headers, parse_headers
 
 
-def ingest(spark: SparkSession, root: str, catalog: str, checkpoint: str, files_per_trigger: int = 10_000) -> StreamingQuery:
-    """Append frame rows for new files until the library is caught up.
+def header_stream(spark: SparkSession, root: str, state: str, files_per_batch: int = 10_000) -> DataFrame:
+    """New and changed image files below the root with their header blocks; `state` keeps the listings between runs."""
+    spark.dataSource.register(FrameHeaders)
+    options = {"path": root, "state": state, "files_per_batch": str(files_per_batch)}
+    return spark.readStream.format("frame_headers").options(**options).load()
 
-    Each micro-batch owns the folder batch=<n> and overwrites it, so a batch
-    replayed after a failure leaves one copy.  The catalogue is never
-    rewritten; `read_ingested` resolves several rows of one path.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = conform(frames_from_headers(parse_headers(read_heads(batch))).withColumn("id", F.xxhash64("path")))
-        rows.write.mode("overwrite").parquet(f"{catalog}/batch={number}")
 
-    return (
-        header_stream(spark, root, files_per_trigger).writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def frame_rows(heads: DataFrame) -> DataFrame:
+    """Catalogue rows of header blocks; unreadable files become tombstones."""
+    return conform(frames_from_headers(parse_headers(heads)).withColumn("id", F.xxhash64("path")))
 
 
-def ingest_changed(spark: SparkSession, root: str, catalog: str) -> DataFrame:
-    """Read again the files that changed since they were ingested, and append their rows; returns their paths.
+def ingest(spark: SparkSession, root: str, catalog: str, checkpoint: str, files_per_batch: int = 10_000, buckets: int = BUCKETS) -> StreamingQuery:
+    """Start taking new and changed files into the catalogue, batch by batch; it goes on until it is stopped.
 
-    A file stream sees a path once, so changed files are found by comparing the listing with the catalogue's times.
-    Each run owns a folder after all batches; `read_ingested` takes the newest row of a path.
+    A batch replayed after a failure is recognised by its number and changes nothing.
     """
-    known = read_ingested(spark, catalog)
-    listing = list_files(spark, root).withColumn("mtime", F.unix_micros("modificationTime") / 1e6)
-    changed = diff_listing(listing, known).filter("change = 'changed'").drop("change", "mtime")
-    rows = conform(frames_from_headers(parse_headers(read_heads(changed))).withColumn("id", F.xxhash64("path")))
-    target = f"{catalog}/batch={_AFTER_BATCHES + time.time_ns() // 1_000_000}"
-    rows.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target).select("path")
 
+    def write(batch: DataFrame, number: int) -> None:
+        commit(batch.sparkSession, catalog, frame_rows(batch), source=checkpoint, batch=number, buckets=buckets)
 
-#: Folders of changed files are numbered from here on, by the time of the run in milliseconds.
-_AFTER_BATCHES = 10**15
+    stream = header_stream(spark, root, f"{checkpoint}/listing", files_per_batch)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/query").start()
 
 
-def read_ingested(spark: SparkSession, catalog: str) -> DataFrame:
-    """The catalogue the stream wrote: the newest row of each path."""
-    rows = spark.read.parquet(catalog).drop("batch")
-    return unique_paths(rows)[0].select(*FRAME_COLUMNS)
+def catch_up(spark: SparkSession, root: str, catalog: str, checkpoint: str, files_per_batch: int = 10_000, buckets: int = BUCKETS) -> DataFrame:
+    """Take in all that is new or changed now, then stop; the catalogue."""
+    query = ingest(spark, root, catalog, checkpoint, files_per_batch, buckets)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return read_current(spark, catalog)

@@ -10,7 +10,7 @@ from nightledger.operators.predicates import Flag
 from nightledger.operators.screening import screen_sessions
 from nightledger.plans import portable
 from nightledger.schema import FRAME_SCHEMA
-from nightledger.sources import catalog, headers, library, sinks
+from nightledger.sources import catalog, generations, header_source, headers, library, sinks
 from nightledger.streaming import ingest, live
 from tests.conftest import SMALL, ids
 from tests.test_sessions import night_of
@@ -65,17 +65,128 @@ def test_typed_cards(spark, tmp_path):
     assert (row["gain"], row["xbinning"], row["ybinning"], row["object"]) == (150.0, None, 2, "M 31 and its companions, seen late")
 
 
-def test_changed_files_are_read_again(spark, tmp_path):
-    root, table = str(tmp_path / "lib"), str(tmp_path / "table")
-    fits(f"{root}/a.fits", [value("OBJECT", "'old'")])
-    fits(f"{root}/b.fits", [value("OBJECT", "'same'")])
-    ingest.ingest(spark, root, table, str(tmp_path / "ck")).awaitTermination()
-    assert ingest.ingest_changed(spark, root, table).count() == 0
-    fits(f"{root}/a.fits", [value("OBJECT", "'new'")])
-    later = os.path.getmtime(f"{root}/a.fits") + 60
-    os.utime(f"{root}/a.fits", (later, later))
-    assert names(ingest.ingest_changed(spark, root, table)) == ["a.fits"]
-    assert {os.path.basename(r["path"]): r["object"] for r in ingest.read_ingested(spark, table).collect()} == {"a.fits": "new", "b.fits": "same"}
+def test_numbers_in_integer_fields(spark, tmp_path):
+    """A number loses its fraction; a quoted text must be an integer."""
+    cards = [value("XBINNING", "                12.5"), value("YBINNING", "'12.5'"), value("OFFSET", "' 7 '"), value("NAXIS1", "               -3.9"), value("NAXIS2", "'x'")]
+    fits(str(tmp_path / "n" / "a.fits"), cards)
+    row = headers.frames_from_headers(headers.harvest_headers(spark, str(tmp_path / "n"))).first()
+    assert [row[c] for c in ("xbinning", "ybinning", "cam_offset", "naxis1", "naxis2")] == [12, None, 7, -3, None]
+
+
+def test_many_cards(spark, tmp_path):
+    """20 000 cards of one keyword, and a text of as many CONTINUE cards: both are put together in linear time."""
+    long = [value("OBJECT", "'start&'"), *(f"CONTINUE  '-{i}&'" for i in range(5000)), "CONTINUE  ' end'"]
+    alone = ["CONTINUE  'stray'", value("NOTE", "'not open'"), "CONTINUE  'stray too'"]
+    fits(str(tmp_path / "m" / "a.fits"), [*alone, *(f"HISTORY step {i}" for i in range(20_000)), *long, value("FILTER", "'Ha'")])
+    cards = headers.harvest_headers(spark, str(tmp_path / "m")).first()["cards"]
+    assert cards["HISTORY"] == "step 19999" and cards["NOTE"] == "not open" and cards["FILTER"] == "Ha"
+    assert cards["OBJECT"] == "start" + "".join(f"-{i}" for i in range(5000)) + " end"
+
+
+def touch(path, mtime):
+    os.utime(path, (mtime, mtime))
+
+
+def objects(df):
+    return {os.path.basename(r["path"]): r["object"] for r in df.collect()}
+
+
+def test_new_and_changed_files_in_one_stream(spark, tmp_path):
+    """Files that are new, newer and older than before all come in; a restarted stream goes on where it was."""
+    root, table, ck = str(tmp_path / "lib"), str(tmp_path / "table"), str(tmp_path / "ck")
+    for name in "abc":
+        fits(f"{root}/{name}.fits", [value("OBJECT", "'first'")])
+        touch(f"{root}/{name}.fits", 1_999_999_000)
+    take = lambda: objects(ingest.catch_up(spark, root, table, ck, files_per_batch=2, buckets=4))
+    assert take() == dict.fromkeys(["a.fits", "b.fits", "c.fits"], "first")
+    before = generations.manifest(spark, table).generation
+    assert take() and generations.manifest(spark, table).generation == before   # nothing changed, nothing written
+    fits(f"{root}/a.fits", [value("OBJECT", "'restored'")])
+    touch(f"{root}/a.fits", 1_000_000_000)                                      # a backup with an older time
+    fits(f"{root}/b.fits", [value("OBJECT", "'newer'")])
+    touch(f"{root}/b.fits", 1_999_999_500)
+    fits(f"{root}/sub/d.fit", [value("OBJECT", "'new'")])
+    fits(f"{root}/.trash/e.fit", [value("OBJECT", "'hidden'")])
+    assert take() == {"a.fits": "restored", "b.fits": "newer", "c.fits": "first", "d.fit": "new"}
+    assert generations.read_current(spark, table).where("path like '%a.fits'").first()["file_mtime"] == 1_000_000_000
+    touch(f"{root}/c.fits", 1_999_999_000.5)                                    # within the tolerance
+    done = generations.manifest(spark, table).generation
+    take()
+    assert generations.manifest(spark, table).generation == done
+
+
+def test_generations(spark, make_frames, tmp_path):
+    table = str(tmp_path / "g")
+    row = lambda path, name, mtime: {"id": hash(path) % 1000, "path": path, "object": name, "file_mtime": mtime}
+    paths = [f"/lib/{i}.fits" for i in range(40)]
+    assert generations.commit(spark, table, make_frames(*[row(p, "old", 100.0) for p in paths]), source="s", batch=0, buckets=8) == 1
+    # The last writer wins, whatever its time; within a batch the newest row of a path.
+    later = make_frames(row(paths[0], "again", 5.0), row(paths[1], "twice", 7.0), row(paths[1], "twice, newer", 8.0))
+    assert generations.commit(spark, table, later, source="s", batch=1) == 2
+    want = {p: "old" for p in paths} | {paths[0]: "again", paths[1]: "twice, newer"}
+    read = lambda g=None: {r["path"]: r["object"] for r in generations.read_current(spark, table, g).collect()}
+    assert read() == want and generations.read_current(spark, table).count() == 40
+    # Untouched buckets stay where they are.
+    written = generations.manifest(spark, table).written
+    assert set(written.values()) == {1, 2} and sum(g == 2 for g in written.values()) <= 2
+    # A replayed batch changes nothing, not even with other rows.
+    assert generations.commit(spark, table, make_frames(row(paths[2], "replayed", 1.0)), source="s", batch=1) == 2 and read() == want
+    # A batch that failed before its manifest is invisible, and written over.
+    make_frames(row(paths[3], "half", 1.0)).write.parquet(f"{table}/data/generation=3/bucket=0")
+    assert read() == want
+    assert generations.commit(spark, table, make_frames(), removed=spark.createDataFrame([(paths[5],), ("/unknown",)], "path string")) == 3
+    assert read() == {p: o for p, o in want.items() if p != paths[5]} and read(2) == want
+    assert {r["object"] for r in generations.read_paths(spark, table, [paths[1], paths[5]]).collect()} == {"twice, newer"}
+    # A read groups nothing and shuffles nothing.
+    plan = generations.read_current(spark, table)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    stale = generations.unused_folders(spark, table, keep=1)
+    assert stale and not any(f"generation={g}/bucket={b}" in " ".join(stale) for b, g in generations.manifest(spark, table).written.items())
+
+
+def test_generation_of_nothing(spark, make_frames, tmp_path):
+    table = str(tmp_path / "e")
+    assert generations.read_current(spark, table).count() == 0 and generations.unused_folders(spark, table) == []
+    assert generations.commit(spark, table, make_frames(), batch=0) == 1 and generations.read_current(spark, table).count() == 0
+    generations.commit(spark, table, make_frames({"path": "/a"}), batch=1)
+    generations.commit(spark, table, make_frames(), removed=spark.createDataFrame([("/a",)], "path string"), batch=2)
+    assert generations.read_current(spark, table).count() == 0 and generations.manifest(spark, table).done == {"": 2}
+
+
+def test_header_source(spark, library_dir):
+    spark.dataSource.register(header_source.FrameHeaders)
+    rows = {os.path.basename(r["path"]): r for r in spark.read.format("frame_headers").option("path", library_dir).load().collect()}
+    assert sorted(rows) == ["TWO.FIT", "broken.fts", "one.fits"]
+    assert len(rows["TWO.FIT"]["head"]) == 3 * 2880 and rows["one.fits"]["length"] == os.path.getsize(rows["one.fits"]["path"])
+    assert abs(rows["one.fits"]["modificationTime"].timestamp() - os.path.getmtime(rows["one.fits"]["path"])) < 1e-3
+
+
+def test_stream_offsets(tmp_path):
+    """A chunk an offset; the same files for the same offsets; what a crashed run handed out is not lost."""
+    root, state = tmp_path / "lib", str(tmp_path / "state")
+    for i in range(5):
+        fits(str(root / f"{i}.fits"), [])
+    reader = header_source.HeaderStreamReader({"path": str(root), "state": state, "files_per_batch": "2"})
+    start = reader.initialOffset()
+    names = lambda a, b: [os.path.basename(f[0])[0] for p in reader.partitions(a, b) for f in p.files]
+    offsets = [reader.latestOffset() for _ in range(4)]
+    assert [(o["round"], o["chunk"]) for o in offsets] == [(1, 1), (1, 2), (1, 3), (1, 3)]
+    assert names(start, offsets[0]) == ["0", "1"] and names(offsets[0], offsets[2]) == ["2", "3", "4"] and names(offsets[2], offsets[2]) == []
+    os.remove(root / "1.fits")
+    touch(str(root / "3.fits"), 5)
+    fits(str(root / "0" / "x.fits"), [])
+    fresh = header_source.HeaderStreamReader(reader.options)
+    after = fresh.latestOffset()
+    assert (after["round"], after["chunk"], after["mtime"]) == (2, 1, 5_000_000)
+    assert [os.path.basename(f[0]) for p in fresh.partitions(offsets[1], after) for f in p.files] == ["4.fits", "x.fits", "3.fits"]
+    fresh.commit(after)
+    assert fresh.latestOffset() == after
+
+
+def test_refused_rows(make_frames):
+    new = make_frames({"path": "/a"}, {"path": "/a"}, {"path": "/b"}, {"path": "/c"}, {"path": "/c"})
+    got = {r["path"]: r["refused"] for r in library.refused_rows(new, make_frames({"path": "/b"}, {"path": "/c"}, {"path": "/z"})).collect()}
+    assert got == {"/a": 1, "/b": 1, "/c": 2}
 
 
 def names(df):
@@ -161,8 +272,7 @@ def test_sql_functions(spark):
 def test_streaming_ingest(spark, library_dir, tmp_path):
     table, state = str(tmp_path / "catalogue"), str(tmp_path / "state")
     for expected in (["TWO.FIT", "broken.fts", "one.fits"], ["TWO.FIT", "broken.fts", "one.fits", "three.fits"]):
-        ingest.ingest(spark, library_dir, table, state, files_per_trigger=2).awaitTermination(120)
-        got = ingest.read_ingested(spark, table)
+        got = ingest.catch_up(spark, library_dir, table, state, files_per_batch=2)
         assert names(got) == expected
         fits(os.path.join(library_dir, "b", "three.fits"), CARDS)
     rows = {os.path.basename(r["path"]): r for r in got.collect()}
