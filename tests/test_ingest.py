@@ -1,13 +1,15 @@
 """Library listing, header harvest, catalogue upkeep, streams, sinks."""
 
+import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from nightledger.functions.registry import register_sql_functions
 from nightledger.operators.predicates import Flag
-from nightledger.operators.screening import screen_sessions
+from nightledger.operators.screening import DEVIATIONS, screen_sessions
 from nightledger.plans import portable
 from nightledger.schema import FRAME_SCHEMA
 from nightledger.sources import catalog, generations, header_source, headers, library, sinks
@@ -233,8 +235,6 @@ def test_needs_analysis(make_frames):
 
 
 def test_grades(spark, make_frames):
-    import datetime as dt
-
     df = make_frames({"id": 1}, {"id": 2, "rejected": 1}, {"id": 3, "rejected": 1})
     at = lambda h: dt.datetime(2026, 1, 1, h)
     log = spark.createDataFrame([(1, 1, at(1)), (1, 0, at(2)), (2, None, at(3)), (2, 1, at(2))], "frame_id long, grade int, ts timestamp_ntz")
@@ -279,19 +279,45 @@ def test_streaming_ingest(spark, library_dir, tmp_path):
     assert rows["three.fits"]["filter"] == "Ha" and rows["broken.fts"]["index_error"]
 
 
-def test_live_screening(spark, make_frames, tmp_path):
-    rows = night_of([500, 510, 495, 505, 200, 150, 480, 500, 505, 498])
+@pytest.fixture
+def far_zone(spark):
+    """A session time zone with clock changes, far from UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_live_screening(spark, make_frames, tmp_path, far_zone):
+    """Provisional verdicts as frames arrive; after the timer, the verdicts of `screen_sessions` for every session that ended."""
+    # Two nights on either side of a clock change, frames out of order, one without a star count, a night of two frames, and another key.
+    clouded = night_of([500, 510, 495, 505, 200, 150, 480, 500, None, 498], start=dt.datetime(2026, 3, 7, 22))
+    clouded[3]["date_obs"] += ".250"
+    frost = night_of([500] * 8, dip=[0.008, 0.009, 0.007, 0.008, 0.008, 0.02, 0.035, 0.05], start=dt.datetime(2026, 3, 8, 20), first_id=20)
+    short = night_of([500, 100], start=dt.datetime(2026, 3, 10, 1), first_id=40)
+    other = night_of([800] * 6 + [400] * 14, start=dt.datetime(2026, 3, 8, 1), first_id=50, filter="Ha")
+    last = night_of([500], start=dt.datetime(2026, 3, 20), first_id=90)
+    batches = [clouded[:5] + other[:9], clouded[7:] + clouded[5:7] + other[9:], frost[::-1], short, last, night_of([500], start=dt.datetime(2026, 3, 20, 0, 5), first_id=91)]
     src = str(tmp_path / "in")
-    make_frames(*rows[:6]).coalesce(1).write.parquet(src)
-    make_frames(*rows[6:]).coalesce(1).write.mode("append").parquet(src)
+    for i, rows in enumerate(batches):
+        make_frames(*rows).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # the file source goes by modification time
     stream = spark.readStream.schema(FRAME_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     q = live.live_screening(stream).writeStream.format("memory").queryName("live_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    got = {r["id"]: r for r in spark.table("live_out").collect()}
-    assert sorted(got) == list(range(1, 11)) and not got[2]["judged"] and got[4]["judged"]
-    final = {r["id"]: r["seq_anomaly"] for r in screen_sessions(make_frames(*rows)).collect()}
-    assert {k for k in got if got[k]["anomaly"]} == {k for k in final if final[k]} == {5, 6}
+    got = spark.table("live_out").collect()
+    every = [r for rows in batches for r in rows]
+    early = {r["id"]: r for r in got if not r["final"]}
+    assert sorted(early) == sorted(r["id"] for r in every) and not early[2]["judged"] and early[4]["judged"] and early[5]["anomaly"]
+    final = {r["id"]: r for r in got if r["final"]}
+    assert len(final) == sum(r["final"] for r in got) and sorted(final) == sorted(r["id"] for r in every if r["id"] < 90)
+    want = {r["id"]: r for r in screen_sessions(make_frames(*every), with_type=True).collect()}
+    assert {i for i, r in final.items() if r["judged"]} == set(want) and want[5]["seq_anomaly"]
+    for i, r in want.items():
+        assert final[i]["anomaly"] == r["seq_anomaly"]
+        assert [final[i][d] for d in DEVIATIONS] == [None if r[d] is None or r[d] != r[d] else r[d] for d in DEVIATIONS]
+    utc_ms = lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert final[4]["session_start"] == utc_ms(dt.datetime(2026, 3, 7, 22)) and final[20]["session_start"] == utc_ms(dt.datetime(2026, 3, 8, 20))
 
 
 def test_flag_needs_operators():
