@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def given_back(batches):
+    """The batches of a task; after the last, the memory that its worker's allocators hold but do not use goes back to the machine."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: only the pool is trimmed
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join `groups` (one row per key; `weight` rows of `rows` have it) to `rows`.
 

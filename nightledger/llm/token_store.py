@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import given_back, written
 
 MAGIC = b"DAC1"
 CHUNK_BITS, RANK_BITS = 8, 512
@@ -106,6 +106,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.remembered = CACHED_WORDS
         # Lower-case Latin letters that normalisation leaves alone.
         self.plain = re.compile("[a-zß-öø-ÿ]{1,200}").fullmatch
 
@@ -155,7 +156,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Little-endian unsigned 32-bit ids of all texts, end to end, and how many each text has."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.remembered:
             self.known = {"": b""}
         lists = pc.split_pattern(self.simpler(pc.replace_substring(texts, "\n", " ")), " ")
         coded = lists.flatten().dictionary_encode()
@@ -182,11 +183,12 @@ def encoder(path: str) -> WordEncoder:
 SEGMENTS = "part int, segment int, before bigint, n_tokens bigint, " + DOC_NUMBERS + ", codes binary"
 
 
-def token_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_segments(docs: DataFrame, tokenizer: str, end_id: int, remembered: int = CACHED_WORDS) -> DataFrame:
     """Segments of the ids of `docs` (doc_id, text), in ascending doc_id order over parts, segments and places.
 
     The end id closes every document.  NULL doc_ids come first; rows that repeat a doc_id are ordered by text; NULL counts as
-    an empty text, which has only the end id.  Other columns are ignored; an empty table has no segments.
+    an empty text, which has only the end id.  Other columns are ignored; an empty table has no segments.  A worker keeps
+    the ids of `remembered` words.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -195,6 +197,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         part, number, before = TaskContext.get().partitionId(), 0, 0
         held, names, lengths, total = [], [], [], 0
+        encoder(tokenizer).remembered = remembered
 
         def close():
             codes = encode(np.frombuffer(b"".join(held), "<u4"))
@@ -220,12 +223,12 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(parts, SEGMENTS)
+    return ordered.mapInArrow(lambda batches: given_back(parts(batches)), SEGMENTS)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, remembered: int = CACHED_WORDS) -> DataFrame:
     """Write the segments to the shared folder; the segments as read from there."""
-    return written(token_segments(docs, tokenizer, end_id), "tokens")
+    return written(token_segments(docs, tokenizer, end_id, remembered), "tokens")
 
 
 def documents_of(segments: DataFrame) -> DataFrame:
