@@ -6,10 +6,8 @@ frames never enter the rolling reference; a long run of flagged frames means
 conditions changed for good, and both references start over from its end.
 
 The verdicts feed back into the reference, so a session is replayed in order.
-Sessions are independent: those of ordinary size are packed many to a task.
-A session of any size is handled too: its frames are range-split into chunks
-replayed in parallel from assumed start states, and chunks whose true start
-state turns out different are replayed again until nothing changes.
+Sessions are independent and packed many to a task; a session is one camera's
+run without a pause of hours, and six numbers a frame are held.
 """
 
 from __future__ import annotations
@@ -23,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.config import DEFAULTS, Settings
-from nightledger.operators.quantiles import grouped_medians
-from nightledger.operators.sessions import SERIES, frame_sessions, session_key, session_size
+from nightledger.operators.sessions import SERIES, frame_sessions
 
 METRICS = list(SERIES)
 HIGHER_IS_BETTER = [better for _, better in SERIES.values()]
@@ -98,20 +95,6 @@ class Replay:
             self._known = None
         return dev, flagged
 
-    def snapshot(self) -> tuple:
-        """Comparable copy; NaN is written as None so equal states compare equal."""
-        def clean(rows):
-            return tuple(tuple(None if v != v else v for v in r) for r in rows)
-
-        return clean([self.seed])[0], clean(self.window), clean(self.run)
-
-    def restore(self, snap: tuple) -> None:
-        def raw(rows):
-            return [tuple(_NAN if v is None else v for v in r) for r in rows]
-
-        self.seed, self.window, self.run = raw([snap[0]])[0], raw(snap[1]), raw(snap[2])
-        self._known = None
-
 
 def _metric_rows(pdf: pd.DataFrame) -> list[tuple]:
     return list(zip(*[pdf[m].astype(float).tolist() for m in METRICS]))
@@ -166,13 +149,14 @@ def _breaks(pdf: pd.DataFrame) -> list[int]:
     return (((name[1:] != name[:-1]) | (start[1:] != start[:-1])).nonzero()[0] + 1).tolist()
 
 
-def screen_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False) -> DataFrame:
+def screen_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False, only_of: DataFrame | None = None) -> DataFrame:
     """Verdicts per judged frame: id, six deviations, seq_anomaly.
 
     Judged are frames with a capture time and a star count whose session has
-    at least three such frames.  Ties in time go by id.
+    at least three such frames.  Ties in time go by id.  With `only_of`, some
+    of the frames, only the sessions they lie in are screened.
     """
-    rows = frame_sessions(frames, cfg, with_type).filter(F.col("star_count").isNotNull() & (F.col("session_counted") >= 3))
+    rows = frame_sessions(frames, cfg, with_type, only_of).filter(F.col("star_count").isNotNull() & (F.col("session_counted") >= 3))
     rows = rows.select(
         "id", "t_ms", "session_key", "session_start", "session_counted",
         *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(m) for m, (c, _) in SERIES.items()],
@@ -210,9 +194,8 @@ def sequence_for(all_frames: DataFrame, wanted: DataFrame, cfg: Settings = DEFAU
     """Sequence group of the wanted frames, screened against every indexed
     frame of their sessions: id, judged, anomaly, the deviations, transparency.
     """
-    keys = wanted.select(session_key(True).alias("_k")).distinct()
-    peers = all_frames.filter(F.col("index_error").isNull()).withColumn("_k", session_key(True)).join(keys, "_k", "left_semi").drop("_k")
-    verdicts = screen_sessions(peers, cfg, with_type=True)
+    indexed = F.col("index_error").isNull()
+    verdicts = screen_sessions(all_frames.filter(indexed), cfg, with_type=True, only_of=wanted.filter(indexed))
     joined = wanted.select("id").join(verdicts, "id", "left")
     values = [F.when(F.abs(F.col(d)) < float("inf"), F.col(d)).alias(d) for d in DEVIATIONS]
     return joined.select(

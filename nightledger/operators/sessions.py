@@ -65,23 +65,32 @@ def session_buckets(timed: DataFrame, gap_ms: int, count_if: Column | None = Non
     )
 
 
-def sessionize(df: DataFrame, keys: Sequence[str | Column], time: Column, gap_hours: float = DEFAULTS.seq_gap_hours, count_if: Column | None = None) -> DataFrame:
+def sessionize(
+    df: DataFrame, keys: Sequence[str | Column], time: Column, gap_hours: float = DEFAULTS.seq_gap_hours, count_if: Column | None = None, only_of: DataFrame | None = None
+) -> DataFrame:
     """Split each key's rows into sessions at gaps longer than `gap_hours`.
 
     Adds session_key, t_ms (time in ms), session_start (ms of the session's
     first row), session_frames and session_counted (rows meeting `count_if`).
     Rows without a time are left out.  The rows are only joined to the small
-    bucket table; no key is ever sorted as a whole.
+    bucket table; no key is ever sorted as a whole.  With `only_of`, some of the
+    rows, just the sessions these lie in are kept: the bucket table is cut to
+    them before any row is joined.
     """
     gap_ms = int(gap_hours * 3_600_000)
     timed = _timed(df, keys, time, gap_ms)
-    return timed.join(session_buckets(timed, gap_ms, count_if), ["session_key", "_bucket"]).drop("_bucket")
+    buckets = session_buckets(timed, gap_ms, count_if)
+    if only_of is not None:
+        touched = _timed(only_of, keys, time, gap_ms).select("session_key", "_bucket").distinct()
+        sessions = buckets.join(touched, ["session_key", "_bucket"]).select("session_key", "session_start").distinct()
+        buckets = buckets.join(sessions, ["session_key", "session_start"])
+    return timed.join(buckets, ["session_key", "_bucket"]).drop("_bucket")
 
 
-def frame_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False) -> DataFrame:
+def frame_sessions(frames: DataFrame, cfg: Settings = DEFAULTS, with_type: bool = False, only_of: DataFrame | None = None) -> DataFrame:
     """Frames with their session; session_counted is the frames with a star count."""
     return sessionize(
-        frames, [session_key(with_type)], capture_time(F.col("date_obs")), cfg.seq_gap_hours, F.col("star_count").isNotNull()
+        frames, [session_key(with_type)], capture_time(F.col("date_obs")), cfg.seq_gap_hours, F.col("star_count").isNotNull(), only_of
     )
 
 

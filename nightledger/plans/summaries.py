@@ -10,6 +10,7 @@ from nightledger.operators import rollups, screening, sessions, targets
 from nightledger.operators.selector import select_frames
 from nightledger.plans import portable
 from nightledger.plans.registry import frames_query, longs, query, r6, rounded, with_frames
+from nightledger.plans.sequence_sql import ROUNDED, verdict_ctes
 
 LIGHT = "imagetyp = 'Light Frame'"
 OK_LIGHT = f"{LIGHT} AND index_error IS NULL"
@@ -377,19 +378,40 @@ def _session_medians(frames):
     return m.select("session_key.object", "session_key.filter", "session_key.instrume", "session_key.exptime", "session_start", *[r6(c, c) for c in sessions.SERIES])
 
 
-@frames_query("screen_sessions")
-def _screen(frames):
+def _recursive(sql: str) -> str:
+    return with_frames(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_SCREENED = f", {_SRC}, {_islands('src', _KEY)}, {verdict_ctes(_KEY)}"
+
+
+@query("screen_sessions", _recursive(f"{_SCREENED} SELECT id, {ROUNDED}, flagged AS seq_anomaly FROM verdicts"))
+def _screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nightledger.sources.catalog import light_frames
 
-    return rounded(screening.screen_sessions(light_frames(frames)), *screening.DEVIATIONS)
+    return rounded(screening.screen_sessions(light_frames(portable.frames(spark, sf_dir))), *screening.DEVIATIONS)
+
+
+_TYPED = "coalesce(imagetyp, ''), " + _KEY
 
 
-@frames_query("sequence_group")
-def _sequence_group(frames):
+@query(
+    "sequence_group",
+    _recursive(
+        f", src AS (SELECT * FROM frames WHERE index_error IS NULL), {_islands('src', _TYPED)}, {verdict_ctes(_TYPED)} "
+        f"SELECT f.id, flagged IS NOT NULL AS judged, flagged AS anomaly, {ROUNDED}, round(1.0 - flux_drop, 6) AS transparency FROM frames f LEFT JOIN verdicts USING (id) WHERE f.filter = 'Ha' AND {OK_LIGHT}"
+    ),
+)
+def _sequence_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = portable.frames(spark, sf_dir)
     wanted = select_frames(frames, filter="Ha").filter(F.col("index_error").isNull())
     return rounded(screening.sequence_for(frames, wanted), *screening.DEVIATIONS, "transparency")
 
 
-@frames_query("select_steady_sessions")
-def _steady(frames):
-    return select_frames(frames, lambda v: ~v.seq_anomaly & (v.transparency >= 0.99)).select("id")
+# A selection runs over all light frames, also those that could not be indexed.
+_SELECTED = _SCREENED.replace(_SRC, f"src AS (SELECT * FROM frames WHERE {LIGHT})")
+
+
+@query("select_steady_sessions", _recursive(f"{_SELECTED} SELECT id FROM verdicts WHERE NOT flagged AND 1.0 - flux_drop >= 0.99"))
+def _steady(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_frames(portable.frames(spark, sf_dir), lambda v: ~v.seq_anomaly & (v.transparency >= 0.99)).select("id")

@@ -163,3 +163,16 @@ def test_selection_by_sequence(make_frames):
     assert ids(filter_view(df, lambda v: v.seq_ok & (v.transparency >= 1))) == [1, 2, 3, 4, 7]
     assert ids(filter_view(df, {"op": "and", "args": [{"op": "not", "args": [{"var": "seq_anomaly"}]}, {"op": ">", "args": [{"var": "star_drop"}, 0.04]}]})) == [7]
     assert ids(filter_view(df, lambda v: v.star_drop >= v.max(v.star_drop))) == [6]
+
+
+def test_only_wanted_sessions_are_screened(make_frames):
+    """Peers are whole sessions of the wanted frames: a neighbour over several hours too, but no other night, key or type."""
+    night = night_of([500] * 6 + [200] * 2, step=170)                                       # a session of many time buckets
+    rows = night + night_of([500] * 5, start=START + dt.timedelta(days=300), first_id=20) + night_of([500] * 5, first_id=40, filter="Ha") + night_of([500] * 5, first_id=60, imagetyp="Flat Frame")
+    frames = make_frames(*rows)
+    wanted = frames.filter("id in (1, 8)")
+    got = {r["id"]: r for r in screening.screen_sessions(frames, with_type=True, only_of=wanted).collect()}
+    every = {r["id"]: r for r in screening.screen_sessions(frames, with_type=True).collect()}
+    assert sorted(got) == list(range(1, 9)) and all(got[i] == every[i] for i in got) and len(every) == 23
+    of = {r["id"]: r["anomaly"] for r in screening.sequence_for(frames, wanted).collect()}
+    assert of == {1: False, 8: True}
