@@ -1,9 +1,14 @@
 """Language identification: one interpolated Kneser-Ney character model per language.
 
-Spark counts the character ORDER-grams of all texts that may be learned from.  The lower orders of Kneser-Ney need only the
-different ORDER-grams, so nothing else is counted.  The models lie in arrays sorted by hash, with a directory of where
-each hash starts; a text gets the language with the lowest cross-entropy per character.  Rejection is calibrated: a text
-is rejected if its cross-entropy exceeds what all but a small part of the learned texts of that language have.
+Spark counts the character ORDER-grams of all texts that may be learned from, and keeps them all.  The lower orders of
+Kneser-Ney need only the different ORDER-grams, so nothing else is counted.  The models lie in arrays sorted by hash, with
+a directory of where each hash starts; a text gets the language with the lowest cross-entropy per character.
+
+All that a gram's probability needs, of any order but the lowest, has the gram's last character but one in common.  So the
+grams are dealt into slices by that character, each of bounded size, and texts are scored slice by slice, adding up.
+
+Rejection is calibrated: a text is rejected if its cross-entropy exceeds what all but a small part of the texts of its
+language have that were set apart and not learned from.
 """
 
 from __future__ import annotations
@@ -19,11 +24,12 @@ from .common import written
 from .quality_classifier import fold
 
 ORDER = 4
-#: A language keeps one gram for each hash slot, the most frequent: at most 2 ** SLOT_BITS grams a language, so the model is bounded.
-SLOT_BITS = 18
+#: Different grams times languages in a slice, unless a single character has more: 64 MB of probabilities.
+SLICE_CELLS = 1 << 24
 DISCOUNT = 0.75
-#: Part of the learned texts of a language that its own threshold would reject.
-REJECTED_SHARE = 0.001
+#: One of so many texts that may be learned from is set apart for the thresholds, and the part of a language's texts that
+#: may be rejected: fewer than 1 / REJECTED_SHARE - 1 texts set apart cannot tell where that part begins, and reject nothing.
+SET_APART, REJECTED_SHARE = 20, 0.005
 #: A text's evidence counts for this many characters at most when its score is worked out.
 EVIDENCE = 40
 UNDETERMINED = "und"
@@ -74,7 +80,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): ORDER-grams of the rows of docs (text, lang), summed over all of them, one a language and slot."""
+    """(lang, gram, n): ORDER-grams of the rows of docs (text, lang), summed over all of them."""
 
     def run(batches):
         for batch in batches:
@@ -87,10 +93,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     rows = docs.where("text is not null and lang is not null").select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
-    summed = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    slot = F.shiftrightunsigned(F.xxhash64("gram"), 64 - SLOT_BITS)
-    best = summed.groupBy("lang", slot.alias("slot")).agg(F.max(F.struct("n", "gram")).alias("best"))
-    return best.select("lang", "best.gram", "best.n")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _portions(texts: list[str]):
@@ -161,18 +164,23 @@ class Models:
         return out
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models from each language's grams and their counts."""
-    langs = sorted(counts)
-    everything, weights, vocabulary = [{} for _ in range(ORDER)], [{} for _ in range(ORDER - 1)], 1
-    tables = {}
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], characters: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> Models:
+    """Models from each language's grams and their counts: all of them, or a slice.
+
+    `characters` has each language's characters and how many different ones stand before them, which a slice cannot tell.
+    """
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    langs = sorted(characters or counts)
+    tables, vocabulary = {}, 1
     for lang in langs:
-        keys, n = counts[lang]
+        keys, n = counts.get(lang, nothing)
         orders = [(keys, n.astype(float))]
         for order in range(ORDER - 1, 0, -1):  # how many different characters stand before
             keys, n = np.unique(orders[-1][0] & np.uint64((1 << 16 * order) - 1), return_counts=True)
             orders.append((keys, n.astype(float)))
-        vocabulary = max(vocabulary, len(keys))
+        if characters:
+            orders[-1] = characters[lang][0], characters[lang][1].astype(float)
+        vocabulary = max(vocabulary, len(orders[-1][0]))
         tables[lang] = orders
     unseen = 1 / (2 * vocabulary)
     union = [np.unique(np.concatenate([tables[x][d][0] for x in langs])) for d in range(ORDER)]
@@ -197,53 +205,122 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     return Models(langs, [HashArray(u, np.log2(p).astype(np.float32)) for u, p in zip(union, probability)], [HashArray(h, np.log2(b).astype(np.float32)) for h, b in zip(heads, backoff)], float(np.log2(unseen)))
 
 
-def learn(docs: DataFrame) -> Models | None:
-    """Models of the languages in docs (text, lang); None if there is nothing to learn from."""
-    table = counted(docs).toPandas()
-    table = table[table["gram"].notna()]
-    if not len(table):
-        return None
-    return build({lang: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy()) for lang, g in table.groupby("lang")})
+def _columns(table, key: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    return {lang: (g[key].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(np.int64)) for lang, g in table.groupby("lang")}
 
 
-def scored(docs: DataFrame, models: Models | None) -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy (bits a character) for every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+@dataclass
+class Learned:
+    """The grams of all languages in the shared folder, the slice of every last character but one, and the characters."""
+
+    grams: DataFrame
+    slice_of: np.ndarray
+    characters: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    @property
+    def slices(self) -> int:
+        return int(self.slice_of.max()) + 1
+
+    def models(self, number: int) -> Models:
+        """Models of one slice, whose size SLICE_CELLS bounds."""
+        rows = self.grams
+        if self.slices > 1:
+            mine = [(int(c),) for c in np.flatnonzero(self.slice_of == number)]
+            rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(mine, "_at int")), _before_last("gram") == F.col("_at"), "left_semi")
+        return build(_columns(rows.toPandas(), "gram"), self.characters)
+
+
+def _before_last(gram: str):
+    return F.shiftrightunsigned(gram, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def learn(docs: DataFrame) -> Learned | None:
+    """What there is to learn from docs (text, lang); None for nothing."""
+    table = written(counted(docs).where("gram is not null"), "grams")
+    last = F.col("gram").bitwiseAND(F.lit(0xFFFF))
+    characters = table.select("lang", _before_last("gram").alias("before"), last.alias("last")).distinct().groupBy("lang", "last").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    if not len(characters):
+        return None
+    characters = _columns(characters.sort_values(["lang", "last"]), "last")
+    # One row for each of 65 536 characters at most.
+    sizes = table.select("gram").distinct().groupBy(_before_last("gram").alias("at")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("at")
+    slice_of, number, filled = np.zeros(1 << 16, np.int32), 0, 0
+    for at, n in zip(sizes["at"], sizes["n"] * len(characters)):
+        if filled and filled + n > SLICE_CELLS:
+            number, filled = number + 1, 0
+        slice_of[at], filled = number, filled + n
+    return Learned(table, slice_of, characters)
+
+
+def _added(rows: DataFrame, learned: Learned, number: int) -> DataFrame:
+    """rows (doc_id, text, n, bits) with what the grams of one slice add: their number, and bits in every language.  The last slice drops the texts."""
+    last = number == learned.slices - 1
+    shared = rows.sparkSession.sparkContext.broadcast((learned.models(number), learned.slice_of if learned.slices > 1 else None))
 
     def run(batches):
-        models = shared.value
+        models, slice_of = shared.value
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            langs, score, entropy = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
+            added, kinds = np.zeros((batch.num_rows, len(models.langs))), np.zeros(batch.num_rows, np.int64)
             at = 0
-            for some in _portions(texts) if models else ():
+            for some in _portions(texts):
                 found, counts = grams(some)
-                stops = np.cumsum(counts)
+                owner = np.repeat(np.arange(len(some)), counts)
+                if slice_of is not None:
+                    mine = slice_of[(found >> np.uint64(16)) & np.uint64(0xFFFF)] == number
+                    found, owner = found[mine], owner[mine]
                 logs = models.log_probabilities(found)
-                for i, (n, stop) in enumerate(zip(counts.tolist(), stops.tolist())):
-                    if not n:
-                        continue
-                    bits = -logs[stop - n : stop].sum(0, dtype=np.float64) / n
-                    best = int(np.argmin(bits))
-                    langs[at + i], entropy[at + i] = models.langs[best], bits[best]
-                    score[at + i] = 1 / np.exp2(-np.minimum(60, (bits - bits[best]) * min(n, EVIDENCE))).sum()
+                stops = np.searchsorted(owner, np.arange(len(some) + 1))
+                for i, (start, stop) in enumerate(zip(stops.tolist(), stops[1:].tolist())):
+                    if stop > start:
+                        added[at + i] = -logs[start:stop].sum(0, dtype=np.float64)
+                        kinds[at + i] = stop - start
                 at += len(some)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(entropy)], ["doc_id", "lang_pred", "score", "cross_entropy"])
+            before = np.array(batch["bits"].to_pylist(), float).reshape(batch.num_rows, -1)
+            bits = (added + before if before.shape[1] else added).tolist()
+            n = kinds + np.asarray(batch["n"])
+            own = [] if last else [batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *own, pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.float64()))], ["doc_id", *["text"][: len(own)], "n", "bits"])
+
+    return rows.mapInArrow(run, "doc_id bigint, " + ("" if last else "text string, ") + "n bigint, bits array<double>")
+
+
+def scored(docs: DataFrame, learned: Learned | None) -> DataFrame:
+    """doc_id, lang_pred, score, cross_entropy (bits a character) for every row of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n"), F.array().cast("array<double>").alias("bits"))
+    for number in range(learned.slices if learned else 0):
+        if number:
+            rows = written(rows, "slices")  # one slice at a time in a worker's memory
+        rows = _added(rows, learned, number)
+    langs = sorted(learned.characters) if learned else []
+
+    def run(batches):
+        for batch in batches:
+            names, score, entropy = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
+            for i, (n, bits) in enumerate(zip(batch["n"].to_pylist(), batch["bits"].to_pylist())):
+                if n:
+                    each = np.array(bits) / n
+                    best = int(np.argmin(each))
+                    names[i], entropy[i] = langs[best], each[best]
+                    score[i] = 1 / np.exp2(-np.minimum(60, (each - each[best]) * min(n, EVIDENCE))).sum()
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(entropy)], ["doc_id", "lang_pred", "score", "cross_entropy"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, cross_entropy double")
+    return rows.select("doc_id", "n", "bits").mapInArrow(run, "doc_id bigint, lang_pred string, score double, cross_entropy double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected for every row of docs (doc_id, text, lang).
 
-    Learns from rows with a language whose doc_id is not in the held-out fold.  A text without letters, NULL or empty, is
+    Learns from rows with a language whose doc_id is not in the held-out fold, nor in the part of the others that is set
+    apart for the thresholds; a language with too few texts set apart rejects nothing.  A text without letters, NULL or empty, is
     `und` with score 0 and not rejected, and so is every text if there is nothing to learn from.  Repeated rows are
     judged alike; equal cross-entropies go to the first language in order.  Other columns are ignored.
     """
     held_out = fold(F.col("doc_id"), 3) == 1
-    models = learn(docs.where(~held_out))
-    rows = written(scored(docs, models).withColumn("held_out", held_out), "languages")
-    limits = rows.where(~F.col("held_out") & ~F.isnan("cross_entropy")).groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 1 - REJECTED_SHARE, 10000).alias("_limit"))
+    apart = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SET_APART)) == 0, F.lit(False))
+    rows = written(scored(docs, learn(docs.where(~held_out & ~apart))).withColumn("held_out", held_out), "languages")
+    limits = rows.where(~F.col("held_out") & apart & ~F.isnan("cross_entropy")).groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 1 - REJECTED_SHARE, 10000).alias("_limit"), F.count(F.lit(1)).alias("_n"))
+    limits = limits.where((F.col("_n") + 1) * REJECTED_SHARE >= 1).drop("_n")
     rejected = F.coalesce(F.col("cross_entropy") > F.col("_limit"), F.lit(False)) & ~F.isnan("cross_entropy")
     # One row a language: bounded by the number of languages.
     return rows.join(F.broadcast(limits), "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", F.nanvl("cross_entropy", F.lit(None)).alias("cross_entropy"), rejected.alias("rejected"))

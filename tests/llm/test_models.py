@@ -100,20 +100,77 @@ def test_kneser_ney_sums_to_one():
         assert 0.75 < p.sum() <= 1.0001, (context, p.sum())
 
 
-def test_grams_match_a_plain_walk():
-    def plain(text):
-        out, last = "   ", " "
-        for c in text.lower():
-            if c.isalpha() or last != " ":
-                out += c if c.isalpha() else " "
-                last = out[-1]
-        return [out[i - 3 : i + 1] for i in range(3, len(out))]
+def lower_orders(counts):
+    levels = [Counter(counts)]
+    for _ in range(3):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    return levels
+
+
+def plain_kneser_ney(counts, every):
+    """log2 p(gram) in one language from the definition, as a function; counts: gram text -> n; every: those of all languages."""
+    levels, characters = lower_orders(counts), [set(lower_orders(c)[3]) for c in every]
+    # The largest alphabet leaves this to a character; what no language has gets it whole.
+    unseen, known = 1 / (2 * max(map(len, characters))), set().union(*characters)
+
+    def p(gram):
+        if not gram or gram not in known and len(gram) == 1:
+            return unseen
+        table = levels[4 - len(gram)]
+        total = sum(n for g, n in table.items() if g[:-1] == gram[:-1])
+        if not total:
+            return p(gram[1:])
+        kinds = sum(g[:-1] == gram[:-1] for g in table)
+        return max(table[gram] - 0.75, 0) / total + 0.75 * kinds / total * p(gram[1:])
+
+    return lambda gram: np.log2(p(gram))
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 20])
+def test_language_probabilities_from_the_definition(make_docs, monkeypatch, cells):
+    """In one slice and in many: every text's cross-entropy is that of a plain Kneser-Ney model of all learned texts."""
+    monkeypatch.setattr(language_id, "SLICE_CELLS", cells)
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("abra cadabra, a barb", "x"), ("the cab then the bath", "y"), ("bra braid", "x"), ("hat that bat", "y"), ("abc", "x"), (None, "x"), ("zebra hath", None)] * 3)]
+    docs = make_docs(rows)
+    apart = {r[0] for r in docs.where(f"pmod(xxhash64(doc_id), {language_id.SET_APART}) = 0").select("doc_id").collect()}
+    grams = lambda t: [g for g in plain_grams(t)]
+    counts = {x: Counter(g for i, t, lang in rows if lang == x and t and crc(i) % 3 != 1 and i not in apart for g in grams(t)) for x in "xy"}
+    models = {x: plain_kneser_ney(counts[x], counts.values()) for x in "xy"}
+    learned = language_id.learn(docs.where("crc32(cast(doc_id as string)) % 3 <> 1 and pmod(xxhash64(doc_id), 20) <> 0"))
+    assert (learned.slices > 3) == (cells == 20)
+    for r in language_id.identify(docs).collect():
+        text = rows[r["doc_id"]][1]
+        if text:
+            bits = {x: -sum(models[x](g) for g in grams(text)) / len(grams(text)) for x in "xy"}
+            assert r["lang_pred"] == min(bits, key=bits.get) and r["cross_entropy"] == pytest.approx(min(bits.values()), rel=1e-5)
+        else:
+            assert r["lang_pred"] == "und"
+
+
+def test_every_gram_is_kept(make_docs):
+    """More than 2^19 different grams of one language."""
+    r = np.random.default_rng(1)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9FA5, 60_000))) for _ in range(9)]
+    docs = make_docs([(i, t, "zh") for i, t in enumerate(texts)])
+    want = len(np.unique(language_id.grams(texts)[0]))
+    assert want > 1 << 19 and language_id.counted(docs).count() == want
+
+
+def plain_grams(text):
+    out, last = "   ", " "
+    for c in text.lower():
+        if c.isalpha() or last != " ":
+            out += c if c.isalpha() else " "
+            last = out[-1]
+    return [out[i - 3 : i + 1] for i in range(3, len(out))]
+
 
+def test_grams_match_a_plain_walk():
     texts = ["Hello, World! 12 a", "", "...", "x", "  lead", "tail  ", "éà ßΣ", " a b"]
     found, counts = language_id.grams(texts)
     names = ["".join(chr(int(k) >> 16 * b & 0xFFFF) for b in (3, 2, 1, 0)) for k in found]
     for text, n, stop in zip(texts, counts, np.cumsum(counts)):
-        assert names[stop - n : stop] == plain(text)
+        assert names[stop - n : stop] == plain_grams(text)
 
 
 ITEMS = [(0, "Which river runs through the old town of Marvale before it meets the sea? The silver Ondine river."), (1, "Name the metal that turns green in rain and air on old roofs. It is copper."), (2, "tiny one"), (3, None), (4, "")]
