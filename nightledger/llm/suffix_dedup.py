@@ -276,7 +276,7 @@ def _untouched(text: Column) -> list[Column]:
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (whether bytes were removed) for every row of docs (doc_id, text).
 
     Removes each byte that a LENGTH-byte string covers that also starts anywhere else in docs, the same row included.
     Texts are UTF-8 bytes; NULL is empty, and texts under LENGTH bytes stay whole.  Repeated rows repeat each other's
@@ -312,4 +312,5 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     many = _compared_by_shuffle(snippets.where(F.col("kinds") > IN_ONE_TASK))
     found = few.unionByName(many).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     open_ = visited.where("kept_sha256 is null").join(found, "row", "left").select("doc_id", "data", "spans", "found").mapInArrow(_finish, _RESULT)
-    return alone.unionByName(visited.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")).unionByName(open_)
+    done = visited.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return alone.unionByName(done).unionByName(open_).withColumn("repeated", F.col("n_removed") > 0)
