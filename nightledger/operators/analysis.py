@@ -11,13 +11,14 @@ from nightledger.operators import background, stars
 
 
 def frame_metrics(
-    detections: DataFrame, bg_cells: DataFrame, bg_blocks: DataFrame, frame_info: DataFrame, cfg: Settings = DEFAULTS,
+    detections: DataFrame, bg_cells: DataFrame, bg_blocks: DataFrame, frame_info: DataFrame, cfg: Settings = DEFAULTS, block_info: DataFrame | None = None,
 ) -> DataFrame:
     """One row per frame of `frame_info` with every quality column.
 
     `frame_info` may carry exptime, focal_length, xbinning, pixsz and
     back_median for the derived columns.  Frames of a colour mosaic were
-    measured on 2 x 2 bins; their sizes are given in sensor pixels.
+    measured on 2 x 2 bins; their sizes are given in sensor pixels.  Where the
+    background maps were made from frames of other sizes, `block_info` has them.
     """
     have = set(frame_info.columns)
 
@@ -27,12 +28,10 @@ def frame_metrics(
     classified = stars.classify_sources(detections, frame_info, cfg)
     m = frame_info
     for part in (
-        stars.star_counts(detections),
-        stars.shape_metrics(classified, cfg),
-        stars.star_flux(detections, cfg),
+        stars.star_metrics(classified, cfg),
         stars.trail_scores(detections, cfg),
         background.grid_metrics(detections, bg_cells, frame_info, cfg).select("frame_id", "empty_cells", "bg_spread"),
-        background.background_dips(bg_blocks, frame_info, cfg).select("frame_id", "bg_dip"),
+        background.background_dips(bg_blocks, frame_info if block_info is None else block_info, cfg).select("frame_id", "bg_dip"),
     ):
         m = m.join(part, "frame_id", "left")
     m = m.withColumn("star_count", F.coalesce("star_count", F.lit(0).cast("long")))

@@ -237,6 +237,11 @@ def _header_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", r6(scoring.pixel_scale(F.col("pixsz"), F.col("focal_length"), F.col("xbinning")), "pixel_scale"))
 
 
+@frames_query("fwhm_on_sky", " SELECT id, round(CASE WHEN pixel_scale <> 0 THEN median_fwhm * pixel_scale END, 6) AS fwhm_arcsec FROM frames")
+def _fwhm_on_sky(frames):
+    return frames.select("id", r6(scoring.fwhm_arcsec(F.col("median_fwhm"), F.col("pixel_scale")), "fwhm_arcsec"))
+
+
 @query(
     "header_plate_solution",
     with_ctes(

@@ -175,7 +175,8 @@ def _dips(spark, sf_dir):
 @query("frame_metrics")
 def _metrics(spark, sf_dir):
     m = analysis.frame_metrics(
-        portable.detections(spark, sf_dir), portable.bg_cells(spark, sf_dir), portable.bg_blocks(spark, sf_dir), portable.frame_info(spark, sf_dir)
+        portable.detections(spark, sf_dir), portable.bg_cells(spark, sf_dir), portable.bg_blocks(spark, sf_dir), portable.frame_info(spark, sf_dir),
+        block_info=portable.block_info(spark, sf_dir),
     )
     return rounded(m, *[f.name for f in m.schema if f.dataType.simpleString() == "double"])
 
