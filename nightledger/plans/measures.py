@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.operators import analysis, background, compare, stars
 from nightledger.plans import portable
-from nightledger.plans.registry import longs, query, r6, rounded, with_ctes
+from nightledger.plans.registry import ORACLES, longs, query, r6, rounded, with_ctes
 
 _D = ("d", portable.DETECTIONS_SQL)
 _I = ("i", portable.FRAME_INFO_SQL)
@@ -181,6 +181,38 @@ def _metrics(spark, sf_dir):
     return rounded(m, *[f.name for f in m.schema if f.dataType.simpleString() == "double"])
 
 
+def _unrounded(name: str) -> str:
+    """An oracle of one measure, to be scaled before it is rounded."""
+    return f"({ORACLES[name].replace(', 6)', ', 15)')})"
+
+
+def _widened(name: str, sigmas: float) -> str:
+    """A size on 2 x 2 bins in sensor pixels: the box variance comes off in quadrature."""
+    return f"CASE WHEN mosaic THEN {sigmas} * sqrt(greatest(pow({name} * 2 / {sigmas}, 2) - 4 / 12.0, 0.25 * pow({name} * 2 / {sigmas}, 2))) ELSE {name} END"
+
+
+@query(
+    "frame_star_quality",
+    with_ctes(
+        f", j AS (SELECT *, coalesce(regexp_matches(upper(trim(bayer)), '^[RGB]{{4}}$'), false) AS mosaic, 206.265 * pixsz * xbinning / focal_length AS scale FROM i LEFT JOIN {_unrounded('star_counts')} USING (frame_id) "
+        f"LEFT JOIN {_unrounded('shape_metrics')} USING (frame_id) LEFT JOIN {_unrounded('star_flux')} USING (frame_id) LEFT JOIN {_unrounded('trail_scores')} USING (frame_id) "
+        f"LEFT JOIN {_unrounded('empty_patches').replace(_SPARSE, 'SELECT * FROM d')} USING (frame_id) LEFT JOIN {_unrounded('background_spread')} USING (frame_id)), "
+        f"p AS (SELECT *, {_widened('median_fwhm', 2.3548)} AS fwhm, {_widened('median_hfr', 1.1774)} AS hfr, {_widened('psf_fwhm', 2.3548)} AS psf FROM j) "
+        "SELECT frame_id, coalesce(star_count, 0) AS star_count, round(hfr, 6) AS median_hfr, round(fwhm, 6) AS median_fwhm, round(nullif(fwhm, 0) * nullif(scale, 0), 6) AS fwhm_arcsec, round(eccentricity, 6) AS eccentricity, "
+        "round(CASE WHEN exptime < 1 THEN 0 ELSE trail_score END, 6) AS trail_score, round(back_median, 6) AS background_median, round(scale, 6) AS pixel_scale, round(empty_cells, 6) AS empty_cells, "
+        "round(bg_spread, 6) AS bg_spread, round(psf, 6) AS psf_fwhm, round(psf_beta, 6) AS psf_beta, round(CASE WHEN mosaic THEN star_flux * 4 ELSE star_flux END, 6) AS star_flux, streaks FROM p",
+        _I,
+    ),
+)
+def _star_quality(spark, sf_dir):
+    """The assembled columns that SQL can express: all but the dips and the score, which `quality_scores` checks."""
+    m = analysis.frame_metrics(
+        portable.detections(spark, sf_dir), portable.bg_cells(spark, sf_dir), portable.bg_blocks(spark, sf_dir), portable.frame_info(spark, sf_dir),
+        block_info=portable.block_info(spark, sf_dir),
+    ).drop("bg_dip", "quality_score")
+    return rounded(m, *[f.name for f in m.schema if f.dataType.simpleString() == "double"])
+
+
 @query("diagnostics_documents")
 def _documents(spark, sf_dir):
     info = portable.frame_info(spark, sf_dir)
