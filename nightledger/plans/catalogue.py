@@ -277,7 +277,7 @@ def _from_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HEAD_CARDS = [
     "'SIMPLE  =                    T'", "concat('OBJECT  = ''', CAST(user_id AS STRING), '''')", "concat('GAIN    =                ', CAST(event_id % 9 AS STRING), '.5D2')",
-    "'SET-TEMP= ''-10'''", "concat('XBINNING=                  ', CASE WHEN event_id % 2 = 0 THEN '2' ELSE '2.5' END)", "concat('HIERARCH ESO DET ID = ', CAST(event_id % 7 AS STRING), ' / chip')", "'END'",
+    "'SET-TEMP= ''-10'''", "concat('XBINNING=                  ', CASE WHEN event_id % 2 = 0 THEN '2' WHEN event_id % 3 = 0 THEN '''12.5''' ELSE '12.5' END)", "concat('HIERARCH ESO DET ID = ', CAST(event_id % 7 AS STRING), ' / chip')", "'END'",
 ]
 
 
@@ -292,7 +292,8 @@ def _head_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "header_cards_parsed",
     "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS object, true AS object_is_text, true AS temp_is_text, ((event_id % 9) + 0.5) * 100 AS gain, "
-    "CASE WHEN event_id % 2 = 0 THEN 2.0 END AS xbinning, CAST(event_id % 7 AS VARCHAR) AS chip FROM events",
+    # A number loses its fraction; a quoted text must be an integer.
+    "CASE WHEN event_id % 2 = 0 THEN 2.0 WHEN event_id % 3 <> 0 THEN 12.0 END AS xbinning, CAST(event_id % 7 AS VARCHAR) AS chip FROM events",
 )
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = headers.frames_from_headers(headers.parse_headers(_head_bytes(spark, sf_dir)))
