@@ -54,9 +54,8 @@ class Settings:
 
     # Physical knobs: they change how work is spread, never a result.
     exact_group_rows: int = 1_000_000   # larger groups get the multi-stage median
-    hot_salt: int = 16                  # slices of a possibly hot join key
-    sky_band_deg: float = 4.0           # edge of a sky grid cell, about a field of view
-    broadcast_rows: int = 100_000       # a counted side up to this size is broadcast
+    # edges of the sky grid cells, one grid for each size of field
+    sky_levels_deg: tuple[float, ...] = (0.5, 2.0, 8.0, 32.0, 180.0)
 
 
 DEFAULTS = Settings()

@@ -23,57 +23,55 @@ def match_targets(frames: DataFrame, targets: DataFrame, cfg: Settings = DEFAULT
     rotated field of view covers the target, or whose centre lies within the
     target's radius (a radius of 0 counts as none).
 
-    Both tests run as equi-joins on sky cells.  A frame reaches the cells its
-    field can touch and a target sits in one; for the radius it is the other
-    way round.  A pair meets at most once per test, and the radius test leaves
-    out pairs the first already has.  The target side is counted: up to a
-    bound it is broadcast and frames are not shuffled at all, beyond it frames
-    are salted, so that a cell holding much of the catalogue spreads over many
-    tasks.
+    One equi-join on sky cells of several sizes.  A frame's level is that of
+    its field, a target's that of its radius, and a pair meets once, at the
+    larger of both levels: there the target lists its own and the neighbouring
+    cells, which hold the centre of any frame that can match, and the frame
+    its own.  A frame has one row for each level from its own up, so wide and
+    narrow fields alike meet few targets in vain.
+
+    Frames are read once and nothing is counted beforehand.  Spark broadcasts
+    the targets below its threshold; a target has at most some 9 narrow rows a
+    level.  Otherwise the adaptive join splits a cell that holds much of the
+    catalogue.  Positions that are unknown never match.
     """
     lights = light_frames(frames)
     own = lights.columns
+    levels = list(enumerate(cfg.sky_levels_deg))
+    # A hair more than the exact reach, so rounding never loses a border case.
+    slack = 1e-6
+
+    def level_of(reach: Column) -> Column:
+        return F.coalesce(*[F.when(reach <= size, F.lit(i)) for i, size in levels[:-1]], F.when(reach.isNull(), F.lit(0)), F.lit(len(levels) - 1))
+
     pos = lights.withColumns({
         "_ra": F.coalesce("wcs_ra", "ra"), "_dec": F.coalesce("wcs_dec", "dec"),
         "_w": effective_fov("fov_w", "naxis1", True), "_h": effective_fov("fov_h", "naxis2", True),
     }).filter(F.col("_ra").isNotNull() & F.col("_dec").isNotNull())
-    band = cfg.sky_band_deg
+    pos = pos.withColumn("_level", level_of(F.sqrt(F.col("_w") * F.col("_w") + F.col("_h") * F.col("_h")) / 2 + slack))
+    # Even meetings are at the frame's level, odd ones at a target's larger one.
+    at = [F.when(F.col("_level") <= i, F.struct((2 * F.lit(i) + (F.col("_level") < i).cast("int")).alias("_meeting"), sky_cell(F.col("_ra"), F.col("_dec"), size).alias("_cell"))) for i, size in levels]
+    frame_side = pos.select(*own, "_ra", "_dec", "_w", "_h", F.inline(F.array_compact(F.array(*at))))
+
     t = targets.select(
         F.col("id").alias("target_id"), F.col("ra").alias("_t_ra"), F.col("dec").alias("_t_dec"),
         F.when(F.col("radius_deg") != 0, F.col("radius_deg")).alias("_t_radius"),
-    )
-    # A hair more than the exact reach, so rounding never loses a border case.
-    slack = 1e-6
-    covered = contains(F.col("_ra"), F.col("_dec"), F.col("_w"), F.col("_h"), F.col("wcs_rotation"), F.col("_t_ra"), F.col("_t_dec"))
-
-    reach = F.sqrt(F.col("_w") * F.col("_w") + F.col("_h") * F.col("_h")) / 2 + slack
-    shrink = F.abs(F.cos(F.radians("_dec")))
-    ra_reach = F.when(shrink > 1e-9, reach / shrink).otherwise(F.lit(180.0))
-    fov_side = pos.withColumn("_cell", F.explode(sky_cells_around(F.col("_ra"), F.col("_dec"), reach, ra_reach, band)))
-    point_side = t.withColumn("_cell", sky_cell(F.col("_t_ra"), F.col("_t_dec"), band))
-    fov_pairs = _join_cells(fov_side, point_side, cfg).filter(covered)
-
+    ).filter(F.col("_t_ra").isNotNull() & F.col("_t_dec").isNotNull())
     r = F.col("_t_radius") + slack
-    cap = F.sin(F.radians(r)) / F.cos(F.radians("_t_dec"))
-    near_pole = (F.abs(F.col("_t_dec")) + r >= 90.0) | (r >= 90.0)
-    cap_reach = F.when(near_pole, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), cap))) + slack)
-    disc_side = t.filter(F.col("_t_radius").isNotNull()).withColumn(
-        "_cell", F.explode(sky_cells_around(F.col("_t_ra"), F.col("_t_dec"), r, cap_reach, band))
-    )
-    inside = _spherical_sep(F.col("_ra"), F.col("_dec"), F.col("_t_ra"), F.col("_t_dec")) <= F.col("_t_radius")
-    disc_pairs = _join_cells(pos.withColumn("_cell", sky_cell(F.col("_ra"), F.col("_dec"), band)), disc_side, cfg).filter(inside & ~covered)
+    t = t.withColumn("_level", level_of(r))
 
-    cols = ["target_id", *own]
-    return fov_pairs.select(*cols).unionByName(disc_pairs.select(*cols))
+    def around(reach: Column, i: int, size: float, wanted: Column) -> Column:
+        edge = F.abs(F.col("_t_dec")) + reach
+        ra_reach = F.when(edge >= 89.9, F.lit(180.0)).otherwise(reach / F.cos(F.radians(edge)))
+        return F.when(wanted, F.transform(sky_cells_around(F.col("_t_ra"), F.col("_t_dec"), reach, ra_reach, size), lambda c: F.struct(F.lit(i).alias("_meeting"), c.alias("_cell"))))
 
+    cells = [around(F.lit(size + slack), 2 * i, size, F.col("_level") <= i) for i, size in levels]
+    cells += [around(r, 2 * i + 1, size, (F.col("_level") == i) & r.isNotNull()) for i, size in levels[1:]]
+    target_side = t.select("target_id", "_t_ra", "_t_dec", "_t_radius", F.inline(F.flatten(F.array_compact(F.array(*cells)))))
 
-def _join_cells(frame_side: DataFrame, target_side: DataFrame, cfg: Settings) -> DataFrame:
-    """Equi-join on the sky cell; the target side is sized first."""
-    if target_side.limit(cfg.broadcast_rows + 1).count() <= cfg.broadcast_rows:
-        return frame_side.join(F.broadcast(target_side), "_cell")
-    salted = frame_side.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(cfg.hot_salt)).cast("int"))
-    copies = target_side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.hot_salt - 1))))
-    return salted.join(copies, ["_cell", "_salt"])
+    covered = contains(F.col("_ra"), F.col("_dec"), F.col("_w"), F.col("_h"), F.col("wcs_rotation"), F.col("_t_ra"), F.col("_t_dec"))
+    inside = _spherical_sep(F.col("_ra"), F.col("_dec"), F.col("_t_ra"), F.col("_t_dec")) <= F.col("_t_radius")
+    return frame_side.join(target_side, ["_meeting", "_cell"]).filter(covered | inside).select("target_id", *own)
 
 
 def user_targets_rollup(frames: DataFrame, targets: DataFrame, rounded: bool = True, cfg: Settings = DEFAULTS) -> DataFrame:

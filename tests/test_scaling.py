@@ -71,21 +71,21 @@ def test_equal_bits_at_any_bound(spark):
     assert medians[0] == medians[1]
 
 
-@pytest.mark.parametrize("band, broadcast", [(0.5, 0), (4.0, 0), (4.0, 10**6), (45.0, 100)])
-def test_target_cells_lose_nothing(spark, make_frames, band, broadcast):
+@pytest.mark.parametrize("levels", [(0.5, 2.0, 8.0, 32.0, 180.0), (0.3, 180.0), (4.0, 45.0, 180.0), (180.0,)])
+def test_target_cells_lose_nothing(spark, make_frames, levels):
     rng = random.Random(7)
     rows, sky = [], []
     for i in range(300):
         dec = rng.choice([rng.uniform(-90, 90), rng.uniform(88, 90), -89.9, 0.0])
         ra = rng.choice([rng.uniform(0, 360), 359.9, 0.05, -0.1, 360.2])
-        w, h, rot = rng.choice([0.5, 3.0, 12.0]), rng.choice([0.4, 2.0]), rng.choice([None, rng.uniform(0, 360)])
+        w, h, rot = rng.choice([0.5, 3.0, 12.0, 70.0]), rng.choice([0.4, 2.0, None]), rng.choice([None, rng.uniform(0, 360)])
         rows.append({"id": i, "ra": ra, "dec": dec, "fov_w": w, "fov_h": h, "wcs_rotation": rot})
     for j in range(60):
         base = rng.choice(rows)
-        sky.append((j, f"t{j}", (base["ra"] + rng.uniform(-2, 2)) % 360, max(-90.0, min(90.0, base["dec"] + rng.uniform(-2, 2))), rng.choice([None, 0.0, 1.5, 20.0, 95.0]), None))
+        sky.append((j, f"t{j}", (base["ra"] + rng.uniform(-2, 2)) % 360, max(-90.0, min(90.0, base["dec"] + rng.uniform(-2, 2))), rng.choice([None, 0.0, 0.3, 1.5, 20.0, 95.0]), None))
     frames = make_frames(*rows)
     t = spark.createDataFrame(sky, "id long, name string, ra double, dec double, radius_deg double, notes string")
-    got = [(r["target_id"], r["id"]) for r in targets.match_targets(frames, t, Settings(sky_band_deg=band, hot_salt=3, broadcast_rows=broadcast)).select("target_id", "id").collect()]
+    got = [(r["target_id"], r["id"]) for r in targets.match_targets(frames, t, Settings(sky_levels_deg=levels)).select("target_id", "id").collect()]
     assert len(got) == len(set(got))
 
     from nightledger.functions.spatial import contains
