@@ -1,7 +1,8 @@
 """Which light setups have darks, flats and bias frames that fit them.
 
-Everything heavy is reduced map-side first: lights to setups, darks to counts
-per temperature, flats to nights.  The matching joins then work on those.
+Everything heavy is reduced map-side first: one aggregate by frame type,
+matching keys and night.  Its rows are matched by windows over the keys that
+two types share, so the report reads the frames once and joins nothing.
 """
 
 from __future__ import annotations
@@ -112,35 +113,86 @@ def with_darks(setups: DataFrame, darks: DataFrame, tolerance: float = DEFAULTS.
     return out.withColumn("darks", n).drop("_all", "_any", "_at")
 
 
-def flat_gaps(frames: DataFrame) -> DataFrame:
-    """Per setup, the worst gap in days from a light night to its nearest flat.
+def reduced(frames: DataFrame) -> DataFrame:
+    """One row per frame type, the keys that matter to it, temperature and night; the other keys are NULL.
 
-    Nearest in both directions as running last / first flat night over the
-    distinct nights of one optical train, which the calendar bounds; no pair
-    of nights is ever formed.
+    Temperatures are whole degrees for lights and exact for darks.
     """
-    light_nights = _lights(frames).filter(F.col("night").isNotNull()).select(*SETUP, "night").distinct()
-    flat_nights = _keyed(frames).filter((F.col("imagetyp") == "Flat Frame") & F.col("night").isNotNull()).select(*OPTICS, "night").distinct()
-    axis = light_nights.select(*OPTICS, "night").distinct().withColumn("flat", F.lit(None).cast("date")).unionByName(
-        flat_nights.withColumn("flat", F.col("night"))
+    rows, kind = _keyed(frames), F.col("imagetyp")
+    light, dark, flat = (kind == t for t in FRAME_TYPES[:3])
+    kept = {
+        "gain": ~flat, "cam_offset": ~flat, "exposure_s": light | dark, "filter": light | flat, "night": light | flat,
+        "sensor_temp_c": light, "dark_temp": dark, "exptime": light,
+    }
+    rows = rows.withColumns({"sensor_temp_c": F.floor(F.rint("ccd_temp")), "dark_temp": F.col("ccd_temp")})
+    rows = rows.withColumns({c: F.when(use, F.col(c)) for c, use in kept.items()})
+    return rows.groupBy("imagetyp", *SETUP, "dark_temp", "night").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("exptime", F.lit(0.0))).alias("integration_sec")
     )
-    axis = axis.groupBy(*OPTICS, "night").agg(F.max("flat").alias("flat"))
-    order = Window.partitionBy(*OPTICS).orderBy("night")
-    before = F.last("flat", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("flat", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.date_diff(F.col("night"), before), F.date_diff(after, F.col("night")))
-    gaps = axis.select(*OPTICS, "night", gap.alias("gap"))
-    return _attach(light_nights, gaps, [*OPTICS, "night"], ["gap"]).groupBy(*SETUP).agg(F.max("gap").alias("flat_gap_days"))
+
+
+def _with_flats(rows: DataFrame) -> DataFrame:
+    """Adds to every light night of `reduced` rows the flats of its optical
+    train and the days to the nearest night that has any.
+
+    Nearest in both directions as the latest night so far and the earliest
+    still to come; no pair of nights is ever formed.  One train's nights meet
+    in one task, as many as the calendar and its setups make.
+    """
+    flat = F.col("imagetyp") == FRAME_TYPES[2]
+    train = Window.partitionBy(*OPTICS)
+    order = train.orderBy("night")
+    flat_night = F.when(flat, F.col("night"))
+    before = F.max(flat_night).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(flat_night).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    return rows.withColumns({
+        "flats": F.coalesce(F.sum(F.when(flat, F.col("n"))).over(train), F.lit(0)),
+        "_gap": F.least(F.date_diff(F.col("night"), before), F.date_diff(after, F.col("night"))),
+    })
+
+
+def flat_gaps(frames: DataFrame) -> DataFrame:
+    """Per setup, the worst gap in days from a light night to its nearest flat."""
+    nights = _with_flats(reduced(frames)).filter((F.col("imagetyp") == FRAME_TYPES[0]) & F.col("night").isNotNull())
+    return nights.groupBy(*SETUP).agg(F.max("_gap").alias("flat_gap_days"))
+
+
+def _with_bias_and_darks(rows: DataFrame, tolerance: float) -> DataFrame:
+    """Adds to rows of lights, darks and bias frames the bias frames of their
+    readout and the darks within the temperature tolerance.
+
+    Each dark temperature lists the few whole degrees it fits, beside one row
+    for setups without a temperature.  Both windows share the partitioning.
+    """
+    kind, t = F.col("imagetyp"), F.col("dark_temp")
+    dark = kind == FRAME_TYPES[1]
+    fits = F.filter(F.sequence(F.floor(t - tolerance), F.ceil(t + tolerance)), lambda d: F.abs(t - d) <= tolerance)
+    degrees = F.when(dark, F.concat(F.array(F.lit(None).cast("long")), F.coalesce(fits, F.array().cast("array<bigint>"))))
+    rows = rows.withColumn("sensor_temp_c", F.explode(F.coalesce(degrees, F.array("sensor_temp_c"))))
+    whole = dark & F.col("sensor_temp_c").isNull()
+    keyed = Window.partitionBy(*DARK_KEY)
+    counted = {
+        "bias": F.sum(F.when(kind == FRAME_TYPES[3], F.col("n"))).over(Window.partitionBy(*READOUT)),
+        "_all": F.sum(F.when(whole, F.col("n"))).over(keyed), "_any": F.sum(F.when(whole & t.isNull(), F.col("n"))).over(keyed),
+        "_at": F.sum(F.when(dark & ~whole, F.col("n"))).over(Window.partitionBy(*DARK_KEY, "sensor_temp_c")),
+    }
+    # Spread by the readout, whose keys all three windows hold: one shuffle for all of them.
+    rows = rows.repartition(*READOUT).withColumns(counted)
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in counted})
+    near = F.when(F.col("sensor_temp_c").isNull(), F.col("_all")).otherwise(F.col("_at") + F.col("_any"))
+    return rows.withColumn("darks", near).drop("_all", "_any", "_at")
 
 
 def calibration_setups(frames: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per light setup with what fits it; problems first, then the
     longest integration."""
-    s = with_darks(light_setups(frames), dark_pool(frames), cfg.cal_temp_tolerance)
-    s = _attach(s, flat_pool(frames), OPTICS, ["flats"])
-    s = _attach(s, bias_pool(frames), READOUT, ["bias"])
-    s = _attach(s, flat_gaps(frames), SETUP, ["flat_gap_days"])
-    s = s.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("flats", "bias")})
+    rows = _with_flats(reduced(frames)).groupBy("imagetyp", *SETUP, "dark_temp").agg(
+        F.sum("n").alias("n"), F.sum("integration_sec").alias("integration_sec"), F.count("night").alias("nights"),
+        F.min("night").alias("first_night"), F.max("night").alias("last_night"),
+        F.max("flats").alias("flats"), F.max("_gap").alias("flat_gap_days"),
+    )
+    rows = _with_bias_and_darks(rows, cfg.cal_temp_tolerance).filter(F.col("imagetyp") == FRAME_TYPES[0])
+    s = rows.select(*SETUP, F.col("n").alias("frames"), "integration_sec", "nights", "first_night", "last_night", "darks", "flats", "bias", "flat_gap_days")
     stale = F.coalesce(F.col("flat_gap_days") > cfg.cal_flat_max_days, F.lit(False))
     s = s.withColumns({
         "stale_flats": stale, "missing_darks": F.col("darks") == 0, "missing_flats": F.col("flats") == 0,

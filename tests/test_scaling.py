@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.config import Settings
 from nightledger.operators import paging, targets
+from nightledger.operators.calibration import calibration_setups
 from nightledger.operators.quantiles import global_quantiles, grouped_medians
 from nightledger.plans import portable
 from tests.conftest import SMALL
@@ -111,3 +112,34 @@ def test_pushdown_and_pruning(spark, tmp_path):
     assert "header_json" not in plan and "diagnostics_json" not in plan
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert frames.count() == portable.frames(spark, SMALL).count()
+
+
+def test_calibration_counts_equal_brute_force(make_frames):
+    """Darks, flats, bias frames and gaps of every setup, with unknown temperatures, gains and nights."""
+    rng = random.Random(11)
+    kinds = ["Light Frame", "Dark Frame", "Flat Frame", "Bias Frame"]
+    rows = [
+        dict(imagetyp=rng.choice(kinds), instrume=rng.choice(["a", None]), xbinning=1, gain=rng.choice([100.0, None]), cam_offset=50, filter=rng.choice(["L", None]),
+             exptime=rng.choice([60.0, 300.0]), ccd_temp=rng.choice([None, rng.uniform(-14, -6), -10.0, -12.0]), date_obs=rng.choice([None, f"2026-05-{rng.randint(1, 28):02d}T01:00:00"]))
+        for _ in range(600)
+    ]
+    got = {(r["camera"], r["gain"], r["exposure_s"], r["filter"], r["sensor_temp_c"]): (r["frames"], r["nights"], r["darks"], r["flats"], r["bias"], r["flat_gap_days"]) for r in calibration_setups(make_frames(*rows)).collect()}
+
+    def of(kind, *keys):
+        return lambda setup: [r for r in rows if r["imagetyp"] == kind and all(r[k] == setup[k] for k in keys)]
+
+    readout = ("instrume", "gain")
+    bias, darks, flats = of(kinds[3], *readout), of(kinds[1], *readout, "exptime"), of(kinds[2], "instrume", "filter")
+    want = {}
+    groups = {}
+    for r in rows:
+        if r["imagetyp"] == kinds[0]:
+            degree = None if r["ccd_temp"] is None else round(r["ccd_temp"])
+            groups.setdefault((r["instrume"] or "Unknown camera", r["gain"], r["exptime"], r["filter"], degree), []).append(r)
+    for key, lights in groups.items():
+        fit = [d for d in darks(lights[0]) if key[4] is None or d["ccd_temp"] is None or abs(d["ccd_temp"] - key[4]) <= 2]
+        nights = {int(x["date_obs"][8:10]) for x in lights if x["date_obs"]}
+        flat_nights = {int(x["date_obs"][8:10]) for x in flats(lights[0]) if x["date_obs"]}
+        gap = max((min(abs(n - m) for m in flat_nights) for n in nights), default=None) if flat_nights else None
+        want[key] = (len(lights), len(nights), len(fit), len(flats(lights[0])), len(bias(lights[0])), gap)
+    assert got == want and len(want) > 60
