@@ -4,13 +4,12 @@ A source's documents are wanted floor(f) times for sure and once more with proba
 over its size.  The cube method settles these probabilities to 0 or 1 while it keeps, in each source, the sums of documents and
 words: as long as three documents are open, it walks along the null space of both sums until one of them is settled.
 Blocks of a source are settled in parallel; the few open documents of all its blocks form new blocks, until a source
-has one block, whose last open documents (two at most) are landed on the choice nearest to the source's words.
+has one block.  The walk keeps HELD documents of each block back, so that the landing has enough of them to hit the source's
+words: it takes the best of all subsets of the last open documents (HELD and two at most).
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +21,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a source that one task settles at a time.
 BLOCK = 4000
+#: Documents that the walk leaves to the landing, which looks at all their subsets.
+HELD = 12
+#: Share of the target below which an error in words counts less than one in documents.
+NEAR = 0.001
 SEED = 20
 BROADCAST_SOURCES = 500_000
 _OPEN = 1e-9
@@ -53,10 +56,13 @@ def targets(sources: DataFrame) -> DataFrame:
     return ranked.withColumn("target", F.least(cap, F.coalesce(F.col("_level") * F.col("weight"), cap))).drop("_ratio", "_level")
 
 
-def flight(share: np.ndarray, size: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """Settle shares until at most two are open (more only if nothing else keeps both sums)."""
-    share, size = share.tolist(), size.tolist()
-    active, waiting = [], iter([i for i in range(len(share)) if _OPEN < share[i] < 1 - _OPEN])
+def flight(share: np.ndarray, size: np.ndarray, random: np.random.Generator, held: int = 0) -> np.ndarray:
+    """Settle shares until at most two are open, beside `held` ones that are left alone: the longest third and the last."""
+    share, size = np.where((share < _OPEN) | (share > 1 - _OPEN), np.round(share), share).tolist(), size.tolist()
+    open_ = [i for i in range(len(share)) if 0 < share[i] < 1]
+    longest = set(sorted(open_, key=lambda i: size[i])[max(0, len(open_) - held // 3) :])
+    others = [i for i in open_ if i not in longest]
+    active, waiting = [], iter(others[: max(0, len(others) - (held - len(longest)))])
     while True:
         while len(active) < 3 and (i := next(waiting, None)) is not None:
             active.append(i)
@@ -77,12 +83,18 @@ def flight(share: np.ndarray, size: np.ndarray, random: np.random.Generator) ->
         active = [i for i in active if 0 < share[i] < 1]
 
 
-def landing(share: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle the last open shares as near as can be to the words, then the documents, that they stand for."""
+def landing(share: np.ndarray, size: np.ndarray, near: float = 0.0) -> np.ndarray:
+    """Settle the last open shares by the best of all their subsets.
+
+    Best is what comes within `near` words of those the shares stand for, or else nearest to it; then nearest to their documents,
+    then to the words.
+    """
     left = np.flatnonzero((share > 0) & (share < 1))
-    want_words, want_docs = float(share[left] @ size[left]), float(share[left].sum())
+    subsets = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+    words = np.abs(subsets @ size[left] - share[left] @ size[left])
+    docs = np.abs(subsets.sum(axis=1) - share[left].sum())
     share = share.copy()
-    share[left] = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(np.dot(x, size[left]) - want_words), abs(sum(x) - want_docs), x))
+    share[left] = subsets[np.lexsort((words, docs, np.maximum(words - near, 0)))[0]]
     return share
 
 
@@ -91,8 +103,10 @@ def _settle(block: pd.DataFrame) -> pd.DataFrame:
     block = block.sort_values(["turn", "doc_id", "size", "copy"], na_position="first")
     first = block.iloc[0]
     random = np.random.default_rng([SEED, int(first["rank"]), int(first["block"]), int(first["round"])])
-    share = flight(block["share"].to_numpy(), block["size"].to_numpy(), random)
-    return block.assign(share=landing(share, block["size"].to_numpy()) if first["blocks"] == 1 else share)
+    # Small blocks hold less back, so that every round leaves fewer documents open.
+    last, size = first["blocks"] == 1, block["size"].to_numpy()
+    share = flight(block["share"].to_numpy(), size, random, HELD if last else min(HELD, len(block) // 4))
+    return block.assign(share=landing(share, size, NEAR * first["target"]) if last else share)
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:

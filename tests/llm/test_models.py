@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -253,6 +254,9 @@ def test_mixing(spark, block):
         taken[r["source"]] += r["taken"]
     biggest = max(size.values())
     assert all(abs(taken[s] - target[s]) <= biggest for s in order)
+    # With a dozen documents left to the landing, a source of some size comes within one percent.
+    documents = Counter(r["source"] for r in got)
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in order if documents[s] >= 40)
     again = mixing.mixed(docs.repartition(7), block).collect()
     assert Counter(map(str, again)) == Counter(map(str, got))
 
@@ -265,6 +269,22 @@ def test_flight_keeps_documents_and_words():
     assert out.sum() == pytest.approx(share.sum()) and out @ size == pytest.approx(share @ size)
 
 
+def test_flight_holds_documents_back_and_landing_takes_the_best_subset():
+    r = np.random.default_rng(5)
+    share, size = np.full(300, 0.37), r.integers(1, 900, 300)
+    size[:3] = 20000
+    out = mixing.flight(share, size, r, 12)
+    left = np.flatnonzero((out > 0) & (out < 1))
+    assert 12 <= len(left) <= 14 and set(range(3)) < set(left) and (out[left] == 0.37).sum() >= 12
+    landed = mixing.landing(out, size)
+    assert set(np.unique(landed)) == {0.0, 1.0}
+    assert all(landed[i] == out[i] for i in range(300) if i not in left)
+    sums = [sum(c) for n in range(len(left) + 1) for c in combinations(size[left].tolist(), n)]
+    assert abs(landed[left] @ size[left] - out[left] @ size[left]) == pytest.approx(min(abs(x - out[left] @ size[left]) for x in sums))
+    # Shares that miss a whole number by rounding only are whole.
+    assert mixing.flight(np.full(40, 1 - 1e-13), np.arange(40), r, 12).tolist() == [1.0] * 40
+
+
 def test_mixing_odd_rows(make_docs, odd_rows):
     got = mixing.mixed(make_docs(odd_rows)).collect()
     assert len(got) == len(odd_rows) and sum(r["taken"] for r in got if r["doc_id"] in (1, 2, 3)) == 0
