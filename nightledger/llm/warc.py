@@ -11,6 +11,7 @@ import gzip
 import hashlib
 import html
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,24 +51,60 @@ def pack(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def unpack(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record in data; gzip members are unpacked first."""
+def readable(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """Headers (lower-case names) and block of each record in data, and what stopped the reading, if anything did.
+
+    Gzip members are unpacked first: a damaged one ends the reading, of one that is cut off what there is gets read.
+    """
+    out: list[tuple[dict[str, str], bytes]] = []
+    at, plain, broken = 0, data, None
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    out, at = [], 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
+        plain, broken = _inflated(data)
+    while at < len(plain):
+        end = plain.find(b"\r\n\r\n", at)
+        lines = _header_text(plain[at : max(at, end)]).split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
+            return out, broken or "not a WARC record"
         headers = {n.strip().lower(): v.strip() for n, _, v in (line.partition(":") for line in lines[1:])}
+        if not headers.get("content-length", "").isascii() or not headers.get("content-length", "").isdigit():
+            return out, "a record without a length"
         size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = plain[end + 4 : end + 4 + size]
         if len(block) < size:
-            raise ValueError("the record is cut off")
+            return out, broken or "the record is cut off"
         out.append((headers, block))
         at = end + 4 + size + 4
-    return out
+    return out, broken
+
+
+def _header_text(data: bytes) -> str:
+    try:
+        return data.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace")
+
+
+def _inflated(data: bytes) -> tuple[bytes, str | None]:
+    """Contents of gzip members, and what stopped the reading."""
+    parts: list[bytes] = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            parts.append(member.decompress(data))
+        except zlib.error:
+            return b"".join(parts), "a damaged gzip member"
+        if not member.eof:
+            return b"".join(parts), "a gzip member that is cut off"
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(parts), None
+
+
+def unpack(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """The records of data that must be whole."""
+    records, error = readable(data)
+    if error:
+        raise ValueError(error)
+    return records
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -107,9 +144,8 @@ def response(page_id: int | None, url: str | None, page: str | None) -> bytes:
     return pack([*headers, ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def derive(record: bytes) -> tuple[bytes, bytes, int]:
+def derive(source: dict[str, str], block: bytes) -> tuple[bytes, bytes, int]:
     """Metadata record, conversion record and number of links of a response record."""
-    source, block = unpack(record)[0]
     status, headers, body = http_parts(block)
     page = decoded(body, headers)
     name, target, date = source["warc-record-id"], source.get("warc-target-uri", ""), source.get("warc-date", CAPTURED)
@@ -136,20 +172,45 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, record binary")
 
 
+def derived(data: bytes | None) -> list[tuple[int | None, bytes | None, bytes | None, int | None, str | None]]:
+    """Place, metadata, conversion, number of links and error for each response record in data and for what cannot be read."""
+    if not data:
+        return [(None, None, None, None, None)]
+    records, error = readable(data)
+    out: list[tuple] = []
+    for place, (headers, block) in enumerate(records):
+        if headers.get("warc-type", "").lower() != "response":
+            continue
+        if headers.get("warc-record-id"):
+            out.append((place, *derive(headers, block), None))
+        else:
+            out.append((place, None, None, None, "a response without an identifier"))
+    if error:
+        out.append((len(records), None, None, None, error))
+    return out
+
+
 def derivatives(records: DataFrame, compress: bool = False) -> DataFrame:
-    """page_id, metadata, conversion (records, as gzip members if asked for), n_links for every row of (page_id, record).
+    """page_id, place, metadata, conversion (records, as gzip members if asked for), n_links, error for the rows of (page_id, record).
 
-    A record that cannot be read is an error; a NULL one gives NULLs.  Repeated rows give the same records.
+    A record column holds any number of WARC records, in gzip members or not.  Each response among them gives a row, place
+    being its number from 0; records of other types give none.  Where a record cannot be read, the ones before it count and
+    a row with its place and an error, but without records, stands for the rest.  A NULL or empty record gives a row of NULLs.
+    Repeated rows give the same records.
     """
-    wrap = (lambda data: gzip.compress(data, mtime=0)) if compress else bytes
 
     def run(batches):
+        wrap = (lambda data: gzip.compress(data, mtime=0)) if compress else bytes
+        names = ["page_id", "place", "metadata", "conversion", "n_links", "error"]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
         for batch in batches:
-            made = [(wrap(m), wrap(c), n) for m, c, n in (derive(r) if r else (b"", b"", None) for r in batch["record"].to_pylist())]
-            metadata, conversion, n = ([x[i] if x[2] is not None else None for x in made] for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array(metadata, pa.binary()), pa.array(conversion, pa.binary()), pa.array(n, pa.int64())], ["page_id", "metadata", "conversion", "n_links"])
+            rows = [(page, *found) for page, data in zip(batch["page_id"].to_pylist(), batch["record"].to_pylist()) for found in derived(data)]
+            columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
+            for i in (2, 3):
+                columns[i] = [None if x is None else wrap(x) for x in columns[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return records.select("page_id", "record").mapInArrow(run, "page_id bigint, metadata binary, conversion binary, n_links bigint")
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "record").mapInArrow(run, "page_id bigint, place int, metadata binary, conversion binary, n_links bigint, error string")
 
 
 def digests(derived: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators that learn, search or sample: held-out accuracy, brute force and invariants."""
 
+import gzip
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -309,6 +310,25 @@ def test_warc_against_sql(spark):
     assert key(got) == key(want)
 
 
+def test_warc_rows_of_many_records(spark):
+    one, two = warc.response(1, "http://a/", "<p>one"), warc.response(2, "http://b/", "<p>two")
+    request = warc.pack([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:x>")], b"GET / HTTP/1.1")
+    nameless = warc.pack([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\n\r\n")
+    packed = gzip.compress(one) + gzip.compress(request) + gzip.compress(two)
+    rows = [(1, one + request + two), (2, packed), (3, one + two[:-40]), (4, packed[:-30]), (5, None), (6, b""), (7, request), (8, b"no record"), (9, nameless + two), (10, gzip.compress(one) + gzip.compress(two)[:-8] + bytes(8)), (11, one.replace(b"Content-Length: ", b"Content-Length: x", 1))]
+    got = {}
+    for r in warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect():
+        text = None if r["conversion"] is None else warc.unpack(bytes(r["conversion"]))[0][1].decode()
+        got.setdefault(r["page_id"], []).append((r["place"], text, r["error"]))
+    assert got[1] == got[2] == [(0, "one", None), (2, "two", None)]
+    assert got[3] == [(0, "one", None), (1, None, "the record is cut off")]
+    assert got[4][0] == (0, "one", None) and got[4][-1][1:] == (None, "a gzip member that is cut off")
+    assert got[5] == got[6] == [(None, None, None)] and 7 not in got
+    assert got[8] == [(0, None, "not a WARC record")]
+    assert got[9] == [(0, None, "a response without an identifier"), (1, "two", None)]
+    assert got[10] == [(0, "one", None), (1, None, "a damaged gzip member")] and got[11] == [(0, None, "a record without a length")]
+
+
 def test_warc_records(spark):
     rows = [(1, "http://a/é", "<p>Tom &amp; <b>Jo</b><script>x</script><a class=k href='/q?a&amp;b'>l</a>"), (2, None, None), (None, "http://b/", ""), (1, "http://a/é", "<p>Tom &amp; <b>Jo</b><script>x</script><a class=k href='/q?a&amp;b'>l</a>")]
     records = warc.responses(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record string"))
