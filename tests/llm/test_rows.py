@@ -244,3 +244,17 @@ def test_personal_data_discovers_by_context(make_docs):
     got = {r["doc_id"]: r for r in personal_data.personal_data(make_docs(rows)).collect()}
     assert got[100]["spans"] == "email:24:37" and got[100]["n_email"] == 0 and got[100]["n_discovered"] == 1
     assert got[101]["spans"] == "" and got[3]["spans"] == "email:24:39"
+
+
+@pytest.mark.parametrize("name, by_words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_tries_the_tokenizer_at_load(name, by_words):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = [*token_store.PROBES, "Some Words, AND more. " * 50, "\x00 odd   marks"] * 20
+    encoder = token_store.WordEncoder(path)
+    ids, sizes = encoder.encode(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert encoder.by_words == by_words and sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
