@@ -12,6 +12,7 @@ from nightledger.functions.text import date_between, path_like
 from nightledger.operators import search, selector
 from nightledger.operators.selector import PRESETS, THRESHOLDS, all_of, candidates, select_frames
 from nightledger.plans.registry import frames_query, r6, rounded
+from nightledger.sources import sky_layout
 
 LIGHT = "imagetyp = 'Light Frame'"
 
@@ -268,6 +269,17 @@ _SEARCHES = {
     "search_covers": (dict(covers=(40.9, 10.9)), f"index_error IS NULL AND {contains_sql(_RA, _DEC, '40.9', '10.9', _W, _H)}"),
 }
 
+
+@frames_query("stored_cone", f" SELECT id FROM frames WHERE {_HAV.format(r=_RA, d=_DEC, r0='0.1', d0='(-9.6)')} <= 0.4")
+def _stored_cone(frames):
+    return _ids(sky_layout.stored_cone(sky_layout.with_sky(frames), 0.1, -9.6, 0.4))
+
+
+@frames_query("stored_covers", f" SELECT id FROM frames WHERE {contains_sql(_RA, _DEC, '40.9', '10.9', _W, _H)}")
+def _stored_covers(frames):
+    return _ids(sky_layout.stored_covering(sky_layout.with_sky(frames), 40.9, 10.9))
+
+
 for _name, (_args, _sql) in _SEARCHES.items():
 
     def _register_search(name=_name, args=_args, sql=_sql):
